@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 def years_and_months(value):
     """2.5 -> '2 years 6 months'; months are rounded half to even and may reach 12."""
     value = F.coalesce(value, F.lit(0.0))
-    years = value.cast("int")
-    months = F.rint((value - years) * 12).cast("int")
+    years = value.try_cast("bigint")
+    months = F.rint((value - years) * 12).cast("bigint")
     year_part = F.concat(years.cast("string"), F.when(years == 1, " year").otherwise(" years"))
     month_part = F.concat(months.cast("string"), F.when(months == 1, " month").otherwise(" months"))
     return (
