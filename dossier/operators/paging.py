@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from dossier import constants as K
 
+NEAR_ROWS = 10_000
+
 
 def page_size(limit=None):
     """The asked size within 1..1000, 100 when it is no such number."""
@@ -14,23 +16,22 @@ def page_size(limit=None):
     return min(size, K.MAX_PAGE_SIZE) if size > 0 else K.PAGE_SIZE
 
 
-def page_ids(df, number=1, limit=None, key="profile_id"):
-    """Keys of a 1-based page in key order; only the keys are sorted."""
-    if int(number) < 1:
-        raise ValueError("page: invalid page")
-    size = page_size(limit)
-    return df.select(key).orderBy(key).offset((int(number) - 1) * size).limit(size)
-
-
 def page(df, number=1, limit=None, key="profile_id"):
     """A 1-based page in key order.
 
-    The rows themselves are fetched by the keys of the page, which are at most 1000 and hence safe
-    to broadcast, so nested profiles never pass through the sort. Numbered pages cost more the
-    further in they are; ``page_after`` does not.
+    Near pages are one pass with a top-k per task. Far in, carrying whole profiles through the
+    skipped rows would cost more than a second pass, so there only the keys are sorted and the
+    rows are fetched by the keys of the page: at most 1000, hence safe to broadcast.
+    ``page_after`` costs the same at any depth.
     """
-    keys = F.broadcast(page_ids(df, number, limit, key))
-    return df.join(keys, key, "left_semi").orderBy(key)
+    if int(number) < 1:
+        raise ValueError("page: invalid page")
+    size = page_size(limit)
+    skip = (int(number) - 1) * size
+    if skip + size <= NEAR_ROWS:
+        return df.orderBy(key).offset(skip).limit(size)
+    keys = df.select(key).orderBy(key).offset(skip).limit(size)
+    return df.join(F.broadcast(keys), key, "left_semi").orderBy(key)
 
 
 def page_after(df, last_key=None, limit=None, key="profile_id"):
