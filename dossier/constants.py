@@ -13,11 +13,10 @@ OBJECT_ID = r"^[0-9a-fA-F]{24}$"
 COUNTRY_CODE = "+91"
 
 # --- fixed values: white space as a Unicode-aware split sees it -------------------------------
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "               　"
+WHITESPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 # --- fixed values: English stop words ---------------------------------------------------------
 STOP_WORDS = """

@@ -19,7 +19,7 @@ def blank_to_null(col):
 
 def drop_stop_words(col):
     """Words that are not stop words, joined by single spaces; a word with punctuation stays."""
-    words = F.split(strip(F.regexp_replace(col, K.SPACE_RUN, " ")), " ")
+    words = F.regexp_extract_all(col, F.lit(K.WORD), F.lit(0))
     return F.array_join(F.filter(words, lambda w: ~w.isin(K.STOP_WORDS)), " ")
 
 
@@ -28,7 +28,13 @@ def clean(col):
 
 
 def first_email(col):
-    return F.nullif(F.regexp_extract(col, K.EMAIL, 0), F.lit(""))
+    """First match of the e-mail pattern.
+
+    A match begins where a run of its characters begins, so starting nowhere else is the same and
+    keeps the search linear in long unbroken text; text without @ is not searched at all.
+    """
+    anchored = r"(?<![a-zA-Z0-9._%+-])" + K.EMAIL
+    return F.when(F.contains(col, F.lit("@")), F.nullif(F.regexp_extract(col, anchored, 0), F.lit("")))
 
 
 def first_mobile(col):

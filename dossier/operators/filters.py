@@ -93,13 +93,14 @@ class FilterSpec:
         return K.TIME_WINDOWS.get(self.time_filter)
 
     def to_column(self, promoted=False):
-        """One predicate over a profile row, never NULL.
+        """One predicate over a profile row for ``where``: missing values give NULL, which is no match.
 
+        The tests stay bare, since one wrapped in ``coalesce`` would not reach the parquet scan.
         ``promoted`` uses the flattened skill lists a stored profile carries instead of the six
         nested ones. The time window is a join, see ``retrieval.retrieve``.
         """
         tests = [*self._summary(), *self._flags(), *self._any_element(), *self._skills(promoted)]
-        return both(*[F.coalesce(t, F.lit(False)) for t in tests]) if tests else F.lit(True)
+        return both(*tests) if tests else F.lit(True)
 
     def _summary(self):
         tests = []
@@ -211,8 +212,8 @@ def _same(col, value):
 
 
 def _in_any(columns, skill):
-    return either(*[F.coalesce(F.array_contains(c, skill), F.lit(False)) for c in columns])
+    return either(*[F.array_contains(c, skill) for c in columns])
 
 
 def _overlap(column, skills):
-    return F.coalesce(F.arrays_overlap(column, _texts(skills)), F.lit(False))
+    return F.arrays_overlap(column, _texts(skills))

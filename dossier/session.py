@@ -13,6 +13,7 @@ def local_session(cores="*", shuffle_partitions=8, **conf):
         SparkSession.builder.master(f"local[{cores}]")
         .appName("dossier")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
