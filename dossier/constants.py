@@ -33,7 +33,7 @@ won't wouldn wouldn't y you you'd you'll your you're yours yourself yourselves y
 
 # --- fixed values: statuses and error classes -------------------------------------------------
 IN_PROGRESS, COMPLETED, FAILED = "in_progress", "completed", "failed"
-EXTRACTION, PARSING, SAVING = "extraction", "parsing", "saving"
+EXTRACTION, PARSING, SAVING, NO_ERROR = "extraction", "parsing", "saving", "none"
 MAX_RETRIES = 3
 
 # --- fixed values: retrieval parameters -------------------------------------------------------

@@ -1,8 +1,9 @@
 """Replies to typed profiles, with the reasons against those that break a rule."""
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
-from dossier import constants as K
 from dossier import schema
 from dossier.functions import conform as C
 from dossier.functions import jsontext as J
@@ -31,37 +32,36 @@ def parse_content(df, content="content"):
 
 def conform(df, document="document", json_text="json_text"):
     """Adds ``parsed_data``, ``other_contacts`` and ``errors`` from a parsed document."""
-    opened = F.try_variant_get(F.col(document), "$", C.variants(schema.PROFILE))
-    df = df.withColumn("_opened", opened)
+    app = df.sparkSession.sparkContext.applicationId
+    parsed_data, other_contacts, errors = _profile_columns(app)
+    named = df.withColumns(
+        {"_document": F.col(document), "_text": F.col(json_text), "_opened": F.try_variant_get(document, "$", C.variants(schema.PROFILE))}
+    )
+    checked = named.withColumns({"parsed_data": parsed_data, "other_contacts": other_contacts, "errors": errors})
+    return checked.drop("_document", "_text", "_opened")
+
+
+@lru_cache(maxsize=1)
+def _profile_columns(app):
+    """The generated expressions; there are thousands, so an application builds them once."""
     top = F.col("_opened")
     fields = []
     for f in schema.PROFILE:
         value = C.typed(top[f.name], f)
-        fields.append((_skills(value, json_text) if f.name == "skills" else value).alias(f.name))
+        fields.append((_skills(value) if f.name == "skills" else value).alias(f.name))
     errors = (
-        F.when(F.col(document).isNull(), F.array(F.lit("syntax:$")))
+        F.when(F.col("_document").isNull(), F.array(F.lit("syntax:$")))
         .when(top.isNull(), F.array(F.lit("type:$")))
         .otherwise(C.profile_problems(top, schema.PROFILE))
     )
-    return (
-        df.withColumn("parsed_data", F.when(top.isNotNull(), F.struct(*fields)))
-        .withColumn("other_contacts", C.other_keys(top["personal_information"], schema.PERSONAL_KEYS))
-        .withColumn("errors", errors)
-        .drop("_opened")
-    )
+    parsed_data = F.when(top.isNotNull(), F.struct(*fields))
+    return parsed_data, C.other_keys(top["personal_information"], schema.PERSONAL_KEYS), errors
 
 
-def _skills(value, json_text):
+def _skills(value):
     """Skills with the experience entries in reply order beside the map."""
     parts = []
     for f in schema.PARSED_DATA["skills"].dataType:
         ordered = f.name == "skill_entries"
-        parts.append((C.ordered_years(F.col(json_text)) if ordered else value[f.name]).alias(f.name))
+        parts.append((C.ordered_years(F.col("_text")) if ordered else value[f.name]).alias(f.name))
     return F.when(value.isNotNull(), F.struct(*parts))
-
-
-def split_valid(df):
-    """(accepted, rejected) by the reasons found; together they hold every row once."""
-    bad = F.coalesce(F.size("errors") > 0, F.lit(True))
-    rejected = df.where(bad).withColumn("error_class", F.lit(K.PARSING))
-    return df.where(~bad), rejected

@@ -1,24 +1,41 @@
 """Documents and replies to accepted profiles and quarantined documents."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier import constants as K
+from dossier import schema
 from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
 
+OUTCOME = T.StructType(
+    [
+        T.StructField("doc_id", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("errors", T.ArrayType(T.StringType())),
+        T.StructField("parsed_data", schema.PARSED_DATA),
+        T.StructField("other_contacts", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("error_class", T.StringType()),
+    ]
+)
+
+
 def process(documents):
     """``doc_id``, ``seq``, ``has_text``, ``text_email``, ``text_mobile``, ``urls``, ``reply`` to one
     outcome per document.
 
-    ``error_class`` is NULL for an accepted profile; otherwise it names the step that failed and
-    ``errors`` the reasons. A failing document never stops the others, and there is no shuffle.
+    ``error_class`` names the step that failed, 'none' for an accepted profile, and ``errors`` the
+    reasons. A failing document never stops the others, and there is no shuffle.
     """
     df = conform(parse_content(unwrap_replies(documents)))
     df = contact_gate(merge_contacts(profile_links(df)))
     no_text = ~F.coalesce("has_text", F.lit(False))
     broken = F.size("errors") > 0
     error_class = (
-        F.when(no_text, K.EXTRACTION).when(broken, K.PARSING).when(F.col("gate_error").isNotNull(), K.SAVING)
+        F.when(no_text, K.EXTRACTION)
+        .when(broken, K.PARSING)
+        .when(F.col("gate_error").isNotNull(), K.SAVING)
+        .otherwise(K.NO_ERROR)
     )
     errors = (
         F.when(no_text, F.array(F.lit("no_text")))
@@ -29,25 +46,38 @@ def process(documents):
     return df.select("doc_id", "seq", error_class.alias("error_class"), errors.alias("errors"), "parsed_data", "other_contacts")
 
 
+def write_outcome(outcome, path):
+    """Writes outcomes by error class, replacing what an earlier try left under ``path``.
+
+    Each sink then reads the class it wants. Filtering ``outcome`` itself instead would parse every
+    reply again for each sink, as the filter is pushed below the parsing with copies of it.
+    """
+    outcome.write.mode("overwrite").partitionBy("error_class").parquet(path)
+
+
+def read_outcome(spark, path):
+    return spark.read.schema(OUTCOME).parquet(path)
+
+
 def accepted(outcome):
-    """Rows to upsert, keyed by the final e-mail."""
+    """Rows to upsert, keyed by the final e-mail; ``outcome`` as read back."""
     email = F.col("parsed_data.personal_information.email").alias("email")
-    return outcome.where("error_class IS NULL").select("doc_id", email, "seq", "parsed_data", "other_contacts")
+    return outcome.where(F.col("error_class") == K.NO_ERROR).select("doc_id", email, "seq", "parsed_data", "other_contacts")
 
 
 def quarantined(outcome):
-    return outcome.where("error_class IS NOT NULL").select("doc_id", "seq", "error_class", "errors")
+    """Documents that failed, with the class and the reasons; ``outcome`` as read back."""
+    return outcome.where(F.col("error_class") != K.NO_ERROR).select("doc_id", "seq", "error_class", "errors")
 
 
 def tracking_updates(outcome, profile_ids, at):
-    """Update log of a batch for ``tracking.apply_updates``; ``profile_ids``: doc_id, profile_id."""
-    ok = F.col("error_class").isNull()
-    joined = outcome.join(profile_ids, "doc_id", "left")
-    return joined.select(
+    """Update log of the accepted documents for ``tracking.apply_updates``; ``profile_ids``: doc_id, profile_id."""
+    ids = profile_ids.select(F.col("doc_id").alias("id"), F.col("profile_id").alias("parsed_data_id"))
+    done = outcome.where(F.col("error_class") == K.NO_ERROR).select(
         F.col("doc_id").alias("id"),
         "seq",
-        F.when(ok, K.COMPLETED).alias("parsing_status"),
-        F.when(ok, F.col("profile_id")).alias("parsed_data_id"),
-        F.when(ok, F.col("parsed_data.resume_type")).alias("resume_category"),
+        F.lit(K.COMPLETED).alias("parsing_status"),
+        F.col("parsed_data.resume_type").alias("resume_category"),
         at.alias("at"),
     )
+    return done.join(ids, "id", "left")

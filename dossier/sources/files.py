@@ -22,8 +22,3 @@ def read_csv(spark, path):
 def write_json(profiles, path, mode="errorifexists"):
     """Whole profiles as JSON lines, null fields kept."""
     json_documents(profiles).write.mode(mode).text(path)
-
-
-def write_quarantine(rejected, path, mode="append"):
-    """Rejected documents with their class and reasons, by class."""
-    rejected.write.mode(mode).partitionBy("error_class").parquet(path)

@@ -1,10 +1,10 @@
-"""Continuous ingestion: new document files to profiles, quarantine and tracking updates."""
+"""Continuous ingestion: new document files to profiles, outcomes and tracking updates."""
 
 from pyspark.sql import functions as F
 
 from dossier.functions.text import blank_to_null, clean, first_email, first_mobile
 from dossier.operators.hotkeys import lookup_join
-from dossier.plans.etl import accepted, process, quarantined, tracking_updates
+from dossier.plans.etl import accepted, process, read_outcome, tracking_updates, write_outcome
 
 DOCUMENT = "doc_id string, seq bigint, text string, urls array<string>, reply string"
 
@@ -21,27 +21,25 @@ def with_text_contacts(documents):
     )
 
 
-def apply_batch(documents, batch_id, store, quarantine_path, updates_path, at=None):
-    """One batch into all three sinks.
+def apply_batch(documents, batch_id, store, outcome_path, updates_path, at=None):
+    """One batch into the profile store, the outcome table and the tracking updates.
 
-    Whatever is written is written under the batch id or merged by sequence, so repeating a batch
-    after a failure changes nothing. The checked rows feed three sinks and are kept meanwhile; if
-    an executor is lost they are computed again.
+    The outcome is written first and read back for the rest: replies are parsed once, and a lost
+    executor costs its tasks only. Everything is written under the batch id or merged by sequence,
+    so repeating a batch after a failure changes nothing.
     """
-    outcome = process(with_text_contacts(documents)).persist()
-    try:
-        good = accepted(outcome)
-        touched = store.upsert(good)
-        ids = lookup_join(good.select("doc_id", "email"), store.ids(touched), "email", spread="doc_id")
-        now = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
-        updates = tracking_updates(outcome, ids.select("doc_id", "profile_id"), now)
-        updates.write.mode("overwrite").parquet(f"{updates_path}/batch={batch_id}")
-        quarantined(outcome).write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
-    finally:
-        outcome.unpersist()
-
-
-def ingest(spark, folder, store, quarantine_path, updates_path, checkpoint, at=None, files_per_batch=1000, clean_source="off"):
+    staged = f"{outcome_path}/batch={batch_id}"
+    write_outcome(process(with_text_contacts(documents)), staged)
+    outcome = read_outcome(store.spark, staged)
+    good = accepted(outcome)
+    touched = store.upsert(good)
+    ids = lookup_join(good.select("doc_id", "email"), store.ids(touched), "email", spread="doc_id")
+    now = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    updates = tracking_updates(outcome, ids.select("doc_id", "profile_id"), now)
+    updates.write.mode("overwrite").parquet(f"{updates_path}/batch={batch_id}")
+
+
+def ingest(spark, folder, store, outcome_path, updates_path, checkpoint, at=None, files_per_batch=1000, clean_source="off"):
     """Processes the files of ``folder`` not yet seen, then stops; restart it to go on.
 
     ``clean_source="delete"`` removes processed files.
@@ -54,7 +52,7 @@ def ingest(spark, folder, store, quarantine_path, updates_path, checkpoint, at=N
     )
 
     def sink(batch, batch_id):
-        apply_batch(batch, batch_id, store, quarantine_path, updates_path, at)
+        apply_batch(batch, batch_id, store, outcome_path, updates_path, at)
 
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from dossier.functions import conform as C
 from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
-from dossier.operators.profiles import conform, parse_content, split_valid, unwrap_replies
+from dossier.operators.profiles import conform, parse_content, unwrap_replies
 from dossier.operators.tracking import apply_updates, intake
 from dossier.operators.upsert import latest_by_key, merge_latest
-from dossier.plans.etl import process, quarantined
+from dossier.plans.etl import process, quarantined, read_outcome, write_outcome
 from dossier.sources.store import ProfileStore
 from dossier.streaming.ingest import DOCUMENT, apply_batch, ingest, with_text_contacts
 from dossier.workload.registry import query
@@ -154,20 +154,20 @@ def conformed(spark, sf_dir):
     f"WITH {EXPECTED} SELECT k AS c_custkey, array_to_string(errors, ';') AS reasons, len(errors) = 0 AS accepted FROM expected",
 )
 def validate_profiles(spark, sf_dir):
-    """Accepted and rejected documents, put together again."""
-    good, bad = split_valid(_conformed(spark, sf_dir))
-    columns = [_number(), F.array_join("errors", ";").alias("reasons")]
-    return good.select(*columns, F.lit(True).alias("accepted")).unionByName(bad.select(*columns, F.lit(False).alias("accepted")))
+    return _conformed(spark, sf_dir).select(
+        _number(), F.array_join("errors", ";").alias("reasons"), (F.size("errors") == 0).alias("accepted")
+    )
 
 
 @query(
     "contact_merge",
-    f"WITH {EXPECTED} SELECT k AS c_custkey, email, mobile, linkedin, github FROM merged WHERE is_object AND k % 41 <> 20",
+    f"""WITH {EXPECTED} SELECT k AS c_custkey, {", ".join(f"CASE WHEN is_object AND k % 41 <> 20 THEN {c} END AS {c}" for c in ("email", "mobile", "linkedin", "github"))}
+        FROM merged""",
 )
 def contact_merge(spark, sf_dir):
     merged = merge_contacts(profile_links(with_text_contacts(_conformed(spark, sf_dir))))
     own = F.col("parsed_data.personal_information")
-    return merged.where(own.isNotNull()).select(_number(), *[own[c].alias(c) for c in ("email", "mobile", "linkedin", "github")])
+    return merged.select(_number(), *[own[c].alias(c) for c in ("email", "mobile", "linkedin", "github")])
 
 
 @query(
@@ -184,8 +184,10 @@ def gate(spark, sf_dir):
     f"WITH {EXPECTED} SELECT k AS c_custkey, error_class, reasons FROM outcome WHERE error_class IS NOT NULL",
 )
 def quarantine(spark, sf_dir):
-    outcome = process(with_text_contacts(documents(spark, sf_dir)))
-    return quarantined(outcome).select(_number(), "error_class", F.array_join("errors", ";").alias("reasons"))
+    """What the outcome table holds beside the accepted profiles."""
+    path = work_folder(spark, sf_dir, f"outcome-{next(_runs)}")
+    write_outcome(process(with_text_contacts(documents(spark, sf_dir))), path)
+    return quarantined(read_outcome(spark, path)).select(_number(), "error_class", F.array_join("errors", ";").alias("reasons"))
 
 
 # --- upsert ----------------------------------------------------------------------------------------
@@ -255,7 +257,7 @@ def run_stream(spark, sf_dir, files=4, files_per_batch=2):
     folder, store = _sinks(spark, sf_dir, "stream")
     names = [c.split()[0] for c in DOCUMENT.split(", ")]
     documents(spark, sf_dir).select(*names).repartition(files, "doc_id").write.parquet(f"{folder}/in")
-    ingest(spark, f"{folder}/in", store, f"{folder}/quarantine", f"{folder}/updates", f"{folder}/checkpoint", at="2024-02-02", files_per_batch=files_per_batch)
+    ingest(spark, f"{folder}/in", store, f"{folder}/outcome", f"{folder}/updates", f"{folder}/checkpoint", at="2024-02-02", files_per_batch=files_per_batch)
     return folder, store
 
 
@@ -269,7 +271,7 @@ def stream_ingest(spark, sf_dir):
 def batch_ingest(spark, sf_dir):
     """The store after the same documents came as one batch."""
     folder, store = _sinks(spark, sf_dir, "batch")
-    apply_batch(documents(spark, sf_dir), 0, store, f"{folder}/quarantine", f"{folder}/updates", "2024-02-02")
+    apply_batch(documents(spark, sf_dir), 0, store, f"{folder}/outcome", f"{folder}/updates", "2024-02-02")
     return _stored(store)
 
 
@@ -287,7 +289,7 @@ def ingest_tracking(spark, sf_dir):
     docs = documents(spark, sf_dir)
     rows = intake(docs.select(F.col("doc_id").alias("file")), "2024-02-01 00:00:00")
     ids = rows.select(F.col("file").alias("doc_id"), "id")
-    apply_batch(docs, 0, store, f"{folder}/quarantine", f"{folder}/updates", "2024-02-02")
+    apply_batch(docs, 0, store, f"{folder}/outcome", f"{folder}/updates", "2024-02-02")
     log = spark.read.parquet(f"{folder}/updates").withColumnRenamed("id", "doc_id").join(ids, "doc_id").drop("doc_id")
     return apply_updates(rows, log).select(
         "file", "parsing_status", "parsed_data_id", "resume_category", F.date_format("modified_at", "yyyy-MM-dd").alias("modified_on")
