@@ -9,19 +9,28 @@ from pyspark.sql import functions as F
 from dossier import constants as K
 from dossier.functions.text import either, strip
 
-WHOLE = r"^[+-]?[0-9]+(\.0*)?$"
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+WHOLE = r"^\s*([+-]?[0-9]+)(?:\.0*)?\s*$"
+NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 
 
 def _none():
     return F.array().cast("array<string>")
 
 
+def _let(value, body):
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def variants(dtype):
     """DDL of a struct with the same names and VARIANT fields."""
     return "struct<" + ",".join(f"`{f.name}`:variant" for f in dtype) + ">"
 
 
+def opened(x, dtype):
+    return F.try_variant_get(x, "$", variants(dtype))
+
+
 def as_text(x):
     return F.try_variant_get(x, "$", "string")
 
@@ -35,7 +44,8 @@ def _kind(x):
 
 
 def _nested(x):
-    return _kind(x).rlike("^(OBJECT|ARRAY)")
+    """The kind is asked for only where the text looks like an object or a list."""
+    return F.left(as_text(x), F.lit(1)).isin("{", "[") & _kind(x).rlike("^(OBJECT|ARRAY)")
 
 
 def _null(x):
@@ -44,26 +54,27 @@ def _null(x):
 
 def lowered(text):
     """Lower case; a string of digits loses its leading zeros, as a number would."""
-    text = F.lower(text)
-    return F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=[0-9])", "")).otherwise(text)
+    return F.regexp_replace(F.lower(text), r"^0+(?=[0-9]+\z)", "")
 
 
 def number(x):
     """A JSON number or a string of digits as DOUBLE; other strings are no numbers."""
     text = as_text(x)
-    numeric = _kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") | ((_kind(x) == "STRING") & text.rlike("^[0-9]+$"))
-    return F.when(numeric, text.try_cast("double"))
+    usable = text.rlike(r"^[0-9]+\z") | (text.rlike(NUMBER) & (_kind(x) != "STRING"))
+    return F.when(usable, text.try_cast("double"))
 
 
-def _flag(text):
-    return F.when(text == "true", F.lit(True)).when(text == "false", F.lit(False))
+def _matched(text, pattern, dtype):
+    """The first group as a number; only text that matches is cast, as a failing cast is slow."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).try_cast(dtype))
 
 
-def _relabelled(text):
-    out = text
-    for old, new in K.COMPANY_SIZE_RELABEL.items():
-        out = F.when(text == old, F.lit(new)).otherwise(out)
-    return out
+def _looked_up(pairs, text):
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in pairs.items() for v in pair]), text)
+
+
+def _flag(text):
+    return _looked_up({"true": True, "false": False}, text)
 
 
 # --- typed value -----------------------------------------------------------------------------
@@ -73,26 +84,24 @@ def typed(x, field):
     """The VARIANT ``x`` as the declared type of ``field``; NULL where it cannot be."""
     rule, dtype = field.metadata["rule"], field.dataType
     if rule in ("record", "open"):
-        return _object(F.try_variant_get(x, "$", variants(dtype)), dtype)
+        return _let(opened(x, dtype), lambda s: _object(s, dtype))
     if rule in ("records", "opens"):
         inner = dtype.elementType
-        opened = F.transform(as_list(x), lambda e: F.try_variant_get(e, "$", variants(inner)))
-        return F.transform(opened, lambda s: _object(s, inner))
+        items = F.transform(as_list(x), lambda e: opened(e, inner))
+        return F.transform(items, lambda s: _object(s, inner))
     if rule == "char":
-        text = F.when(~_nested(x), lowered(strip(as_text(x))))
-        return _relabelled(text) if field.metadata.get("relabel") else text
+        text = lowered(strip(as_text(x)))
+        return F.coalesce(_looked_up(K.COMPANY_SIZE_RELABEL, text), text) if field.metadata.get("relabel") else text
     if rule == "text":
-        return F.when(~_nested(x), lowered(as_text(x)))
+        return lowered(as_text(x))
     if rule == "flag":
         return _flag(F.lower(strip(as_text(x))))
     if rule == "oflag":
         return _flag(F.lower(as_text(x)))
     if rule == "int":
-        text = strip(as_text(x))
-        return F.when(text.rlike(WHOLE), F.regexp_replace(text, r"\.0*$", "").try_cast("int"))
+        return _matched(as_text(x), WHOLE, "int")
     if rule == "float":
-        text = strip(as_text(x))
-        return F.when(text.rlike(NUMBER), text.try_cast("double"))
+        return _matched(as_text(x), NUMBER, "double")
     if rule == "number":
         return number(x)
     if rule == "chars":
@@ -104,9 +113,8 @@ def typed(x, field):
     raise ValueError(f"unknown rule {rule}")
 
 
-def _object(opened, dtype):
-    built = F.struct(*[typed(opened[f.name], f).alias(f.name) for f in dtype])
-    return F.when(opened.isNotNull(), built)
+def _object(s, dtype):
+    return F.when(s.isNotNull(), F.struct(*[typed(s[f.name], f).alias(f.name) for f in dtype]))
 
 
 # --- broken rules ----------------------------------------------------------------------------
@@ -132,46 +140,49 @@ def problems(x, field, path):
     if rule in ("char", "flag"):
         blank = [] if meta["blank"] else [_when(given & (strip(as_text(x)) == ""), "blank", path)]
         return _listed(*null, *blank, _when(given & _nested(x), "type", path))
-    if rule == "int":
-        return _listed(*null, _when(given & typed(x, field).isNull(), "type", path))
-    if rule == "float":
+    if rule in ("int", "float"):
         return _listed(*null, _when(given & typed(x, field).isNull(), "type", path))
     if rule == "chars":
-        items = as_list(x)
-        most = [_when(F.size(items) > meta["most"], "too_many", path)] if "most" in meta else []
-        return _listed(
-            *null,
-            _when(given & items.isNull(), "type", path),
-            *most,
-            _when(F.exists(items, F.is_variant_null), "null", path + "[]"),
-            _when(F.exists(items, lambda e: _kind(e).rlike("^(OBJECT|ARRAY|BOOLEAN)")), "type", path + "[]"),
-        )
-    if rule in ("record", "open"):
-        opened = F.try_variant_get(x, "$", variants(dtype))
-        own = _listed(*null, _when(given & opened.isNull(), "type", path))
-        return _with_inner(own, opened, dtype, path) if rule == "record" else own
+        own = _when(given & as_list(x).isNull(), "type", path)
+        return _let(as_list(x), lambda items: _listed(*null, own, *_item_problems(items, meta, path)))
+    if rule == "open":
+        return _listed(*null, _when(given & opened(x, dtype).isNull(), "type", path))
+    if rule == "record":
+
+        def inside(s):
+            return _with_inner(_listed(*null, _when(given & s.isNull(), "type", path)), s, dtype, path)
+
+        return _let(opened(x, dtype), inside)
     # lists of objects; the list itself may be missing but not null
-    inner, items = dtype.elementType, as_list(x)
-    opened = F.transform(items, lambda e: F.try_variant_get(e, "$", variants(inner)))
-    own = _listed(
-        *null,
-        _when(given & items.isNull(), "type", path),
-        _when(F.exists(opened, lambda s: s.isNull()), "type", path + "[]"),
-    )
-    if rule == "opens":
-        return own
-    found = F.flatten(F.transform(F.filter(opened, lambda s: s.isNotNull()), lambda s: _with_inner(_none(), s, inner, path + "[]")))
+    inner = dtype.elementType
+    own = _listed(*null, _when(given & as_list(x).isNull(), "type", path))
+    item_path = path + "[]"
+
+    def each(items):
+        wrong = _listed(_when(F.exists(items, lambda s: s.isNull()), "type", item_path))
+        if rule == "opens":
+            return wrong
+        return F.concat(wrong, F.flatten(F.transform(items, lambda s: _with_inner(_none(), s, inner, item_path))))
+
+    found = _let(F.transform(as_list(x), lambda e: opened(e, inner)), each)
     return F.concat(own, F.coalesce(found, _none()))
 
 
-def _with_inner(own, opened, dtype, path):
-    inner = [problems(opened[f.name], f, f"{path}.{f.name}".lstrip(".")) for f in dtype]
+def _item_problems(items, meta, path):
+    if "most" in meta:
+        yield _when(F.size(items) > meta["most"], "too_many", path)
+    yield _when(F.exists(items, F.is_variant_null), "null", path + "[]")
+    yield _when(F.exists(items, lambda e: _kind(e).rlike("^(OBJECT|ARRAY|BOOLEAN)")), "type", path + "[]")
+
+
+def _with_inner(own, s, dtype, path):
+    inner = [problems(s[f.name], f, f"{path}.{f.name}".lstrip(".")) for f in dtype]
     return F.concat(own, *[p for p in inner if p is not None])
 
 
-def profile_problems(opened, dtype):
+def profile_problems(s, dtype):
     """Sorted distinct reasons for a whole profile opened one level."""
-    return F.array_sort(F.array_distinct(_with_inner(_none(), opened, dtype, "")))
+    return F.array_sort(F.array_distinct(_with_inner(_none(), s, dtype, "")))
 
 
 # --- the parts a struct cannot hold ------------------------------------------------------------

@@ -13,14 +13,17 @@ def without_fences(content):
     return strip(F.regexp_replace(content, "```json|```", ""))
 
 
-def parsed(text):
-    """The text as VARIANT, NULL when it is not exactly one JSON value.
+def boxed(text):
+    """The text inside brackets as VARIANT, NULL when that is no JSON.
 
-    The parser alone would accept anything after the first value; inside brackets it cannot.
+    The parser alone would accept anything behind the first value; inside brackets it cannot.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(boxed, "$[0]", "variant"))
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def unboxed(box):
+    """The one value of a box, NULL when there are more."""
+    return F.when(F.try_variant_get(box, "$[1]", "variant").isNull(), F.try_variant_get(box, "$[0]", "variant"))
 
 
 def repaired(text):
@@ -29,9 +32,3 @@ def repaired(text):
     text = F.replace(text, F.lit("'"), F.lit('"'))
     text = F.regexp_replace(text, r"(?U)([{,]\s*)(\w+)\s*:", '$1"$2":')
     return F.when(text.rlike(r"^[{\[]"), text).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
-
-
-def usable_text(text):
-    """The text itself when it parses, its repaired form when only that does, else NULL."""
-    fixed = repaired(text)
-    return F.when(parsed(text).isNotNull(), text).when(parsed(fixed).isNotNull(), fixed)

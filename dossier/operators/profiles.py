@@ -19,14 +19,15 @@ def parse_content(df, content="content"):
 
     Repair is tried only on the rows whose first parse failed.
     """
-    first, fixed = J.parsed(F.col(content)), J.repaired(F.col(content))
     return (
-        df.withColumn("_first", first)
-        .withColumn("_fixed", F.when(F.col("_first").isNull(), fixed))
-        .withColumn("document", F.coalesce("_first", J.parsed(F.col("_fixed"))))
+        df.withColumn("_box", J.boxed(F.col(content)))
+        .withColumn("_first", J.unboxed(F.col("_box")))
+        .withColumn("_fixed", F.when(F.col("_first").isNull(), J.repaired(F.col(content))))
+        .withColumn("_box", J.boxed(F.col("_fixed")))
+        .withColumn("document", F.coalesce("_first", J.unboxed(F.col("_box"))))
         .withColumn("repaired", F.col("_first").isNull() & F.col("document").isNotNull())
         .withColumn("json_text", F.when(F.col("document").isNotNull(), F.coalesce("_fixed", content)))
-        .drop("_first", "_fixed")
+        .drop("_box", "_first", "_fixed")
     )
 
 
@@ -35,7 +36,7 @@ def conform(df, document="document", json_text="json_text"):
     app = df.sparkSession.sparkContext.applicationId
     parsed_data, other_contacts, errors = _profile_columns(app)
     named = df.withColumns(
-        {"_document": F.col(document), "_text": F.col(json_text), "_opened": F.try_variant_get(document, "$", C.variants(schema.PROFILE))}
+        {"_document": F.col(document), "_text": F.col(json_text), "_opened": C.opened(F.col(document), schema.PROFILE)}
     )
     checked = named.withColumns({"parsed_data": parsed_data, "other_contacts": other_contacts, "errors": errors})
     return checked.drop("_document", "_text", "_opened")
