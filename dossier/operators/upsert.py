@@ -20,9 +20,16 @@ def merge_latest(stored, latest, key, seq, keep, replace):
 
     A known key keeps its columns ``keep`` and takes the columns ``replace`` unless the stored ones
     are newer by ``seq``, so that a replayed batch changes nothing. Both sides hold a key once.
+
+    Only keys, ids and sequences of the stored rows meet the batch; their payload passes an anti
+    join, which needs no shuffle when the batch is small against the store.
     """
-    s, n = stored.alias("s"), latest.alias("n")
-    newer = F.col(f"n.{key}").isNotNull() & (F.col(f"s.{seq}").isNull() | (F.col(f"n.{seq}") >= F.col(f"s.{seq}")))
-    kept = [F.coalesce(F.col(f"s.{c}"), F.col(f"n.{c}")).alias(c) for c in [key, *keep]]
-    replaced = [F.when(newer, F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in [seq, *replace]]
-    return s.join(n, F.col(f"s.{key}") == F.col(f"n.{key}"), "full_outer").select(*kept, *replaced)
+    columns = [key, *keep, seq, *replace]
+    known = stored.select(key, F.col(seq).alias("_seq"), *[F.col(c).alias(f"_{c}") for c in keep])
+    winners = (
+        latest.join(known, key, "left")
+        .where(F.col("_seq").isNull() | (F.col(seq) >= F.col("_seq")))
+        .select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in keep], seq, *replace)
+    )
+    rest = stored.join(winners.select(key), key, "left_anti")
+    return rest.select(*columns).unionByName(winners)
