@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 
 from dossier import constants as K
 
-NEAR_ROWS = 10_000
-
 
 def page_size(limit=None):
     """The asked size within 1..1000, 100 when it is no such number."""
@@ -17,21 +15,21 @@ def page_size(limit=None):
 
 
 def page(df, number=1, limit=None, key="profile_id"):
-    """A 1-based page in key order.
+    """A 1-based page in the order of the unique ``key``.
 
-    Near pages are one pass with a top-k per task. Far in, carrying whole profiles through the
-    skipped rows would cost more than a second pass, so there only the keys are sorted and the
-    rows are fetched by the keys of the page: at most 1000, hence safe to broadcast.
-    ``page_after`` costs the same at any depth.
+    A first job orders only the keys of the matching rows and brings back two of them, the first
+    and last of the page. Between these literals the page is read: they are pushed to the scan, so
+    of the wide columns only the row groups and column pages around them are decoded, and no
+    skipped row carries its profile through a sort. ``page_after`` costs the same at any depth.
     """
     if int(number) < 1:
         raise ValueError("page: invalid page")
     size = page_size(limit)
-    skip = (int(number) - 1) * size
-    if skip + size <= NEAR_ROWS:
-        return df.orderBy(key).offset(skip).limit(size)
-    keys = df.select(key).orderBy(key).offset(skip).limit(size)
-    return df.join(F.broadcast(keys), key, "left_semi").orderBy(key)
+    keys = df.select(key).orderBy(key).offset((int(number) - 1) * size).limit(size)
+    first, last = keys.agg(F.min(key), F.max(key)).first()
+    if first is None:
+        return df.limit(0)
+    return df.where(F.col(key).between(first, last)).orderBy(key).limit(size)
 
 
 def page_after(df, last_key=None, limit=None, key="profile_id"):

@@ -26,6 +26,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df):
+    """Narrow rows that are about to grow, over all cores when the files hold them in fewer splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def hex24(col):
     return F.lpad(F.lower(F.hex(col)), 24, "0")
 

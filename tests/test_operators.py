@@ -114,3 +114,11 @@ def test_retries_and_failure(spark, rows):
     assert {r.id: (r.no_of_retries, r.parsing_status) for r in got.collect()} == {"f1": (3, "failed"), "f2": (2, "in_progress"), "f3": (0, "in_progress")}
     rolled = {r.parsing_status: (r.documents, r.retried, r.retries) for r in TR.status_rollup(got).collect()}
     assert rolled == {"failed": (1, 1, 3), "in_progress": (2, 1, 2)}
+
+
+def test_page_is_read_between_its_keys(spark, sf):
+    from dossier.workload.star import star_store
+
+    plan = page(star_store(spark, sf), 2, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(profile_id,00000000000000000000000a)" in plan
+    assert "LessThanOrEqual(profile_id,000000000000000000000013)" in plan
