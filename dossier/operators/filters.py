@@ -1,6 +1,7 @@
 """Typed filter parameters compiled to one Column."""
 
 import math
+import warnings
 from dataclasses import dataclass, fields
 
 from pyspark.sql import functions as F
@@ -75,6 +76,10 @@ class FilterSpec:
                 raise FilterError(f"{name}: not a number")
         if self.company_size is not None and self.company_size not in K.COMPANY_SIZES:
             raise FilterError(f"company_size: not one of {', '.join(K.COMPANY_SIZES)}")
+        if self.time_filter and self.window is None:
+            warnings.warn(f"time_filter {self.time_filter!r} filters nothing", stacklevel=3)
+        if self.company_type and self.company_type != "product":
+            warnings.warn(f"company_type {self.company_type!r} filters nothing", stacklevel=3)
 
     @property
     def skill_years(self):

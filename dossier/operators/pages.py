@@ -8,32 +8,55 @@ PAGES_PER_PART = 2000
 
 
 def assemble_pages(pages, doc, page, text="text", pages_per_part=PAGES_PER_PART):
-    """Page texts in page order, one row per document and part.
+    """Page texts in page order, one row per document, ``part`` and ``piece``.
 
-    A part is a range of page numbers, so no task ever holds more than ``pages_per_part`` pages of
-    one document, however long it is; a document below that has the single part 0. Nothing is
-    dropped: the parts in order are the document. All patterns looked for in text end at a line
-    feed, so they can be applied part by part.
+    A part is a range of page numbers, so a long document is cut into parts and no task ever holds
+    more than ``pages_per_part`` pages of it; a document below that has the single part 0, piece 0.
+    Where page numbers repeat so often that a part would still be too large, its rows are spread
+    over pieces as well. Nothing is dropped: parts and pieces in order are the document. All
+    patterns looked for in text end at a line feed, so they can be applied row by row.
     """
-    part = F.floor(F.col(page) / pages_per_part).cast("bigint")
-    filled = F.when(F.col(text) != "", F.struct(F.col(page).alias("page"), F.col(text).alias("text")))
+    rows = pages.select(
+        doc,
+        F.floor(F.col(page) / pages_per_part).cast("bigint").alias("part"),
+        F.col(page).alias("page"),
+        F.when(F.col(text) != "", F.col(text)).alias("text"),
+    )
+    sizes = rows.groupBy(doc, "part").agg(F.count("*").alias("_rows"))
+    crowded = sizes.where(F.col("_rows") > 2 * pages_per_part)
+    first = F.lit(0).cast("bigint")
+    if crowded.isEmpty():  # the usual case, found from two narrow columns
+        return _joined(rows.withColumn("piece", first), doc)
+    slices = F.ceil(F.col("_rows") / pages_per_part)
+    slot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), slices)
+    offset = F.col("page") - F.col("part") * pages_per_part
+    spread = rows.join(crowded, [doc, "part"]).withColumn("piece", (offset * slices + slot).cast("bigint")).drop("_rows")
+    usual = rows.join(crowded, [doc, "part"], "left_anti").withColumn("piece", first)
+    return _joined(usual.unionByName(spread), doc)
+
+
+def _joined(rows, doc):
+    filled = F.when(F.col("text").isNotNull(), F.struct("page", "text"))
     return (
-        pages.groupBy(doc, part.alias("part"))
+        rows.groupBy(doc, "part", "piece")
         .agg(F.array_sort(F.collect_list(filled)).alias("_pages"))
-        .select(doc, "part", strip(F.array_join(F.col("_pages.text"), "\n")).alias("text"))
+        .select(doc, "part", "piece", strip(F.array_join(F.col("_pages.text"), "\n")).alias("text"))
     )
 
 
 def fill_blank_documents(primary, fallback, doc):
-    """Parts of ``primary``; documents without any text there take theirs from ``fallback``.
+    """Rows of ``primary``; documents without any text there take theirs from ``fallback``.
 
     A document that is blank in both keeps one row with NULL text.
     """
     state = primary.groupBy(doc).agg(F.bool_or(blank_to_null(F.col("text")).isNotNull()).alias("_has_text"))
     blank = state.where(~F.coalesce("_has_text", F.lit(False))).select(doc)
-    kept = primary.join(blank, doc, "left_anti").select(doc, "part", strip(F.col("text")).alias("text"))
-    second = fallback.select(doc, "part", blank_to_null(F.col("text")).alias("text"))
-    filled = blank.join(second, doc, "left").select(doc, F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), "text")
+    kept = primary.join(blank, doc, "left_anti").select(doc, "part", "piece", strip(F.col("text")).alias("text"))
+    second = fallback.select(doc, "part", "piece", blank_to_null(F.col("text")).alias("text"))
+    first = F.lit(0).cast("bigint")
+    filled = blank.join(second, doc, "left").select(
+        doc, F.coalesce("part", first).alias("part"), F.coalesce("piece", first).alias("piece"), "text"
+    )
     return kept.unionByName(filled)
 
 
@@ -44,13 +67,17 @@ def clean_parts(parts):
 def contacts_in_text(parts, doc):
     """First e-mail and first mobile of each document.
 
-    Found part by part, then the first by part order: a partial aggregate of two short strings.
+    Found row by row, then the first in document order: a partial aggregate of two short strings.
     """
     found = parts.select(
-        doc, "part", first_email(F.col("text")).alias("email"), first_mobile(F.col("text")).alias("mobile"), F.col("text").isNotNull().alias("has")
+        doc,
+        F.struct("part", "piece").alias("place"),
+        first_email(F.col("text")).alias("email"),
+        first_mobile(F.col("text")).alias("mobile"),
+        F.col("text").isNotNull().alias("has"),
     )
 
     def first(name):
-        return F.expr(f"min_by({name}, part) FILTER (WHERE {name} IS NOT NULL)").alias(f"text_{name}")
+        return F.expr(f"min_by({name}, place) FILTER (WHERE {name} IS NOT NULL)").alias(f"text_{name}")
 
     return found.groupBy(doc).agg(first("email"), first("mobile"), F.coalesce(F.bool_or("has"), F.lit(False)).alias("has_text"))

@@ -1,5 +1,7 @@
 """Stable pages."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from dossier import constants as K
@@ -15,16 +17,18 @@ def page_size(limit=None):
 
 
 def page(df, number=1, limit=None, key="profile_id"):
-    """A 1-based page in the order of the unique ``key``.
+    """A 1-based page in the order of the unique ``key``; "last" is the last one.
 
     A first job orders only the keys of the matching rows and brings back two of them, the first
     and last of the page. Between these literals the page is read: they are pushed to the scan, so
     of the wide columns only the row groups and column pages around them are decoded, and no
     skipped row carries its profile through a sort. ``page_after`` costs the same at any depth.
     """
+    size = page_size(limit)
+    if number == "last":
+        number = max(1, math.ceil(df.count() / size))
     if int(number) < 1:
         raise ValueError("page: invalid page")
-    size = page_size(limit)
     keys = df.select(key).orderBy(key).offset((int(number) - 1) * size).limit(size)
     first, last = keys.agg(F.min(key), F.max(key)).first()
     if first is None:

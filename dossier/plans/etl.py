@@ -70,6 +70,11 @@ def quarantined(outcome):
     return outcome.where(F.col("error_class") != K.NO_ERROR).select("doc_id", "seq", "error_class", "errors")
 
 
+def failed_attempts(outcome):
+    """One row per failed try of a document, for ``tracking.count_retries``; ``outcome`` as read back."""
+    return outcome.where(F.col("error_class") != K.NO_ERROR).select(F.col("doc_id").alias("id"))
+
+
 def tracking_updates(outcome, profile_ids, at):
     """Update log of the accepted documents for ``tracking.apply_updates``; ``profile_ids``: doc_id, profile_id."""
     ids = profile_ids.select(F.col("doc_id").alias("id"), F.col("profile_id").alias("parsed_data_id"))

@@ -21,8 +21,8 @@ EMAIL_SQL = f"nullif(regexp_extract(c, '{K.EMAIL}'), '')"
 MOBILE_SQL = "nullif(regexp_extract(c, '(\\+91[-.\\s]?)?([6-9][0-9]{9})\\b', 2), '')"
 BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 ASSEMBLED = (
-    f"SELECT conv_id, turn // {PAGES_PER_PART} AS part, "
-    f"coalesce(trim(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> ''), {BLANK}), '') AS text FROM conversations GROUP BY ALL"
+    f"SELECT conv_id, turn // {PAGES_PER_PART} AS part, 0::BIGINT AS piece, "
+    f"coalesce(trim(string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE text <> ''), {BLANK}), '') AS text FROM conversations GROUP BY ALL"
 )
 
 
@@ -36,14 +36,14 @@ def page_assembly(spark, sf_dir):
     "text_fallback",
     f"""WITH first AS (SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE ' ' || chr(10) END AS text FROM documents),
           second AS (SELECT conv_id AS doc_id, text FROM ({ASSEMBLED}))
-        SELECT doc_id, 0::BIGINT AS part, nullif(trim(CASE WHEN trim(f.text, {BLANK}) = '' THEN s.text ELSE f.text END, {BLANK}), '') AS text
+        SELECT doc_id, 0::BIGINT AS part, 0::BIGINT AS piece, nullif(trim(CASE WHEN trim(f.text, {BLANK}) = '' THEN s.text ELSE f.text END, {BLANK}), '') AS text
         FROM first f LEFT JOIN second s USING (doc_id)""",
 )
 def text_fallback(spark, sf_dir):
     """The first reader knows English documents only, the second one those that have a conversation."""
-    first = table(spark, sf_dir, "documents").select(
-        "doc_id", F.lit(0).cast("bigint").alias("part"), F.when(F.col("lang") == "en", F.col("text")).otherwise(" \n").alias("text")
-    )
+    zero = F.lit(0).cast("bigint")
+    english = F.when(F.col("lang") == "en", F.col("text")).otherwise(" \n")
+    first = table(spark, sf_dir, "documents").select("doc_id", zero.alias("part"), zero.alias("piece"), english.alias("text"))
     second = assemble_pages(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("conv_id", "doc_id")
     return fill_blank_documents(first, second, "doc_id")
 

@@ -23,15 +23,31 @@ def test_a_huge_document_is_cut_but_whole(spark):
     assert "\n".join(r.text for r in parts) == "\n".join(f"p{i}" for i in range(5000))
 
 
+def test_repeated_page_numbers_are_spread(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), F.col("id") % 100)).alias("doc"),
+        F.when(F.col("id") % 3 == 0, F.col("id") % 4).otherwise(F.floor(F.col("id") / 100)).alias("page"),
+        F.concat(F.col("id") % 4, F.lit(":copy")).alias("text"),
+    )
+    got = assemble_pages(rows, "doc", "page", pages_per_part=50)
+    hot = got.where("doc = 'hot'").orderBy("part", "piece").collect()
+    lines = [line for r in hot for line in r.text.split("\n")]
+    assert len(lines) == 1000 and lines == sorted(lines)
+    assert max(r.text.count("\n") + 1 for r in hot) <= 50
+    assert {r.piece for r in got.where("doc <> 'hot'").collect()} == {0}
+
+
 def test_contacts_of_parts(spark):
-    rows = [("d", 1, "x@y.org 9876543210"), ("d", 0, "none"), ("d", 2, "z@y.org 8876543210"), ("e", 0, "none"), ("f", 0, None)]
-    got = contacts_in_text(clean_parts(spark.createDataFrame(rows, "doc string, part long, text string")), "doc").orderBy("doc").collect()
+    rows = [("d", 1, 0, "x@y.org 9876543210"), ("d", 0, 5, "none"), ("d", 1, 1, "z@y.org 8876543210"), ("e", 0, 0, "none"), ("f", 0, 0, None)]
+    parts = spark.createDataFrame(rows, "doc string, part long, piece long, text string")
+    got = contacts_in_text(clean_parts(parts), "doc").orderBy("doc").collect()
     assert [tuple(r) for r in got] == [("d", "x@y.org", "9876543210", True), ("e", None, None, True), ("f", None, None, False)]
 
 
 def test_fallback(spark):
-    first = spark.createDataFrame([("a", 0, " one "), ("b", 0, " "), ("b", 1, "\n"), ("c", 0, "")], "doc string, part long, text string")
-    second = spark.createDataFrame([("a", 0, "no"), ("b", 0, "two"), ("b", 1, "three")], "doc string, part long, text string")
+    shape = "doc string, part long, piece long, text string"
+    first = spark.createDataFrame([("a", 0, 0, " one "), ("b", 0, 0, " "), ("b", 1, 0, "\n"), ("c", 0, 0, "")], shape)
+    second = spark.createDataFrame([("a", 0, 0, "no"), ("b", 0, 0, "two"), ("b", 1, 0, "three")], shape)
     got = fill_blank_documents(first, second, "doc").collect()
     assert sorted((r.doc, r.part, r.text) for r in got) == [("a", 0, "one"), ("b", 0, "two"), ("b", 1, "three"), ("c", 0, None)]
 
@@ -46,6 +62,7 @@ def test_pages_make_the_whole(spark):
         got = [r.profile_id for n in range(first, first + 3) for r in page(df, n, size).collect()]
         assert got == [f"{i:06d}" for i in range((first - 1) * size, (first + 2) * size)]
     assert [r.v for r in page(df, 251).collect()] == list(range(25_000, 25_050))
+    assert [r.v for r in page(df, "last").collect()] == list(range(25_000, 25_050))
     assert page(df, 300).count() == 0
     with pytest.raises(ValueError):
         page(df, 0)
