@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from dossier import schema
-from dossier.functions.links import github_profile, linkedin_profile, mail_address
+from dossier.functions.links import github_profile, link_targets, linkedin_profile, mail_address
 from dossier.functions.text import repair_mobile
 
 PERSONAL = "parsed_data.personal_information"
@@ -17,6 +17,17 @@ def profile_links(df, urls="urls"):
     )
 
 
+def document_links(pages, doc, page, html="html"):
+    """Profile links of documents with many pages: of each kind the last match on the last page that has one.
+
+    Each page is searched where it is read; only three short strings per page are aggregated.
+    """
+    found = profile_links(pages.select(doc, page, link_targets(F.col(html)).alias("urls")))
+    kinds = ("linkedin_url", "github_url", "mailto")
+    last = [F.expr(f"max_by({k}, {page}) FILTER (WHERE {k} IS NOT NULL)").alias(k) for k in kinds]
+    return found.groupBy(doc).agg(*last)
+
+
 def merge_contacts(df):
     """Links before text before the parsed profile; only a parsed mobile needs repair.
 

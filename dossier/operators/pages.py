@@ -28,9 +28,11 @@ def assemble_pages(pages, doc, page, text="text", pages_per_part=PAGES_PER_PART)
     if crowded.isEmpty():  # the usual case, found from two narrow columns
         return _joined(rows.withColumn("piece", first), doc)
     slices = F.ceil(F.col("_rows") / pages_per_part)
-    slot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), slices)
+    # numbered at the scan, where a repeated task numbers the same rows alike
+    numbered = rows.withColumn("_mark", F.xxhash64(F.monotonically_increasing_id()))
     offset = F.col("page") - F.col("part") * pages_per_part
-    spread = rows.join(crowded, [doc, "part"]).withColumn("piece", (offset * slices + slot).cast("bigint")).drop("_rows")
+    piece = (offset * slices + F.pmod("_mark", slices)).cast("bigint")
+    spread = numbered.join(crowded, [doc, "part"]).withColumn("piece", piece).drop("_rows", "_mark")
     usual = rows.join(crowded, [doc, "part"], "left_anti").withColumn("piece", first)
     return _joined(usual.unionByName(spread), doc)
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dossier import constants as K
 from dossier.functions import durations, links, text as X
-from dossier.operators.contacts import profile_links
+from dossier.operators.contacts import document_links, profile_links
 from dossier.operators.pages import PAGES_PER_PART, assemble_pages, clean_parts, contacts_in_text, fill_blank_documents
 from dossier.workload.registry import query
 from dossier.workload.star import table
@@ -137,16 +137,15 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(links.link_targets(F.col("html"))).alias("pos", "url"))
 
 
-@query(
-    "profile_links",
-    f"""WITH l AS (SELECT page_id, len({HREFS_SQL}) AS n FROM pages)
+PICKED = f"""WITH l AS (SELECT page_id, len({HREFS_SQL}) AS n FROM pages), picked AS (
         SELECT page_id,
           CASE WHEN n > 1 THEN 'https://www.linkedin.com/in/page-' || page_id || '-' || ((n - 2) // 4 * 4 + 1) END AS linkedin_url,
           CASE WHEN n > 0 THEN 'http://github.com/page-' || page_id || '-' || ((n - 1) // 4 * 4) || '/' END AS github_url,
           CASE WHEN n > 3 THEN 'page.' || page_id || '.' || ((n - 4) // 4 * 4 + 3) || '@example.org' END AS mailto
-        FROM l""",
-)
-def profile_link_pick(spark, sf_dir):
+        FROM l)"""
+
+
+def _turned_links(spark, sf_dir):
     """The links of each page turned in rotation into an account, a profile, a repository and an address."""
     mark = F.col("page_id").cast("string")
 
@@ -159,8 +158,26 @@ def profile_link_pick(spark, sf_dir):
             .otherwise(F.concat(F.lit("mailto:page."), mark, F.lit("."), n, F.lit("@example.org?subject=x")))
         )
 
-    listed = table(spark, sf_dir, "pages").withColumn("urls", F.transform(links.link_targets(F.col("html")), turned))
-    return profile_links(listed).select("page_id", "linkedin_url", "github_url", "mailto")
+    return table(spark, sf_dir, "pages").withColumn("urls", F.transform(links.link_targets(F.col("html")), turned))
+
+
+@query("profile_links", f"{PICKED} SELECT page_id, linkedin_url, github_url, mailto FROM picked")
+def profile_link_pick(spark, sf_dir):
+    return profile_links(_turned_links(spark, sf_dir)).select("page_id", "linkedin_url", "github_url", "mailto")
+
+
+@query(
+    "document_links",
+    f"{PICKED} SELECT page_id // 10 AS doc_id, "
+    + ", ".join(f"arg_max({k}, page_id) FILTER (WHERE {k} IS NOT NULL) AS {k}" for k in ("linkedin_url", "github_url", "mailto"))
+    + " FROM picked GROUP BY 1",
+)
+def links_of_documents(spark, sf_dir):
+    """Ten pages make a document."""
+    listed = _turned_links(spark, sf_dir)
+    html = F.array_join(F.transform("urls", lambda u: F.concat(F.lit('<a href="'), u, F.lit('">'))), " ")
+    pages = listed.select(F.expr("page_id div 10").alias("doc_id"), "page_id", html.alias("html"))
+    return document_links(pages, "doc_id", "page_id")
 
 
 # --- rendering -------------------------------------------------------------------------------------
