@@ -17,7 +17,7 @@ def people(make_profiles):
                 "education": [{"degree_level": "masters", "is_ml_degree": False, "institute_type": "iit"}, {"degree_level": "bachelors", "is_ml_degree": True}],
                 "skills": {
                     "languages": {"proficient": ["python"], "average": ["go"]},
-                    "frameworks": {"average": ["django", ""]},
+                    "frameworks": {"average": ["flask", ""]},
                     "total_skill_experience": {"python": 5.0, "node.js": 2.0, "Java": 9.0, "text": None},
                     "llm_experience": False,
                 },
@@ -66,7 +66,7 @@ ALL = ["empty", "nothing", "nulls", "split"]
         ({"last_position_held": "d.ta"}, []),
         ({"resume_type": "natural_language_processing_(NLP)_engineer"}, []),
         ({"projects_outside_of_work": "false"}, ["split"]),
-        ({"skills_and": "python, go ,django"}, ["split"]),
+        ({"skills_and": "python, go ,flask"}, ["split"]),
         ({"skills_and": "python,"}, ["split"]),
         ({"skills_and": "Python"}, []),
         ({"proficient_technologies_and": "python,go"}, []),
