@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from . import language_id, toxicity
+from .decontamination import contamination
+from .packing import pack
+from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
+from .warc import derive, responses
 
 QUERIES, ORACLES = {}, {}
 
@@ -34,3 +39,44 @@ s AS (SELECT r, count(*) AS n, count_if(gone) AS m, string_agg(word, ' ' ORDER B
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(m, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN s USING (r)
 """
+
+
+@_query
+def op2_decontamination(spark, sf_dir):
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _fold("doc_id", 5, 0))
+    model = toxicity.learned(docs.filter(~F.col("held_out")), _table(spark, sf_dir, "labels"))
+    judged = toxicity.judge(docs, model)
+    return judged.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentence", "sentence_score")
+
+
+@_query
+def op5_simhash_dedup(spark, sf_dir):
+    groups = near_duplicates(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op7_warc_derivatives(spark, sf_dir):
+    return derive(responses(_table(spark, sf_dir, "pages")), keys=["page_id"])
+
+
+@_query
+def op8_best_fit_packing(spark, sf_dir):
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _fold("doc_id", 4, 2))
+    network = language_id.learned(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs.drop("lang"), network).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _fold(key, parts, part):
+    """Whether a row is held out: by the CRC32 of its key as text."""
+    return (F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(parts)) == part).alias("held_out")

@@ -48,12 +48,12 @@ def mix(x):
 class Words:
     """Words of some texts: bytes ``start[i]:end[i]`` of ``data``; text k has words ``first[k]:first[k+1]``."""
 
-    def __init__(self, array, lower=False):
-        data, offsets, present = _buffers(array)
+    def __init__(self, array, lower=False, gaps=SPACE):
+        data, offsets, present = buffers(array)
         self.data = LOWER[data] if lower else data
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~SPACE[data]
+        inside[1:-1] = ~gaps[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         self.start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
@@ -95,7 +95,7 @@ def windows(hashes, size, step=_STEP):
     return mix((sums[size:] - sums[: n + 1 - size]) * down[: n + 1 - size])
 
 
-def _buffers(array):
+def buffers(array):
     """Bytes, offsets and presence of a string array; a null is an empty text."""
     import pyarrow as pa
 
