@@ -4,9 +4,9 @@ A difference cover is a set of residues modulo a period in which any two positio
 shift: for all i and j some d < period has both i + d and j + d in the cover. Only words at cover
 positions start an anchor (a short window), and two equal windows of ``window`` words always share an
 aligned anchor of ``window - period + 1`` words. So a few anchors a period tell where a repeat can be;
-the full windows around repeated anchors are then compared by a 128-bit hash, and nothing else is.
+the full windows around repeated anchors are then compared by a 96-bit hash, and nothing else is.
 
-Hot passages: equal anchors or windows of one slice of text are told there and then, and one of them
+Of equal texts only the first takes part, marked as repeated: its copies lose the same words. Hot passages: equal anchors or windows of one slice of text are told there and then, and one of them
 is sent on, so a passage in a third of all documents sends one row a slice, not one a document.
 """
 
@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .textops import Words, mix, slices, windows
 
 #: Perfect difference sets by their period.
@@ -33,13 +34,21 @@ def remove_repeats(docs, text="text", window=35):
     """
     period = max(p for p in COVERS if p <= max(1, (window + 7) // 2) and p <= window)
     keyed = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns])
-    anchors = keyed.select("__row", F.col(f"`{text}`").alias("__text")).mapInArrow(_anchors(window, period), "k long, row long, pos int")
+    base = keyed.join(_copies(keyed, text), "__row", "left")
+    anchors = base.filter("__first is null or __first").mapInArrow(_anchors(text, window, period), "k long, row long, pos int")
     near = _repeated(anchors, "k")
-    found = keyed.join(near, F.col("__row") == F.col("row"), "left").mapInArrow(_extended(text, window, period), "k long, k2 long, row long, pos int")
+    found = base.join(near, F.col("__row") == F.col("row"), "left").mapInArrow(_extended(text, window, period), "k long, k2 int, row long, pos int")
     sure = _repeated(found, "k", "k2")
     kept = [f for f in docs.schema if f.name not in ("n_words", "n_removed", "kept_text")]
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long, n_removed long, kept_text string"])
-    return keyed.join(sure, F.col("__row") == F.col("row"), "left").mapInArrow(_cut(text, window, [f.name for f in kept]), shape)
+    return base.join(sure, F.col("__row") == F.col("row"), "left").mapInArrow(_cut(text, window, [f.name for f in kept]), shape)
+
+
+def _copies(keyed, text):
+    """The rows whose text occurs more than once, and whether a row is the first of its text."""
+    marks = keyed.select("__row", F.xxhash64(F.col(f"`{text}`")).alias("h"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("h2"))
+    groups = stored(marks.groupBy("h", "h2").agg(F.min("__row").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    return marks.join(groups, ["h", "h2"]).select("__row", (F.col("__row") == F.col("least")).alias("__first"))
 
 
 def _repeated(rows, *key):
@@ -50,39 +59,45 @@ def _repeated(rows, *key):
     return hits.groupBy("row").agg(F.collect_list(place).alias("at"))
 
 
-def _told(keys, rows, places):
-    """A record batch of keys with their rows and places. Of equal keys the first is sent under the key, the others,
+def _told(keys, rows, places, known=False):
+    """A record batch of keys with their rows and places, ``known`` to repeat or not. Of equal keys the first is sent under the key, the others,
     known to repeat, under keys of their own."""
     import pyarrow as pa
 
     _, first, group, count = np.unique(keys[0], return_index=True, return_inverse=True, return_counts=True)
-    known = count[group] > 1
-    rest = known.copy()
+    twice = count[group] > 1
+    known = known | twice
+    rest = twice
     rest[first] = False
     spread = mix(mix(rows.astype(np.uint64)) + places.astype(np.uint64))
-    sent = [np.where(rest, spread if i == 0 else mix(spread), k).view(np.int64) for i, k in enumerate(keys)]
+    sent = [pa.array(np.where(rest, spread, keys[0]).view(np.int64))]
+    sent += [pa.array((np.where(rest, spread, k) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for k in keys[1:]]
     at = np.where(known, ~places, places).astype(np.int32)
-    names = ["k", "k2"][: len(keys)]
-    return pa.record_batch([*(pa.array(k) for k in sent), pa.array(rows), pa.array(at)], names=[*names, "row", "pos"])
+    return pa.record_batch([*sent, pa.array(rows), pa.array(at)], names=["k", *["k2"][: len(sent) - 1], "row", "pos"])
 
 
-def _anchors(window, period):
+def _anchors(text, window, period):
     size, cover = window - period + 1, np.isin(np.arange(period), COVERS[period])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
-                words = Words(part["__text"])
+            for part in slices(batch, text):
+                words = Words(part[text])
                 keys = windows(words.hashes(), size)
                 place = np.arange(len(words)) - np.repeat(words.first[:-1], words.count)
                 pick = np.flatnonzero((words.fits(size) & cover[place % period])[: len(keys)])
                 if len(pick):
-                    rows = np.asarray(part["__row"])[words.text_of()[pick]]
-                    yield _told([keys[pick]], rows, place[pick])
+                    which = words.text_of()[pick]
+                    yield _told([keys[pick]], np.asarray(part["__row"])[which], place[pick], _first(part)[which])
 
     return run
 
 
+def _first(part):
+    """Which texts are the first of several equal ones."""
+    return np.asarray(part["__first"].fill_null(False))
+
+
 def _spans(words, lists, before, after):
     """Which words lie between ``before`` words ahead of a listed place and ``after`` words behind it, in its text."""
     change = np.zeros(len(words) + 1, np.int64)
@@ -110,7 +125,7 @@ def _extended(text, window, period):
                     hashes = words.hashes()
                     keys = [windows(hashes, window)[pick], windows(hashes, window, _OTHER)[pick]]
                     which = words.text_of()[pick]
-                    yield _told(keys, np.asarray(part["__row"])[which], pick - words.first[which])
+                    yield _told(keys, np.asarray(part["__row"])[which], pick - words.first[which], _first(part)[which])
 
     return run
 
@@ -122,7 +137,8 @@ def _cut(text, window, names):
         for batch in batches:
             for part in slices(batch, text):
                 words = Words(part[text])
-                gone = _spans(words, part["at"], 0, window)
+                copied = np.asarray(part["__first"].is_valid()) & (words.count >= window)
+                gone = _spans(words, part["at"], 0, window) | copied[words.text_of()]
                 before = np.concatenate([[0], np.cumsum(gone)])
                 removed = before[words.first[1:]] - before[words.first[:-1]]
                 data, kept = words.data.tobytes(), []
