@@ -65,15 +65,17 @@ class Words:
     def __len__(self):
         return len(self.start)
 
-    def hashes(self):
+    def hashes(self, most=None):
+        """A hash for each word, or for its first ``most`` bytes."""
+        end = self.end if most is None else np.minimum(self.end, self.start + most)
         up, down = _power(_BASE, len(self.data))
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_LETTER[self.data] * up, out=sums[1:])
-        out = sums[self.end]
+        out = sums[end]
         out -= sums[self.start]
         if len(out):
             out *= down[self.start]
-        return mix(out + (self.end - self.start).astype(np.uint64) * _U(_STEP))
+        return mix(out + (end - self.start).astype(np.uint64) * _U(_STEP))
 
     def text_of(self):
         """The index of the text of each word."""

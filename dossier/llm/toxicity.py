@@ -3,19 +3,21 @@
 A text is a bag of sentences. A sentence's probability is logistic in its words, the text's is the noisy-or of its
 sentences, and only texts have labels: training moves the words of the sentences that explain a label. The fit is
 numpy over a bounded sample of labelled rows; scoring is a map over whole texts that also names the sentence that
-speaks most for the score. Words are known by their hash, so the model is two sorted arrays.
+speaks most for the score. Features are whole words and the beginnings of words, known by their hash, so the model
+is two arrays and unseen forms of a known stem count too.
 """
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from .textops import Words, buffers, slices
+from .textops import Words, buffers, mix, slices
 
 SAMPLE, SAMPLE_BYTES = 4000, 20_000  # rows of each label, about, and bytes of a row, in the sample
 ENDS = np.zeros(256, bool)
 ENDS[[10, 33, 46, 63]] = True  # line feed ! . ?
 #: Words end at every ASCII character that is no letter, digit or apostrophe.
 GAPS = np.ones(256, bool)
+HEADS = (4, 6)  # bytes of the beginnings
 GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = False
 
 
@@ -24,7 +26,10 @@ class Bags:
 
     def __init__(self, array):
         words = Words(array, lower=True, gaps=GAPS)
-        self.hashes = words.hashes()
+        size = words.end - words.start
+        kinds = [words.hashes(), *(mix(words.hashes(n) + np.uint64(n)) for n in HEADS)]
+        self.hashes = np.stack(kinds, axis=1)  # of each word: a row of features
+        self.used = np.stack([np.ones(len(words), bool), *(size > n for n in HEADS)], axis=1)
         ends = np.concatenate([[0], np.cumsum(ENDS[words.data])])[words.start]
         text = words.text_of()
         new = np.ones(len(words), bool)
@@ -52,7 +57,7 @@ class Model:
     def logits(self, bags):
         """One for each sentence with words."""
         w = np.append(self.weights, 0.0)[self.index(bags.hashes)]
-        return self.bias + np.bincount(bags.sentence, w, len(bags.first))
+        return self.bias + np.bincount(bags.sentence, (w * bags.used).sum(axis=1), len(bags.first))
 
     def score(self, bags):
         """The noisy-or of each text; 0 for a text without words. The strongest sentence of each text, or -1."""
@@ -65,50 +70,59 @@ class Model:
         return -np.expm1(-total), strongest
 
 
-def train(texts, labels, epochs=80, rate=0.5, penalty=2e-4, rare=3):
-    """A model fitted by AdaGrad on the whole sample; words of fewer than ``rare`` texts are not learned."""
+def train(texts, labels, shares=None, epochs=150, rate=1.0, penalty=1e-4, rare=3):
+    """A model fitted by AdaGrad on the whole sample; features of fewer than ``rare`` texts are not learned.
+
+    ``shares``: the weight of a text of each label, for a sample that has the labels in other shares than all rows.
+    """
     import pyarrow as pa
 
     bags, y = Bags(pa.array(texts, pa.string())), np.asarray(labels, float)
-    pairs = np.unique(np.stack([bags.hashes, bags.text[bags.sentence].astype(np.uint64)]), axis=1)
-    keys, count = np.unique(pairs[0], return_counts=True)
+    row, kind = np.nonzero(bags.used)
+    hashes, sentence = bags.hashes[row, kind], bags.sentence[row]
+    once = np.unique(np.stack([hashes, bags.text[sentence].astype(np.uint64)]), axis=1)[0]
+    keys, count = np.unique(once, return_counts=True)
     model = Model(keys[count >= rare], np.zeros((count >= rare).sum()), -6.0)
-    at, n = model.index(bags.hashes), len(bags.first)
-    grads, grad_b = np.full(len(model.keys), 1e-6), 1e-6
+    at = model.index(hashes)
+    at, sentence = at[at < len(model.keys)], sentence[at < len(model.keys)]
+    each = np.array([(shares or {}).get(int(v), 1.0) for v in labels])
+    each /= each.sum()
+    grads, grad_b = np.full(len(model.keys), 1e-8), 1e-8
     for _ in range(epochs):
-        w = np.append(model.weights, 0.0)[at]
-        z = model.bias + np.bincount(bags.sentence, w, n)
+        z = model.bias + np.bincount(sentence, model.weights[at], len(bags.first))
         total = np.bincount(bags.text, np.logaddexp(0, z), bags.texts)
-        pull = np.where(y > 0, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0)  # of the loss by the total
-        g = pull[bags.text] / (1 + np.exp(-z))
-        gw = np.bincount(at, g[bags.sentence], len(model.keys) + 1)[:-1] / len(y) + penalty * np.sign(model.weights)
-        gb = g.sum() / len(y)
+        pull = each * np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)  # of the loss by the total
+        g = pull[bags.text] / (1 + np.exp(-np.clip(z, -500, 500)))
+        gw = np.bincount(at, g[sentence], len(model.keys)) + penalty * np.tanh(10 * model.weights)
+        gb = g.sum()
         grads, grad_b = grads + gw * gw, grad_b + gb * gb
         model.weights = model.weights - rate * gw / np.sqrt(grads)
-        model.bias -= 0.1 * gb / np.sqrt(grad_b)
+        model.bias -= rate * gb / np.sqrt(grad_b)
     return model
 
 
 def labelled_sample(docs, labels, id="doc_id", text="text", label="toxic", sample=SAMPLE, most=SAMPLE_BYTES):
-    """(text, label) of about ``sample`` rows of each label, picked by a hash of the id, texts up to ``most`` bytes.
+    """(text, label) of about ``sample`` rows of each label, picked by a hash of the id, texts up to ``most`` bytes;
+    and what share of the rows with that label was picked, by label.
 
     Rows that lack an id, a text or a label are left out; of contradicting labels of one id the higher counts.
     """
     marks = labels.filter(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id}`").alias("id")).agg(F.max(F.col(f"`{label}`")).cast("int").alias("y"))
     counts = dict(marks.groupBy("y").count().collect())
     if not counts:
-        return []
-    share = F.create_map(*(F.lit(v) for y, n in counts.items() for v in (y, min(1.0, sample / n))))
+        return [], {}
+    shares = {y: min(1.0, sample / n) for y, n in counts.items()}
+    share = F.create_map(*(F.lit(v) for pair in shares.items() for v in pair))
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     picked = marks.filter(draw < F.element_at(share, F.col("y")))
     texts = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") <= most)
-    return [(r.text, r.y) for r in texts.join(picked, "id").select("text", "y").collect()]
+    return [(r.text, r.y) for r in texts.join(picked, "id").select("text", "y").collect()], shares
 
 
 def learned(docs, labels, **options):
     """The model of a table of texts and a table of labels; without labels one that gives 0.5 to nothing."""
-    sample = labelled_sample(docs, labels, **options)
-    return train([t for t, _ in sample], [y for _, y in sample]) if sample else Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
+    sample, shares = labelled_sample(docs, labels, **options)
+    return train([t for t, _ in sample], [y for _, y in sample], {y: 1 / s for y, s in shares.items()}) if sample else Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
 
 
 def judge(docs, model, text="text"):
