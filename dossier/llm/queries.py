@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import ann, language_id, license_scan, lm_scoring, toxicity
 from .decontamination import contamination
 from .packing import pack
 from .simhash_dedup import near_duplicates
@@ -48,7 +48,7 @@ def op2_decontamination(spark, sf_dir):
 
 @_query
 def op4_toxicity(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _fold("doc_id", 5, 0))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
     model = toxicity.learned(docs.filter(~F.col("held_out")), _table(spark, sf_dir, "labels"))
     judged = toxicity.judge(docs, model)
     return judged.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentence", "sentence_score")
@@ -72,11 +72,50 @@ def op8_best_fit_packing(spark, sf_dir):
 
 @_query
 def op10_language_id(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _fold("doc_id", 4, 2))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
     network = language_id.learned(docs.filter(~F.col("held_out")))
     return language_id.identify(docs.drop("lang"), network).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def _fold(key, parts, part):
+@_query
+def op3_lm_scoring(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs, held_out("doc_id", 5, 1))
+
+
+@_query
+def op6_nearest_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@_query
+def op9_license_scan(spark, sf_dir):
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_license_scan"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+places AS (SELECT r, i, CASE WHEN ws[i+1] = 'cc' AND ws[i+2] = 'by' THEN 'cc-by'
+                             WHEN ws[i+1] = 'general' AND ws[i+2] = 'public' AND ws[i+3] = 'license' THEN 'gpl'
+                             WHEN ws[i+1] = 'all' AND ws[i+2] = 'rights' AND ws[i+3] = 'reserved' THEN 'reserved' END AS label
+           FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM d)),
+base AS (SELECT r, count(*) AS n, min(i) AS f, max(i) AS l, list(DISTINCT label) AS labels FROM places WHERE label IS NOT NULL GROUP BY r),
+t AS (SELECT label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
+      FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())}) AS v(label, notice)),
+lines AS (SELECT r, list_distinct(regexp_extract_all(lower(line), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+hits AS (SELECT r, label, len(list_intersect(lines.words, t.words)) / len(t.words) AS share FROM lines, t
+         WHERE len(list_intersect(lines.words, t.words)) >= ceil(len(t.words) * 8 / 10.0)),
+own AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM hits GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN own USING (r)
+"""
+
+
+def held_out(key, parts, part):
     """Whether a row is held out: by the CRC32 of its key as text."""
-    return (F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(parts)) == part).alias("held_out")
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(parts)) == part

@@ -216,10 +216,10 @@ def components(links):
 
 
 def near_duplicates(docs, id="doc_id", text="text", shingle=3):
-    """One row for each row of ``docs``: its id, ``fp``, ``component_id`` and ``row``, its number in the table.
+    """One row for each row of ``docs``: its id, ``fp``, ``component_id``, ``root`` and ``row``, its number in the table.
 
     ``component_id`` is the smallest id that is reachable over links of at most two differing bits; null ids are
-    rows like others but never the smallest unless all are null. ``docs`` must give its rows in the same order of
+    rows like others but never the smallest unless all are null. ``root`` names the component. ``docs`` must give its rows in the same order of
     partitions each time, as a table scan does.
     """
     marked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -228,5 +228,13 @@ def near_duplicates(docs, id="doc_id", text="text", shingle=3):
     roots = components(linked(nodes.select("fp")))
     placed = stored(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    label = stored(placed.join(least, "root").select("fp", "component_id"))
-    return prints.join(label, "fp").select(F.col("id").alias(id), "fp", "component_id", "row")
+    label = stored(placed.join(least, "root").select("fp", "root", "component_id"))
+    return prints.join(label, "fp").select(F.col("id").alias(id), "fp", "component_id", "root", "row")
+
+
+def deduplicated(docs, id="doc_id", text="text", shingle=3):
+    """The rows of ``docs`` that stay if one of each component does: that of the smallest id, of equal ids the first."""
+    groups = near_duplicates(docs, id, text, shingle)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "row")).alias("x"))
+    keep = stored(first.select(F.col("x.row").alias("__row")))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(keep, "__row", "left_semi").drop("__row")
