@@ -10,6 +10,8 @@ goes with the tasks.
 import numpy as np
 from pyspark.sql import functions as F
 
+from .textops import widened
+
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 8
 WINDOW = 256  # bytes
 BATCH = 512  # windows that are worked on at once
@@ -123,9 +125,8 @@ def identify(docs, network, text="text"):
     ``score`` is the probability of ``lang_pred``. A text that is null or has no letter is ``und`` with score 0, and so
     is every text if the network is None, for want of labels.
     """
-    rest = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lang_pred string, score double"])
-    return docs.mapInArrow(_identify(network, text, [f.name for f in rest]), shape)
+    rest, shape = widened(docs.schema, "lang_pred string, score double")
+    return docs.mapInArrow(_identify(network, text, rest), shape)
 
 
 def _identify(network, text, names):

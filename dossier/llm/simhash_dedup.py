@@ -16,8 +16,8 @@ import functools
 import numpy as np
 from pyspark.sql import functions as F
 
-from .shared import stored
-from .textops import slices
+from .shared import numbered, stored
+from .textops import slices, widened
 
 BITS, BUDGET = 64, 2
 BLOCKS = (22, 21, 21)
@@ -31,9 +31,8 @@ def fingerprinted(docs, text="text", shingle=3):
 
     A text of fewer than ``shingle`` words is one shingle, a null text or one without words has fingerprint 0.
     """
-    rest = [f for f in docs.schema if f.name not in (text, "fp")]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "fp long"])
-    return docs.mapInArrow(_fingerprint(text, shingle, [f.name for f in rest]), shape)
+    rest, shape = widened([f for f in docs.schema if f.name != text], "fp long")
+    return docs.mapInArrow(_fingerprint(text, shingle, rest), shape)
 
 
 def _fingerprint(text, shingle, names):
@@ -219,10 +218,13 @@ def near_duplicates(docs, id="doc_id", text="text", shingle=3):
     """One row for each row of ``docs``: its id, ``fp``, ``component_id``, ``root`` and ``row``, its number in the table.
 
     ``component_id`` is the smallest id that is reachable over links of at most two differing bits; null ids are
-    rows like others but never the smallest unless all are null. ``root`` names the component. ``docs`` must give its rows in the same order of
-    partitions each time, as a table scan does.
+    rows like others but never the smallest unless all are null. ``root`` names the component.
     """
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    return _grouped(numbered(docs), id, text, shingle)
+
+
+def _grouped(keyed, id, text, shingle):
+    marked = keyed.select(F.col("__row").alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     prints = stored(fingerprinted(marked, shingle=shingle))
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(linked(nodes.select("fp")))
@@ -234,7 +236,8 @@ def near_duplicates(docs, id="doc_id", text="text", shingle=3):
 
 def deduplicated(docs, id="doc_id", text="text", shingle=3):
     """The rows of ``docs`` that stay if one of each component does: that of the smallest id, of equal ids the first."""
-    groups = near_duplicates(docs, id, text, shingle)
+    keyed = numbered(docs)
+    groups = _grouped(keyed, id, text, shingle)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "row")).alias("x"))
     keep = stored(first.select(F.col("x.row").alias("__row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(keep, "__row", "left_semi").drop("__row")
+    return keyed.join(keep, "__row", "left_semi").drop("__row")

@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import stored
-from .textops import Words, mix, slices, windows
+from .shared import numbered, stored
+from .textops import Words, mix, slices, widened, windows
 
 #: Perfect difference sets by their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -29,19 +29,17 @@ def remove_repeats(docs, text="text", window=35):
     ``window`` words covers whose word sequence also starts at another place of any text. A null or
     empty text has no words, ``kept_text`` is then ''. Repeated rows are texts of their own, so both
     lose all words if they are long enough. Windows are judged on the input: removals do not make new
-    neighbours. ``docs`` is read more than once and must give its rows in the same order of partitions
-    each time, as a table scan does.
+    neighbours. ``docs`` is read more than once. Column names that begin with two underscores are kept for the work.
     """
     period = max(p for p in COVERS if p <= max(1, (window + 7) // 2) and p <= window)
-    keyed = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns])
+    keyed = numbered(docs)
     base = keyed.join(_copies(keyed, text), "__row", "left")
     anchors = base.filter("__first is null or __first").mapInArrow(_anchors(text, window, period), "k long, row long, pos int")
     near = _repeated(anchors, "k")
-    found = base.join(near, F.col("__row") == F.col("row"), "left").mapInArrow(_extended(text, window, period), "k long, k2 int, row long, pos int")
+    found = base.join(near, F.col("__row") == F.col("__near"), "left").mapInArrow(_extended(text, window, period), "k long, k2 int, row long, pos int")
     sure = _repeated(found, "k", "k2")
-    kept = [f for f in docs.schema if f.name not in ("n_words", "n_removed", "kept_text")]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long, n_removed long, kept_text string"])
-    return base.join(sure, F.col("__row") == F.col("row"), "left").mapInArrow(_cut(text, window, [f.name for f in kept]), shape)
+    kept, shape = widened(docs.schema, "n_words long, n_removed long, kept_text string")
+    return base.join(sure, F.col("__row") == F.col("__near"), "left").mapInArrow(_cut(text, window, kept), shape)
 
 
 def _copies(keyed, text):
@@ -56,7 +54,7 @@ def _repeated(rows, *key):
     n = F.count(F.lit(1)).over(Window.partitionBy(*key))
     hits = rows.withColumn("n", n).filter((F.col("n") > 1) | (F.col("pos") < 0))
     place = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    return hits.groupBy("row").agg(F.collect_list(place).alias("at"))
+    return hits.groupBy(F.col("row").alias("__near")).agg(F.collect_list(place).alias("__at"))
 
 
 def _told(keys, rows, places, known=False):
@@ -116,10 +114,10 @@ def _extended(text, window, period):
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
-                if part["at"].null_count == part.num_rows:
+                if part["__at"].null_count == part.num_rows:
                     continue
                 words = Words(part[text])
-                starts = _spans(words, part["at"], period - 1, 1) & words.fits(window)
+                starts = _spans(words, part["__at"], period - 1, 1) & words.fits(window)
                 pick = np.flatnonzero(starts)
                 if len(pick):
                     hashes = words.hashes()
@@ -138,7 +136,7 @@ def _cut(text, window, names):
             for part in slices(batch, text):
                 words = Words(part[text])
                 copied = np.asarray(part["__first"].is_valid()) & (words.count >= window)
-                gone = _spans(words, part["at"], 0, window) | copied[words.text_of()]
+                gone = _spans(words, part["__at"], 0, window) | copied[words.text_of()]
                 before = np.concatenate([[0], np.cumsum(gone)])
                 removed = before[words.first[1:]] - before[words.first[:-1]]
                 data, kept = words.data.tobytes(), []

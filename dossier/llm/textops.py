@@ -7,6 +7,7 @@ with a chance of about 2**-64 a pair.
 """
 
 import numpy as np
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2_000_000  # of text that is worked on at once; a longer text is worked on alone
 _U = np.uint64
@@ -114,6 +115,13 @@ def buffers(array):
     return data, offsets - offsets[0], present
 
 
+def widened(schema, added):
+    """The fields of a schema that are not among the added ones (DDL), and the schema of both, for a map over batches."""
+    new = T._parse_datatype_string(added)
+    rest = [T.StructField(f.name, f.dataType) for f in schema if f.name not in new.names]
+    return [f.name for f in rest], T.StructType([*rest, *new])
+
+
 def slices(batch, column="text", most=SLICE_BYTES):
     """Cuts a record batch into runs of rows of at most ``most`` bytes of text, or of one row."""
     import pyarrow.compute as pc

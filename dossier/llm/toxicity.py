@@ -10,7 +10,7 @@ is two arrays and unseen forms of a known stem count too.
 import numpy as np
 from pyspark.sql import functions as F
 
-from .textops import Words, buffers, mix, slices
+from .textops import Words, buffers, mix, slices, widened
 
 SAMPLE, SAMPLE_BYTES = 4000, 20_000  # rows of each label, about, and bytes of a row, in the sample
 ENDS = np.zeros(256, bool)
@@ -50,7 +50,7 @@ class Model:
     def index(self, hashes):
         """Places in the weights; those of unknown words are one beyond them, where the weight is 0."""
         if not len(self.keys):
-            return np.zeros(len(hashes), np.int64)
+            return np.zeros(hashes.shape, np.int64)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, at, len(self.keys))
 
@@ -130,9 +130,8 @@ def judge(docs, model, text="text"):
 
     Columns of these names are replaced. A text without words, a null one too, has score 0 and a null sentence.
     """
-    rest = [f for f in docs.schema if f.name not in ("score", "sentence", "sentence_score")]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "score double, sentence string, sentence_score double"])
-    return docs.mapInArrow(_judge(model, text, [f.name for f in rest]), shape)
+    rest, shape = widened(docs.schema, "score double, sentence string, sentence_score double")
+    return docs.mapInArrow(_judge(model, text, rest), shape)
 
 
 def _judge(model, text, names):
