@@ -5,11 +5,12 @@ EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 MOBILE = r"(?U)(\+91[-.\s]?)?([6-9]\d{9})\b"
 # \n?\z is what an end anchor means where a final line feed is tolerated
 EMAIL_SHAPE = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+\n?\z"
+# parts that cannot change what an unanchored search finds (scheme, host prefix) are left out of the next two
 LINKEDIN_PROFILE = r"linkedin\.com/in/[a-zA-Z0-9-]+"
 GITHUB_PROFILE = r"github\.com/[a-zA-Z0-9-]+/?\n?\z"
 MAILTO = r"mailto:([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+)"
-HREF = r"""href\s*=\s*["']([^"']+)["']"""
-OBJECT_ID = r"^[0-9a-fA-F]{24}$"
+HREF = r"""(?i)(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+OBJECT_ID = r"^[0-9a-fA-F]{24}\z"
 COUNTRY_CODE = "+91"
 
 # --- fixed values: white space as a Unicode-aware split sees it -------------------------------

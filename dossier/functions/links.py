@@ -6,8 +6,16 @@ from dossier import constants as K
 
 
 def link_targets(html):
-    """All link targets of a page in page order."""
-    return F.regexp_extract_all(html, F.lit(K.HREF), F.lit(1))
+    """All link targets of a page in page order, quoted or not, with the usual entities decoded."""
+    written = F.regexp_extract_all(html, F.lit(K.HREF), F.lit(1))
+    return F.filter(F.transform(written, _target), lambda u: u != "")
+
+
+def _target(written):
+    bare = F.btrim(F.btrim(written, F.lit("\"'")))
+    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    return bare
 
 
 def _last(urls, pattern):

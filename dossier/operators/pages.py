@@ -2,84 +2,52 @@
 
 from pyspark.sql import functions as F
 
-from dossier.functions.text import blank_to_null, clean, first_email, first_mobile, strip
+from dossier.functions.text import blank_to_null, first_email, first_mobile, strip
 
-PAGES_PER_PART = 2000
 
+def assemble_pages(pages, doc, page, text="text"):
+    """One row per document: its page texts in page order, joined by line feeds.
 
-def assemble_pages(pages, doc, page, text="text", pages_per_part=PAGES_PER_PART):
-    """Page texts in page order, one row per document, ``part`` and ``piece``.
-
-    A part is a range of page numbers, so a long document is cut into parts and no task ever holds
-    more than ``pages_per_part`` pages of it; a document below that has the single part 0, piece 0.
-    Where page numbers repeat so often that a part would still be too large, its rows are spread
-    over pieces as well. Nothing is dropped: parts and pieces in order are the document. All
-    patterns looked for in text end at a line feed, so they can be applied row by row.
+    Empty pages leave no line; white space is taken off the two ends of the document only. The
+    layout is the same for every size, so a document is bounded by what one text value holds (2 GB);
+    what is looked for in text is found page by page (``contacts_in_pages``) and needs no long text.
     """
-    rows = pages.select(
-        doc,
-        F.floor(F.col(page) / pages_per_part).cast("bigint").alias("part"),
-        F.col(page).alias("page"),
-        F.when(F.col(text) != "", F.col(text)).alias("text"),
-    )
-    sizes = rows.groupBy(doc, "part").agg(F.count("*").alias("_rows"))
-    crowded = sizes.where(F.col("_rows") > 2 * pages_per_part)
-    first = F.lit(0).cast("bigint")
-    if crowded.isEmpty():  # the usual case, found from two narrow columns
-        return _joined(rows.withColumn("piece", first), doc)
-    slices = F.ceil(F.col("_rows") / pages_per_part)
-    # numbered at the scan, where a repeated task numbers the same rows alike
-    numbered = rows.withColumn("_mark", F.xxhash64(F.monotonically_increasing_id()))
-    offset = F.col("page") - F.col("part") * pages_per_part
-    piece = (offset * slices + F.pmod("_mark", slices)).cast("bigint")
-    spread = numbered.join(crowded, [doc, "part"]).withColumn("piece", piece).drop("_rows", "_mark")
-    usual = rows.join(crowded, [doc, "part"], "left_anti").withColumn("piece", first)
-    return _joined(usual.unionByName(spread), doc)
-
-
-def _joined(rows, doc):
-    filled = F.when(F.col("text").isNotNull(), F.struct("page", "text"))
-    return (
-        rows.groupBy(doc, "part", "piece")
-        .agg(F.array_sort(F.collect_list(filled)).alias("_pages"))
-        .select(doc, "part", "piece", strip(F.array_join(F.col("_pages.text"), "\n")).alias("text"))
-    )
+    filled = F.when(F.col(text) != "", F.struct(F.col(page).alias("page"), F.col(text).alias("text")))
+    ordered = F.array_sort(F.collect_list(filled))
+    grouped = pages.groupBy(doc).agg(ordered.alias("_pages"))
+    return grouped.select(doc, strip(F.array_join(F.col("_pages.text"), "\n")).alias("text"))
 
 
 def fill_blank_documents(primary, fallback, doc):
-    """Rows of ``primary``; documents without any text there take theirs from ``fallback``.
+    """Rows of ``primary`` (``doc``, ``text``); a blank text there is taken from ``fallback``.
 
-    A document that is blank in both keeps one row with NULL text.
+    A document that is blank in both keeps its row with NULL text. Only the blank ones are joined.
     """
-    state = primary.groupBy(doc).agg(F.bool_or(blank_to_null(F.col("text")).isNotNull()).alias("_has_text"))
-    blank = state.where(~F.coalesce("_has_text", F.lit(False))).select(doc)
-    kept = primary.join(blank, doc, "left_anti").select(doc, "part", "piece", strip(F.col("text")).alias("text"))
-    second = fallback.select(doc, "part", "piece", blank_to_null(F.col("text")).alias("text"))
-    first = F.lit(0).cast("bigint")
-    filled = blank.join(second, doc, "left").select(
-        doc, F.coalesce("part", first).alias("part"), F.coalesce("piece", first).alias("piece"), "text"
-    )
-    return kept.unionByName(filled)
-
-
-def clean_parts(parts):
-    return parts.withColumn("text", clean(F.col("text")))
+    text = blank_to_null(F.col("text"))
+    own = primary.select(doc, text.alias("text"))
+    second = fallback.select(doc, text.alias("text"))
+    return own.where("text IS NOT NULL").unionByName(own.where("text IS NULL").select(doc).join(second, doc, "left"))
 
 
-def contacts_in_text(parts, doc):
-    """First e-mail and first mobile of each document.
+def contacts_in_pages(pages, doc, page, text="text"):
+    """First e-mail and first mobile of each document, and whether it has any text.
 
-    Found row by row, then the first in document order: a partial aggregate of two short strings.
+    The patterns do not span white space, so each page is searched where it is read, and the first
+    finds in page order are two short strings of a partial aggregate. Of pages with one number the
+    text that sorts first counts, as in the assembled document.
     """
-    found = parts.select(
+    lower = F.lower(text)
+    found = pages.select(
         doc,
-        F.struct("part", "piece").alias("place"),
-        first_email(F.col("text")).alias("email"),
-        first_mobile(F.col("text")).alias("mobile"),
-        F.col("text").isNotNull().alias("has"),
+        F.col(page).alias("_page"),
+        F.col(text).alias("_text"),
+        first_email(lower).alias("email"),
+        first_mobile(lower).alias("mobile"),
+        blank_to_null(F.col(text)).isNotNull().alias("has"),
     )
 
     def first(name):
-        return F.expr(f"min_by({name}, place) FILTER (WHERE {name} IS NOT NULL)").alias(f"text_{name}")
+        place = f"CASE WHEN {name} IS NOT NULL THEN struct(_page, _text) END"
+        return F.expr(f"min_by({name}, {place}) FILTER (WHERE {name} IS NOT NULL)").alias(f"text_{name}")
 
     return found.groupBy(doc).agg(first("email"), first("mobile"), F.coalesce(F.bool_or("has"), F.lit(False)).alias("has_text"))

@@ -1,11 +1,16 @@
 """Stable pages."""
 
 import math
+import os
 
 from pyspark.sql import functions as F
 
 from dossier import constants as K
 
+RANGE = 10 * K.MAX_PAGE_SIZE  # rows of a range that are ordered to find a page
+STEP = 2  # characters by which a prefix grows
+LONGEST = 256  # characters in which unique keys have to differ
+
 
 def page_size(limit=None):
     """The asked size within 1..1000, 100 when it is no such number."""
@@ -17,25 +22,44 @@ def page_size(limit=None):
 
 
 def page(df, number=1, limit=None, key="profile_id"):
-    """A 1-based page in the order of the unique ``key``; "last" is the last one.
+    """A 1-based page in the order of the unique text ``key``; "last" is the last one.
 
-    A first job orders only the keys of the matching rows and brings back two of them, the first
-    and last of the page. Between these literals the page is read: they are pushed to the scan, so
-    of the wide columns only the row groups and column pages around them are decoded, and no
-    skipped row carries its profile through a sort. ``page_after`` costs the same at any depth.
+    Jobs over the keys of the matching rows find the page: counts by a prefix of the key tell in
+    which range it begins, longer prefixes are counted inside a range of more than ``RANGE`` rows,
+    and only what lies behind the beginning of the range is ordered, as far as the page goes. So no
+    task ever keeps more than ``RANGE`` keys and a page, at any depth. Then the page is read between
+    its first and last key: both are pushed to the scan, so of the wide columns only the row groups
+    and column pages around them are decoded.
     """
     size = page_size(limit)
-    if number == "last":
-        number = max(1, math.ceil(df.count() / size))
-    if int(number) < 1:
+    if number != "last" and int(number) < 1:
         raise ValueError("page: invalid page")
-    keys = df.select(key).orderBy(key).offset((int(number) - 1) * size).limit(size)
-    first, last = keys.agg(F.min(key), F.max(key)).first()
-    if first is None:
+    keys = df.select(F.col(key).alias("key"))
+    low, high, total = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
+    number = max(1, math.ceil(total / size)) if number == "last" else int(number)
+    skip = (number - 1) * size
+    if skip >= total:
         return df.limit(0)
+    start, skip = _range(keys, low, len(os.path.commonprefix([low, high])), total, skip)
+    shown = keys.where(F.col("key") >= start).orderBy("key").offset(skip).limit(size)
+    first, last = shown.agg(F.min("key"), F.max("key")).first()
     return df.where(F.col(key).between(first, last)).orderBy(key).limit(size)
 
 
+def _range(keys, start, known, rows, skip):
+    """The start of the range that holds the row number ``skip``, and that row's number in it."""
+    while rows > RANGE and known < LONGEST:
+        known += STEP
+        counts = keys.groupBy(F.left("key", F.lit(known)).alias("head")).count().orderBy("head").collect()
+        for head, n in counts:  # as many as there are digits in the step
+            if skip < n:
+                start, rows = head, n
+                break
+            skip -= n
+        keys = keys.where(F.startswith("key", F.lit(start)))
+    return start, skip
+
+
 def page_after(df, last_key=None, limit=None, key="profile_id"):
     """The page behind the last key seen: a pushed-down comparison and a top-k, at any depth."""
     rest = df if last_key is None else df.where(F.col(key) > last_key)

@@ -10,18 +10,24 @@ UPDATABLE = ("storage_path", "parsing_status", "no_of_retries", "parsed_data_id"
 
 
 def content_id(*cols):
-    """UUID-shaped id that is the same again when a lost task is repeated."""
+    """UUID-shaped id of some text columns, the same again when a lost task is repeated."""
     digest = F.sha2(F.concat_ws("|", *cols), 256)
     return F.regexp_replace(F.left(digest, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def intake(files, at, file="file"):
-    """Tracking rows of a batch of files; an empty batch is an error."""
+    """Tracking rows of a batch of files, one row and one id each; an empty batch is an error.
+
+    An id is a function of the name, of the moment (as microseconds, so of no time zone) and of how
+    many times the name came before in the batch; names are numbered within their own group only.
+    """
     if files.isEmpty():
         raise ValueError("no files")
     at = at if not isinstance(at, str) else F.lit(at).cast("timestamp")
+    copies = files.groupBy(file).agg(F.count("*").alias("_n"))
+    files = copies.select(file, F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_copy"))
     values = {
-        "id": content_id(F.col(file), at),
+        "id": content_id(F.col(file), F.unix_micros(at).cast("string"), F.col("_copy").cast("string")),
         "file": F.col(file),
         "storage_path": F.col(file),
         "parsing_status": F.lit(K.IN_PROGRESS),
@@ -67,6 +73,14 @@ def apply_updates(tracking, updates, seq="seq", at="at"):
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in tracking.columns])
 
 
+def settle(tracking, log):
+    """Tracking after a log of ``etl.tracking_updates``: updates, then failed tries, then final failures."""
+    tried = log.groupBy("id").agg(F.sum("failed_tries").cast("int").alias("_n")).where("_n > 0")
+    updated = apply_updates(tracking, log.where("failed_tries = 0"))
+    total = F.col("no_of_retries") + F.coalesce("_n", F.lit(0))
+    return mark_failed(updated.join(tried, "id", "left").withColumn("no_of_retries", total).drop("_n"))
+
+
 def count_retries(tracking, retries):
     """``no_of_retries`` plus the rows of the retry log (``id``)."""
     counted = retries.groupBy("id").agg(F.count("*").cast("int").alias("_n"))

@@ -7,6 +7,7 @@ from dossier import constants as K
 from dossier import schema
 from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
+from dossier.sources.store import profile_key
 
 OUTCOME = T.StructType(
     [
@@ -70,19 +71,18 @@ def quarantined(outcome):
     return outcome.where(F.col("error_class") != K.NO_ERROR).select("doc_id", "seq", "error_class", "errors")
 
 
-def failed_attempts(outcome):
-    """One row per failed try of a document, for ``tracking.count_retries``; ``outcome`` as read back."""
-    return outcome.where(F.col("error_class") != K.NO_ERROR).select(F.col("doc_id").alias("id"))
+def tracking_updates(outcome, at):
+    """Log of one batch for ``tracking.settle``: an update for each accepted document, a failed try for each other.
 
-
-def tracking_updates(outcome, profile_ids, at):
-    """Update log of the accepted documents for ``tracking.apply_updates``; ``profile_ids``: doc_id, profile_id."""
-    ids = profile_ids.select(F.col("doc_id").alias("id"), F.col("profile_id").alias("parsed_data_id"))
-    done = outcome.where(F.col("error_class") == K.NO_ERROR).select(
+    The id of a profile is a function of its e-mail, so nothing is looked up.
+    """
+    done = F.col("error_class") == K.NO_ERROR
+    return outcome.select(
         F.col("doc_id").alias("id"),
         "seq",
-        F.lit(K.COMPLETED).alias("parsing_status"),
-        F.col("parsed_data.resume_type").alias("resume_category"),
+        F.when(done, K.COMPLETED).alias("parsing_status"),
+        F.when(done, F.col("parsed_data.resume_type")).alias("resume_category"),
+        F.when(done, profile_key(F.col("parsed_data.personal_information.email"))).alias("parsed_data_id"),
         at.alias("at"),
+        (~done).cast("int").alias("failed_tries"),
     )
-    return done.join(ids, "id", "left")

@@ -41,6 +41,14 @@ def retrieve_json(profiles, params, tracking=None, as_of=None):
     return json_documents(decorate(retrieve(profiles, params, tracking, as_of)))
 
 
+def answer(profiles, params, tracking=None, as_of=None, number=1, limit=None):
+    """What a request asks for: all matches as flat rows with ``format_type`` csv, else a page of profiles."""
+    spec = as_spec(params)
+    if spec.format_type == "csv":
+        return retrieve_csv(profiles, spec, tracking, as_of)
+    return retrieve_page(profiles, spec, tracking, as_of, number, limit)
+
+
 def page_envelope(profiles, params, tracking=None, as_of=None, number=1, limit=None):
     return envelope(retrieve(profiles, params, tracking, as_of), number, limit)
 

@@ -1,4 +1,8 @@
-"""The profile table: parquet, partitioned by a hash bucket of the upsert key."""
+"""The profile table: immutable parquet segments, named by a manifest and partitioned by a hash bucket of the upsert key."""
+
+import json
+import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +47,8 @@ def with_bucket(df, buckets):
     return df.withColumn("bucket", F.pmod(F.xxhash64("email"), F.lit(buckets)).cast("int"))
 
 
-def write_buckets(df, path, mode="overwrite"):
-    """Writes whole buckets, replacing only those that occur in ``df``.
+def write_buckets(df, path):
+    """Writes rows by bucket to a new folder, or to one that an unfinished try has left.
 
     The rebalance lets the adaptive planner cut large buckets into several files and keep small
     ones in one; sorted ids give the row groups of a file narrow id ranges.
@@ -54,8 +58,7 @@ def write_buckets(df, path, mode="overwrite"):
         df.select(*columns)
         .hint("rebalance", F.col("bucket"))
         .sortWithinPartitions("bucket", "profile_id")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(path)
     )
@@ -66,38 +69,107 @@ def read_profiles(spark, path):
 
 
 class ProfileStore:
-    """Profiles under ``path``; the number of buckets is fixed when the store is made.
+    """Profiles under ``path``.
+
+    A batch is written as a segment of its own, in proportion to the batch, and published by one new
+    manifest file that names all segments. What is published is never changed or overwritten: a
+    driver lost before the manifest leaves a segment that nobody reads, one lost after it a batch
+    that is known when it comes again. Readers take the segments of the manifest they began with and
+    see of each e-mail the newest row by ``seq``. ``compact`` makes one segment of them from time to
+    time, which keeps reading cheap; it deletes nothing, ``unreferenced`` lists what may go.
 
-    Choose it so that a bucket is some GB: an upsert rewrites the buckets it touches and reads no
-    other. Every batch is idempotent, so one repeated after a lost driver brings a half-replaced
-    set of buckets to the same end.
+    One writer at a time; of two that publish the same version the second fails and may repeat.
     """
 
     def __init__(self, spark, path, buckets=64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def create(self):
         """An empty table unless there is one."""
-        empty = self.spark.createDataFrame([], STORED)
-        empty.write.mode("ignore").partitionBy("bucket").parquet(self.path)
+        if self._version() < 0:
+            self._publish(0, {"segments": [], "batches": []})
         return self
 
-    def read(self):
-        return read_profiles(self.spark, self.path)
+    # --- manifest ---
+
+    def _files(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.path}/manifest")
+        return hadoop, folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def _version(self):
+        _, files, folder = self._files()
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=-1)
+
+    def _manifest(self):
+        version = self._version()
+        if version < 0:
+            raise FileNotFoundError(f"no profile store in {self.path}")
+        # one small file of one line; read by its own name, it never changes
+        return version, json.loads(self.spark.read.text(f"{self.path}/manifest/{version:012d}.json").first().value)
+
+    def _publish(self, version, content):
+        """Writes aside, then renames: a manifest is there whole or not at all."""
+        hadoop, files, folder = self._files()
+        aside, final = hadoop.Path(folder, f"_{uuid.uuid4().hex}"), hadoop.Path(folder, f"{version:012d}.json")
+        out = files.create(aside, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        if files.exists(final) or not files.rename(aside, final):
+            raise RuntimeError(f"another writer has published version {version}")
+
+    # --- reading ---
+
+    def segments(self):
+        """Folders of the published segments, oldest first."""
+        return [f"{self.path}/data/{name}" for name in self._manifest()[1]["segments"]]
 
-    def ids(self, buckets):
-        """E-mail and id of the profiles in the given buckets."""
-        return self.read().where(F.col("bucket").isin(buckets)).select("email", "profile_id")
-
-    def upsert(self, batch):
-        """``batch``: email, seq, parsed_data, other_contacts; returns the buckets touched."""
+    def read(self):
+        """One row per e-mail: the first segment less what newer ones replace, and the newest of those.
+
+        Batches are small against the first segment, whose payload passes an anti join that the
+        adaptive planner broadcasts while they are.
+        """
+        paths = self.segments()
+        if not paths:
+            return self.spark.createDataFrame([], STORED)
+        base = read_profiles(self.spark, paths[0])
+        if len(paths) == 1:
+            return base
+        parts = [read_profiles(self.spark, p).withColumn("_order", F.struct("seq", F.lit(i))) for i, p in enumerate(paths[1:])]
+        newer = reduce(lambda a, b: a.unionByName(b), parts)
+        # the winner of each e-mail is found from narrow columns, then its row is taken
+        best = newer.groupBy("email").agg(F.max("_order").alias("_order"))
+        latest = newer.join(best, ["email", "_order"], "left_semi").drop("_order", "bucket")
+        merged = merge_latest(base.drop("bucket"), latest, "email", "seq", KEEP, REPLACE)
+        return with_bucket(merged, self.buckets).select(*[f.name for f in STORED])
+
+    # --- writing ---
+
+    def upsert(self, batch, batch_id=None):
+        """``batch``: email, seq, parsed_data, other_contacts. A ``batch_id`` that is known is not taken in again."""
+        version, content = self._manifest()
+        if batch_id is not None and str(batch_id) in content["batches"]:
+            return
         new = promote(batch).withColumn("profile_id", profile_key(F.col("email")))
         latest = latest_by_key(new, "email", "seq", first=KEEP, last=["seq", *REPLACE])
-        # at most ``buckets`` small integers come to the driver, as literals they prune the scan
-        keys = with_bucket(batch.where("email IS NOT NULL").select("email"), self.buckets)
-        touched = [r.bucket for r in keys.select("bucket").distinct().collect()]
-        if touched:
-            stored = self.read().where(F.col("bucket").isin(touched)).drop("bucket")
-            merged = merge_latest(stored, latest, "email", "seq", KEEP, REPLACE)
-            write_buckets(with_bucket(merged, self.buckets), self.path)
-        return touched
+        name = f"batch-{version + 1:012d}"
+        write_buckets(with_bucket(latest, self.buckets), f"{self.path}/data/{name}")
+        known = [] if batch_id is None else [str(batch_id)]
+        # of a stream only the last batch can come again, a few more are kept for good measure
+        self._publish(version + 1, {"segments": [*content["segments"], name], "batches": [*content["batches"], *known][-1000:]})
+
+    def compact(self):
+        """One segment of all of them; those that were read stay where they are."""
+        version, content = self._manifest()
+        name = f"base-{version + 1:012d}"
+        write_buckets(self.read(), f"{self.path}/data/{name}")
+        self._publish(version + 1, content | {"segments": [name]})
+
+    def unreferenced(self):
+        """Segment folders that the current manifest does not name; readers that began earlier may still use them."""
+        hadoop, files, _ = self._files()
+        data = hadoop.Path(f"{self.path}/data")
+        names = [s.getPath().getName() for s in files.listStatus(data)] if files.exists(data) else []
+        return sorted(set(names) - set(self._manifest()[1]["segments"]))

@@ -2,23 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from dossier.functions.text import blank_to_null, clean, first_email, first_mobile
-from dossier.operators.hotkeys import lookup_join
+from dossier.functions.text import blank_to_null, first_email, first_mobile
 from dossier.plans.etl import accepted, process, read_outcome, tracking_updates, write_outcome
 
 DOCUMENT = "doc_id string, seq bigint, text string, urls array<string>, reply string"
 
 
 def with_text_contacts(documents):
-    """Contact details found in the cleaned text of each document."""
-    text = clean(F.col("text"))
-    return (
-        documents.withColumn("_clean", text)
-        .withColumn("has_text", blank_to_null(F.col("text")).isNotNull())
-        .withColumn("text_email", first_email(F.col("_clean")))
-        .withColumn("text_mobile", first_mobile(F.col("_clean")))
-        .drop("_clean", "text")
-    )
+    """Contact details found in the text of each document.
+
+    Lower case is enough: taking out stop words drops whole words, and no pattern spans white space.
+    """
+    lower = F.lower("text")
+    found = {"has_text": blank_to_null(F.col("text")).isNotNull(), "text_email": first_email(lower), "text_mobile": first_mobile(lower)}
+    return documents.withColumns(found).drop("text")
 
 
 def apply_batch(documents, batch_id, store, outcome_path, updates_path, at=None):
@@ -31,12 +28,9 @@ def apply_batch(documents, batch_id, store, outcome_path, updates_path, at=None)
     staged = f"{outcome_path}/batch={batch_id}"
     write_outcome(process(with_text_contacts(documents)), staged)
     outcome = read_outcome(store.spark, staged)
-    good = accepted(outcome)
-    touched = store.upsert(good)
-    ids = lookup_join(good.select("doc_id", "email"), store.ids(touched), "email", spread="doc_id")
+    store.upsert(accepted(outcome), batch_id)
     now = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
-    updates = tracking_updates(outcome, ids.select("doc_id", "profile_id"), now)
-    updates.write.mode("overwrite").parquet(f"{updates_path}/batch={batch_id}")
+    tracking_updates(outcome, now).write.mode("overwrite").parquet(f"{updates_path}/batch={batch_id}")
 
 
 def ingest(spark, folder, store, outcome_path, updates_path, checkpoint, at=None, files_per_batch=1000, clean_source="off"):

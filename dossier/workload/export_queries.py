@@ -1,14 +1,18 @@
 """Decorated results, the flat export and JSON documents."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
-from dossier.operators.export import csv_columns, decorate, json_documents
+from dossier.operators.export import csv_columns, decorate
+from dossier.sources.files import read_csv, write_csv, write_json
 from dossier.workload.registry import query
-from dossier.workload.star import star_store
+from dossier.workload.star import star_store, work_folder
 from dossier.workload.star_sql import PROFILES
 from dossier.workload.text_queries import duration_sql
 
 SLOTS = range(1, 6)
+_runs = itertools.count()
 
 
 def _or_empty(expression):
@@ -50,7 +54,10 @@ def _csv_sql():
 
 @query("csv_export", _csv_sql())
 def csv_export(spark, sf_dir):
-    flat = csv_columns(decorate(star_store(spark, sf_dir)))
+    """All columns, written as CSV files and read back."""
+    path = f"{work_folder(spark, sf_dir, 'csv')}-{next(_runs)}"
+    write_csv(csv_columns(decorate(star_store(spark, sf_dir))), path)
+    flat = read_csv(spark, path)
     data = F.col("Parsed Data")
     return flat.withColumns(
         {
@@ -74,7 +81,9 @@ def json_export(spark, sf_dir):
     data = "$.parsed_data"
     skills = F.get_json_object(doc, f"{data}.skills.total_skill_experience")
     first = F.nullif(F.regexp_extract(skills, r'^\{"([^"]+)"', 1), F.lit(""))
-    return json_documents(decorate(star_store(spark, sf_dir))).select(
+    path = f"{work_folder(spark, sf_dir, 'json')}-{next(_runs)}"
+    write_json(decorate(star_store(spark, sf_dir)), path)
+    return spark.read.text(path).withColumnRenamed("value", "document").select(
         F.get_json_object(doc, "$._id").alias("id"),
         F.get_json_object(doc, f"{data}.title").alias("title"),
         F.get_json_object(doc, f"{data}.additional_experience_summary.service_company_experience").alias("service"),

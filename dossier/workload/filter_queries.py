@@ -7,7 +7,7 @@ from dossier.operators.filters import FilterSpec
 from dossier.operators.paging import page, page_after
 from dossier.plans.retrieval import page_envelope, retrieve
 from dossier.workload.registry import query, register
-from dossier.workload.star import AS_OF, hex24, star_store, star_tracking, table
+from dossier.workload.star import hex24, star_store, star_tracking, table
 from dossier.workload.star_sql import PROFILES, TRACKING
 
 EVERY = "list_concat(lang_p, lang_a, fw_p, fw_a, tech_p, tech_a)"
@@ -55,7 +55,7 @@ FILTERS = {
         {"skills_or": "Brand#3", "proficient_technologies_or": "SMALL,hot bolt"},
         f"{_has(EVERY, 'Brand#3')} OR {_has(BEST, 'SMALL')} OR {_has(BEST, 'hot bolt')}",
     ),
-    "f_industry": ({"industry_type": "FinTech"}, _any("experience", "x.industry = 'fintech'")),
+    "f_industry": ({"industry_type": "Sector C"}, _any("experience", "x.industry = 'sector c'")),
     "f_company_size": ({"company_size": ">1000"}, _any("experience", "x.size = '>1000'")),
     # the three tests may be met by three different degrees
     "f_independent_elements": (
@@ -97,26 +97,37 @@ for _name, (_params, _test) in FILTERS.items():
 
 # --- time windows ------------------------------------------------------------------------------
 
+# Each window ends so that it begins shortly before the last events, at another hour for each: a window
+# of another length then finds other profiles.
 _WINDOWS = {
-    "one_hour": "1 HOUR", "six_hour": "6 HOUR", "tweleve_hour": "12 HOUR", "one_day": "1 DAY", "one_week": "7 DAY", "two_week": "14 DAY",
-    "three_week": "21 DAY", "forty_five_days": "45 DAY", "one_month": "1 MONTH", "two_month": "2 MONTH", "three_month": "3 MONTH",
-}
+    "one_hour": ("1 HOUR", "2024-01-31 00:00:00"),
+    "six_hour": ("6 HOUR", "2024-01-31 03:00:00"),
+    "tweleve_hour": ("12 HOUR", "2024-01-31 07:00:00"),
+    "one_day": ("1 DAY", "2024-01-31 16:00:00"),
+    "one_week": ("7 DAY", "2024-02-06 13:00:00"),
+    "two_week": ("14 DAY", "2024-02-13 11:00:00"),
+    "three_week": ("21 DAY", "2024-02-20 09:00:00"),
+    "forty_five_days": ("45 DAY", "2024-03-15 06:00:00"),
+    "one_month": ("1 MONTH", "2024-02-29 20:00:00"),
+    "two_month": ("2 MONTH", "2024-03-30 18:30:00"),
+    "three_month": ("3 MONTH", "2024-04-30 15:30:00"),
+}
 
 
-def _window(name):
+def _window(name, end):
     def build(spark, sf_dir):
-        found = retrieve(star_store(spark, sf_dir), {"time_filter": name}, star_tracking(spark, sf_dir), AS_OF)
+        found = retrieve(star_store(spark, sf_dir), {"time_filter": name}, star_tracking(spark, sf_dir), end)
         return found.select("profile_id")
 
     return build
 
 
-for _name, _length in _WINDOWS.items():
+for _name, (_length, _end) in _WINDOWS.items():
     register(
         "time_filter" if _name == "one_day" else f"time_filter_{_name}",
-        _window(_name),
+        _window(_name, _end),
         f"WITH {PROFILES}, {TRACKING} SELECT profile_id FROM profiles WHERE profile_id IN "
-        f"(SELECT parsed_data_id FROM tracking WHERE modified_at >= TIMESTAMP '{AS_OF}' - INTERVAL {_length})",
+        f"(SELECT parsed_data_id FROM tracking WHERE modified_at >= TIMESTAMP '{_end}' - INTERVAL {_length})",
     )
 
 
@@ -142,6 +153,21 @@ def second_page(spark, sf_dir):
     return _shown(page(retrieve(star_store(spark, sf_dir), _PAGED), number=2))
 
 
+@query("page_deep", f"WITH {PROFILES} SELECT profile_id, name, resume_type FROM profiles ORDER BY profile_id LIMIT 10 OFFSET 80")
+def ninth_page(spark, sf_dir):
+    """Of all profiles."""
+    return _shown(page(star_store(spark, sf_dir), number=9, limit=10))
+
+
+@query(
+    "page_last",
+    f"WITH {PROFILES}, found AS (SELECT profile_id, name, resume_type FROM profiles WHERE {_PAGED_SQL}) "
+    "SELECT * FROM found ORDER BY profile_id OFFSET (SELECT greatest(ceil(count(*) / 40.0) - 1, 0)::BIGINT * 40 FROM found)",
+)
+def last_page(spark, sf_dir):
+    return _shown(page(retrieve(star_store(spark, sf_dir), _PAGED), number="last", limit=40))
+
+
 @query(
     "page_after",
     f"WITH {PROFILES} SELECT profile_id, name, resume_type FROM profiles WHERE {_PAGED_SQL} AND profile_id > '0000000000000000000001f4' ORDER BY profile_id LIMIT 1000",
@@ -212,7 +238,7 @@ def status_rollup(spark, sf_dir):
 
 @query(
     "intake",
-    """SELECT regexp_replace(substr(sha256(file || '|2024-02-01 00:00:00'), 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS id,
+    """SELECT regexp_replace(substr(sha256(file || '|1706745600000000|1'), 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS id,
          file, 'in_progress' AS parsing_status, 0 AS no_of_retries, '' AS parsed_data_id, '2024-02-01' AS created
        FROM (SELECT source || '/' || doc_id AS file FROM documents)""",
 )

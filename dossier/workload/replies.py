@@ -6,7 +6,7 @@ expected outcome without parsing anything.
 
 from pyspark.sql import functions as F
 
-from dossier.workload.star import spread, table
+from dossier.workload.star import table
 
 BODY = """'{"personal_information": ' || CASE WHEN k % 41 = 20 THEN 'null' ELSE
      '{"name": "' || c_name || '", "email": ' || CASE k % 12 WHEN 1 THEN 'null' WHEN 2 THEN '""' ELSE '"C' || k || '@Example.com"' END
@@ -32,6 +32,9 @@ CONTENT = """CASE WHEN k % 31 = 11 THEN NULL WHEN k % 23 = 9 THEN 'no json here
   WHEN k % 17 = 8 THEN substring(body, 2, length(body) - 2)
   ELSE body END"""
 
+# the content in the other dialect
+CONTENT_SQL = CONTENT.replace(r"""regexp_replace(body, '"(\\w+)":', '$1:')""", r"""regexp_replace(body, '"(\w+)":', '\1:', 'g')""")
+
 # the same, told as the outcome that has to be found
 STATE = """CASE WHEN k % 31 = 11 OR k % 23 = 9 THEN 'bad' WHEN k % 29 = 10 THEN 'list' WHEN k % 37 = 14 THEN 'bad'
   WHEN k % 7 = 3 OR k % 11 = 5 OR k % 13 = 6 OR k % 17 = 8 THEN 'repaired' ELSE 'ok' END"""
@@ -66,7 +69,7 @@ outcome AS (
 
 def documents(spark, sf_dir):
     """``doc_id``, ``seq``, ``text``, ``urls``, ``reply`` and the bare ``body`` of the reply."""
-    base = spread(table(spark, sf_dir, "customer")).withColumn("k", F.col("c_custkey"))
+    base = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
     df = base.withColumn("body", F.expr(BODY)).withColumn("broken", F.expr(CONTENT))
     fenced = F.when(F.col("k") % 2 == 0, F.concat(F.lit("```json\n"), "broken", F.lit("\n```"))).otherwise(F.col("broken"))
     reply = F.to_json(F.struct(F.array(F.struct(F.struct(fenced.alias("content")).alias("message"))).alias("choices")))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from dossier.functions import conform as C
 from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
-from dossier.operators.tracking import apply_updates, intake
 from dossier.operators.upsert import latest_by_key, merge_latest
 from dossier.plans.etl import process, quarantined, read_outcome, write_outcome
 from dossier.sources.store import ProfileStore
+from dossier.sources.tracking_store import TrackingStore, keyed_log
 from dossier.streaming.ingest import DOCUMENT, apply_batch, ingest, with_text_contacts
 from dossier.workload.registry import query
-from dossier.workload.replies import EXPECTED, documents
+from dossier.workload.replies import BODY, CONTENT_SQL, EXPECTED, documents
 from dossier.workload.star import table, work_folder
 
 _runs = itertools.count()
@@ -33,18 +33,12 @@ def _conformed(spark, sf_dir):
 
 @query(
     "reply_unwrap",
-    f"""WITH {EXPECTED} SELECT k AS c_custkey, k % 31 <> 11 AS has_content, false AS has_fence,
-          CASE WHEN k % 31 = 11 THEN NULL WHEN k % 23 = 9 THEN 'n' WHEN k % 29 = 10 THEN '[' WHEN k % 37 = 14 OR k % 7 = 3 OR k % 11 = 5 OR k % 13 = 6 THEN '{{'
-            WHEN k % 17 = 8 THEN '"' ELSE '{{' END AS first_char FROM expected""",
+    f"""WITH told AS (SELECT c_custkey AS k, * FROM customer), bodies AS (SELECT k, {BODY} AS body FROM told)
+        SELECT k AS c_custkey, md5({CONTENT_SQL}) AS content FROM bodies""",
 )
 def reply_unwrap(spark, sf_dir):
-    content = F.col("content")
-    return unwrap_replies(documents(spark, sf_dir)).select(
-        _number(),
-        content.isNotNull().alias("has_content"),
-        F.coalesce(F.contains(content, F.lit("```")), F.lit(False)).alias("has_fence"),
-        F.left(content, F.lit(1)).alias("first_char"),
-    )
+    """The whole content behind envelope and fences, by its digest."""
+    return unwrap_replies(documents(spark, sf_dir)).select(_number(), F.md5("content").alias("content"))
 
 
 @query(
@@ -211,18 +205,18 @@ def _events(spark, sf_dir):
 @query(
     "upsert_store",
     """SELECT 'u' || user_id || '@example.com' AS email,
-         lpad(lower(to_hex(first(event_id ORDER BY CASE WHEN event_type = 'view' THEN 0 ELSE 1 END, ts, event_id))), 24, '0') AS profile_id,
+         lpad(lower(to_hex(first(event_id ORDER BY event_id % 2, ts, event_id))), 24, '0') AS profile_id,
          first(value ORDER BY ts DESC, event_id DESC) AS value
-       FROM events WHERE event_type IN ('view', 'purchase') GROUP BY user_id""",
+       FROM events WHERE event_type <> 'error' GROUP BY user_id""",
 )
 def upsert_store(spark, sf_dir):
-    """Purchases into a store made of views: a stored id stays, the newer payload wins wherever it comes from."""
-    events = _events(spark, sf_dir)
+    """Odd events into a store made of even ones: a stored id stays, the newer payload wins wherever it comes from."""
+    events = _events(spark, sf_dir).withColumn("odd", F.col("seq.event_id") % 2)
 
-    def latest(kind):
-        return latest_by_key(events.where(F.col("event_type") == kind), "email", "seq", ["profile_id"], ["seq", "value"])
+    def latest(odd):
+        return latest_by_key(events.where(F.col("odd") == odd), "email", "seq", ["profile_id"], ["seq", "value"])
 
-    return merge_latest(latest("view"), latest("purchase"), "email", "seq", ["profile_id"], ["value"]).select("email", "profile_id", "value")
+    return merge_latest(latest(0), latest(1), "email", "seq", ["profile_id"], ["value"]).select("email", "profile_id", "value")
 
 
 # --- ingestion -------------------------------------------------------------------------------------
@@ -269,20 +263,26 @@ def batch_ingest(spark, sf_dir):
 
 @query(
     "ingest_tracking",
-    f"""WITH {EXPECTED} SELECT k::VARCHAR AS file, CASE WHEN error_class IS NULL THEN 'completed' ELSE 'in_progress' END AS parsing_status,
+    f"""WITH {EXPECTED} SELECT k::VARCHAR AS file, CASE WHEN error_class IS NULL THEN 'completed' WHEN k % 2 = 0 THEN 'failed' ELSE 'in_progress' END AS parsing_status,
+          CASE WHEN error_class IS NULL THEN 0 WHEN k % 2 = 0 THEN 3 ELSE 1 END::INTEGER AS no_of_retries,
           CASE WHEN error_class IS NULL THEN substr(sha256(email), 1, 24) ELSE '' END AS parsed_data_id,
           CASE WHEN error_class IS NULL THEN lower(c_mktsegment) ELSE '' END AS resume_category,
           CASE WHEN error_class IS NULL THEN '2024-02-02' ELSE '2024-02-01' END AS modified_on
         FROM outcome""",
 )
 def ingest_tracking(spark, sf_dir):
-    """The tracking table after intake and one ingested batch; several uploads may share a profile."""
+    """The stored tracking table after intake, a batch of all documents and two more tries of every other one.
+
+    Three failed tries make a document failed; several uploads may share a profile.
+    """
     folder, store = _sinks(spark, sf_dir, "tracked")
     docs = documents(spark, sf_dir)
-    rows = intake(docs.select(F.col("doc_id").alias("file")), "2024-02-01 00:00:00")
-    ids = rows.select(F.col("file").alias("doc_id"), "id")
+    tracking = TrackingStore(spark, f"{folder}/tracking")
+    rows = tracking.add(docs.select(F.col("doc_id").alias("file")), "2024-02-01 00:00:00")
     apply_batch(docs, 0, store, f"{folder}/outcome", f"{folder}/updates", "2024-02-02")
-    log = spark.read.parquet(f"{folder}/updates").withColumnRenamed("id", "doc_id").join(ids, "doc_id").drop("doc_id")
-    return apply_updates(rows, log).select(
-        "file", "parsing_status", "parsed_data_id", "resume_category", F.date_format("modified_at", "yyyy-MM-dd").alias("modified_on")
+    first = spark.read.parquet(f"{folder}/updates")
+    again = first.where("failed_tries > 0 AND id % 2 = 0")  # the same replies fail the same way
+    tracking.settle(keyed_log(first.unionByName(again).unionByName(again), rows))
+    return tracking.read().select(
+        "file", "parsing_status", "no_of_retries", "parsed_data_id", "resume_category", F.date_format("modified_at", "yyyy-MM-dd").alias("modified_on")
     )

@@ -1,7 +1,7 @@
 """Profiles and tracking rows derived from the test tables.
 
 Every list in a profile is built from groups that were aggregated first, and the number of groups
-per customer is bounded by a domain (years x statuses x priorities, ranks 1 to 8), so a customer with
+per customer is bounded by a domain (years x statuses x priorities, names of parts), so a customer with
 a third of all orders has a profile of ordinary size and no task collects their orders.
 """
 
@@ -9,15 +9,12 @@ import zlib
 
 from pyspark.sql import Window, functions as F
 
+from dossier import constants as K
 from dossier import schema
 from dossier.session import shared_folder
 from dossier.sources.store import promote, read_profiles, with_bucket, write_buckets
 
-INDUSTRIES = (
-    "fintech healthtech edtech proptech insurtech greentech agritech foodtech hft legaltech marttech hrtech retailtech "
-    "cybersecurity autotech govtech deeptech"
-).split()
-SIZES = ["<50", "50-200", "200-500", "500-1000", ">1000"]
+INDUSTRIES = [f"sector {letter}" for letter in "abcdefghijklmnopq"]  # invented
 INSTITUTES = ["iit", "nit", "iiit", "bits", "other"]
 AS_OF = "2024-01-31 00:00:00"
 
@@ -26,12 +23,6 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df):
-    """Narrow rows that are about to grow, over all cores when the files hold them in fewer splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def hex24(col):
     return F.lpad(F.lower(F.hex(col)), 24, "0")
 
@@ -41,13 +32,14 @@ def nth(values, index):
 
 
 def star_skills(spark, sf_dir):
-    """Per customer the best eight brands, types and part names by quantity."""
-    lines = (
+    """Per customer the brands, types and part names by quantity; their number is bounded by the domains of ``part``."""
+    bought = (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .select("o_custkey", "p_brand", "p_type", "p_name", "l_quantity")
+        .groupBy("o_custkey", "l_partkey")
+        .agg(F.sum("l_quantity").alias("l_quantity"))
     )
+    lines = bought.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     kinds = "stack(3, 'languages', p_brand, 'frameworks', p_type, 'technologies', p_name) AS (kind, skill)"
     amounts = (
         lines.selectExpr("o_custkey", kinds, "l_quantity")
@@ -55,13 +47,13 @@ def star_skills(spark, sf_dir):
         .agg(F.sum("l_quantity").alias("qty"))
     )
     best = Window.partitionBy("o_custkey", "kind").orderBy(F.desc("qty"), "skill")
-    ranked = amounts.withColumn("rank", F.row_number().over(best)).where("rank <= 8")
+    ranked = amounts.withColumn("rank", F.row_number().over(best))
 
-    def names(kind, low, high):
-        chosen = f"kind = '{kind}' AND rank BETWEEN {low} AND {high}"
+    def names(kind, ranks):
+        chosen = f"kind = '{kind}' AND rank {ranks}"
         return F.expr(f"array_sort(collect_list(struct(rank, skill)) FILTER (WHERE {chosen})).skill")
 
-    lists = [names(k, low, high).alias(f"{k}_{label}") for k in schema.SKILL_KINDS for label, low, high in (("p", 1, 3), ("a", 4, 8))]
+    lists = [names(k, ranks).alias(f"{k}_{label}") for k in schema.SKILL_KINDS for label, ranks in (("p", "<= 3"), ("a", "> 3"))]
     brands = F.expr("array_sort(collect_list(struct(rank, skill, qty)) FILTER (WHERE kind = 'languages'))").alias("brands")
     return ranked.groupBy("o_custkey").agg(*lists, brands)
 
@@ -95,7 +87,7 @@ def star_jobs(spark, sf_dir):
         month("min_date"),
         month("max_date"),
         F.col("price").cast("double") / 100000,
-        nth(SIZES, F.left("priority", F.lit(1)).cast("int") - 1),
+        nth(K.COMPANY_SIZES, F.left("priority", F.lit(1)).cast("int") - 1),
         F.lit(None),
         F.expr("CASE status WHEN 'F' THEN 'product' WHEN 'O' THEN 'service' ELSE 'startup' END"),
         F.col("min_key") % 13 == 0,

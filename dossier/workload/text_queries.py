@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from dossier import constants as K
 from dossier.functions import durations, links, text as X
 from dossier.operators.contacts import document_links, profile_links
-from dossier.operators.pages import PAGES_PER_PART, assemble_pages, clean_parts, contacts_in_text, fill_blank_documents
+from dossier.operators.pages import assemble_pages, contacts_in_pages, fill_blank_documents
 from dossier.workload.registry import query
 from dossier.workload.star import table
 
@@ -21,7 +21,7 @@ EMAIL_SQL = f"nullif(regexp_extract(c, '{K.EMAIL}'), '')"
 MOBILE_SQL = "nullif(regexp_extract(c, '(\\+91[-.\\s]?)?([6-9][0-9]{9})\\b', 2), '')"
 BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 ASSEMBLED = (
-    f"SELECT conv_id, turn // {PAGES_PER_PART} AS part, 0::BIGINT AS piece, "
+    "SELECT conv_id, "
     f"coalesce(trim(string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE text <> ''), {BLANK}), '') AS text FROM conversations GROUP BY ALL"
 )
 
@@ -34,18 +34,16 @@ def page_assembly(spark, sf_dir):
 
 @query(
     "text_fallback",
-    f"""WITH first AS (SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE ' ' || chr(10) END AS text FROM documents),
-          second AS (SELECT conv_id AS doc_id, text FROM ({ASSEMBLED}))
-        SELECT doc_id, 0::BIGINT AS part, 0::BIGINT AS piece, nullif(trim(CASE WHEN trim(f.text, {BLANK}) = '' THEN s.text ELSE f.text END, {BLANK}), '') AS text
-        FROM first f LEFT JOIN second s USING (doc_id)""",
+    f"""WITH first AS (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE text <> '' AND turn % 2 = 1), '') AS text
+                       FROM conversations GROUP BY conv_id)
+        SELECT conv_id, nullif(trim(CASE WHEN trim(f.text, {BLANK}) = '' THEN s.text ELSE f.text END, {BLANK}), '') AS text
+        FROM first f LEFT JOIN ({ASSEMBLED}) s USING (conv_id)""",
 )
 def text_fallback(spark, sf_dir):
-    """The first reader knows English documents only, the second one those that have a conversation."""
-    zero = F.lit(0).cast("bigint")
-    english = F.when(F.col("lang") == "en", F.col("text")).otherwise(" \n")
-    first = table(spark, sf_dir, "documents").select("doc_id", zero.alias("part"), zero.alias("piece"), english.alias("text"))
-    second = assemble_pages(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("conv_id", "doc_id")
-    return fill_blank_documents(first, second, "doc_id")
+    """The first reader sees odd turns only; a conversation that is blank to it is read whole."""
+    turns = table(spark, sf_dir, "conversations")
+    odd = turns.withColumn("text", F.when(F.col("turn") % 2 == 1, F.col("text")))
+    return fill_blank_documents(assemble_pages(odd, "conv_id", "turn"), assemble_pages(turns, "conv_id", "turn"), "conv_id")
 
 
 @query("clean_text", f"SELECT doc_id, {cleaned('text')} AS text FROM documents")
@@ -55,12 +53,12 @@ def clean_text(spark, sf_dir):
 
 @query("extract_email", f"WITH c AS (SELECT doc_id, {cleaned('text')} AS c FROM documents) SELECT doc_id, {EMAIL_SQL} AS email FROM c")
 def extract_email(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.first_email(X.clean(F.col("text"))).alias("email"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.first_email(F.lower("text")).alias("email"))
 
 
 @query("extract_mobile", f"WITH c AS (SELECT doc_id, {cleaned('text')} AS c FROM documents) SELECT doc_id, {MOBILE_SQL} AS mobile FROM c")
 def extract_mobile(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.first_mobile(X.clean(F.col("text"))).alias("mobile"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.first_mobile(F.lower("text")).alias("mobile"))
 
 
 @query(
@@ -69,9 +67,8 @@ def extract_mobile(spark, sf_dir):
         SELECT conv_id, {EMAIL_SQL} AS text_email, {MOBILE_SQL} AS text_mobile, true AS has_text FROM c""",
 )
 def text_contacts(spark, sf_dir):
-    """Pages to parts to clean text to the first contacts of each document."""
-    parts = assemble_pages(table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    return contacts_in_text(clean_parts(parts), "conv_id")
+    """Pages to the first contacts of each document, against cleaned whole texts."""
+    return contacts_in_pages(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 # --- mobiles and e-mails written in several ways -------------------------------------------------
@@ -124,7 +121,8 @@ def contact_validity(spark, sf_dir):
 
 # --- links ---------------------------------------------------------------------------------------
 
-HREFS_SQL = "regexp_extract_all(html, 'href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)"
+# another way than a pattern: what stands behind each ' href="' up to the next quote
+HREFS_SQL = """list_transform(string_split(html, ' href="')[2:], lambda h: replace(string_split(h, '"')[1], '&amp;', '&'))"""
 
 
 @query(
@@ -137,25 +135,25 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(links.link_targets(F.col("html"))).alias("pos", "url"))
 
 
-PICKED = f"""WITH l AS (SELECT page_id, len({HREFS_SQL}) AS n FROM pages), picked AS (
+PICKED = f"""WITH h AS (SELECT page_id, {HREFS_SQL} AS urls FROM pages),
+        l AS (SELECT page_id, list_transform(urls, lambda u: 'p' || regexp_replace(u, '[^a-zA-Z0-9]+', '-', 'g')) AS t, len(urls) AS n FROM h), picked AS (
         SELECT page_id,
-          CASE WHEN n > 1 THEN 'https://www.linkedin.com/in/page-' || page_id || '-' || ((n - 2) // 4 * 4 + 1) END AS linkedin_url,
-          CASE WHEN n > 0 THEN 'http://github.com/page-' || page_id || '-' || ((n - 1) // 4 * 4) || '/' END AS github_url,
-          CASE WHEN n > 3 THEN 'page.' || page_id || '.' || ((n - 4) // 4 * 4 + 3) || '@example.org' END AS mailto
+          CASE WHEN n > 1 THEN 'https://www.linkedin.com/in/' || t[(n - 2) // 4 * 4 + 2] END AS linkedin_url,
+          CASE WHEN n > 0 THEN 'http://github.com/' || t[(n - 1) // 4 * 4 + 1] || '/' END AS github_url,
+          CASE WHEN n > 3 THEN t[(n - 4) // 4 * 4 + 4] || '@example.org' END AS mailto
         FROM l)"""
 
 
 def _turned_links(spark, sf_dir):
-    """The links of each page turned in rotation into an account, a profile, a repository and an address."""
-    mark = F.col("page_id").cast("string")
+    """The links of each page turned in rotation into an account, a profile, a repository and an address named by their text."""
 
     def turned(url, i):
-        n = i.cast("string")
+        name = F.concat(F.lit("p"), F.regexp_replace(url, "[^a-zA-Z0-9]+", "-"))
         return (
-            F.when(i % 4 == 0, F.concat(F.lit("http://github.com/page-"), mark, F.lit("-"), n, F.lit("/")))
-            .when(i % 4 == 1, F.concat(F.lit("https://www.linkedin.com/in/page-"), mark, F.lit("-"), n))
-            .when(i % 4 == 2, F.concat(F.lit("https://github.com/page-"), mark, F.lit("/repository")))
-            .otherwise(F.concat(F.lit("mailto:page."), mark, F.lit("."), n, F.lit("@example.org?subject=x")))
+            F.when(i % 4 == 0, F.concat(F.lit("http://github.com/"), name, F.lit("/")))
+            .when(i % 4 == 1, F.concat(F.lit("https://www.linkedin.com/in/"), name))
+            .when(i % 4 == 2, F.concat(F.lit("https://github.com/"), name, F.lit("/repository")))
+            .otherwise(F.concat(F.lit("mailto:"), name, F.lit("@example.org?subject=x")))
         )
 
     return table(spark, sf_dir, "pages").withColumn("urls", F.transform(links.link_targets(F.col("html")), turned))

@@ -5,51 +5,35 @@ from pyspark.sql import functions as F
 
 from dossier.operators import tracking as TR
 from dossier.operators.hotkeys import hot_keys, lookup_join
-from dossier.operators.pages import assemble_pages, clean_parts, contacts_in_text, fill_blank_documents
+from dossier.operators.pages import assemble_pages, contacts_in_pages, fill_blank_documents
 from dossier.operators.paging import page, page_after, page_size
 from dossier.operators.upsert import latest_by_key, merge_latest
 
 
-def test_pages_in_order_and_parts(spark):
-    rows = [("d", 1, " b "), ("d", 0, " a"), ("d", 2, ""), ("d", 3, None), ("d", 5, "e"), ("empty", 0, None)]
-    got = assemble_pages(spark.createDataFrame(rows, "doc string, page int, text string"), "doc", "page", pages_per_part=4)
-    assert {(r.doc, r.part): r.text for r in got.collect()} == {("d", 0): "a\n b", ("d", 1): "e", ("empty", 0): ""}
+def test_pages_in_order(spark):
+    rows = [("d", 1, "  b "), ("d", 0, " a "), ("d", 2, ""), ("d", 3, None), ("d", 5, "e\t"), ("empty", 0, None)]
+    got = assemble_pages(spark.createDataFrame(rows, "doc string, page int, text string"), "doc", "page")
+    assert {r.doc: r.text for r in got.collect()} == {"d": "a \n  b \ne", "empty": ""}
 
 
-def test_a_huge_document_is_cut_but_whole(spark):
-    pages = spark.range(5000).select(F.lit("hot").alias("doc"), F.col("id").alias("page"), F.concat(F.lit("p"), "id").alias("text"))
-    parts = assemble_pages(pages, "doc", "page", pages_per_part=100).orderBy("part").collect()
-    assert len(parts) == 50
-    assert "\n".join(r.text for r in parts) == "\n".join(f"p{i}" for i in range(5000))
+def test_a_long_document_keeps_the_white_space_at_every_seam(spark):
+    pages = spark.range(9000).select(F.lit("hot").alias("doc"), F.col("id").alias("page"), F.concat(F.lit(" p"), "id", F.lit(" ")).alias("text"))
+    rows = assemble_pages(pages.repartition(7), "doc", "page").collect()
+    assert [r.text for r in rows] == ["\n".join(f" p{i} " for i in range(9000)).strip()]
 
 
-def test_repeated_page_numbers_are_spread(spark):
-    rows = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), F.col("id") % 100)).alias("doc"),
-        F.when(F.col("id") % 3 == 0, F.col("id") % 4).otherwise(F.floor(F.col("id") / 100)).alias("page"),
-        F.concat(F.col("id") % 4, F.lit(":copy")).alias("text"),
-    )
-    got = assemble_pages(rows, "doc", "page", pages_per_part=50)
-    hot = got.where("doc = 'hot'").orderBy("part", "piece").collect()
-    lines = [line for r in hot for line in r.text.split("\n")]
-    assert len(lines) == 1000 and lines == sorted(lines)
-    assert max(r.text.count("\n") + 1 for r in hot) <= 50
-    assert {r.piece for r in got.where("doc <> 'hot'").collect()} == {0}
-
-
-def test_contacts_of_parts(spark):
-    rows = [("d", 1, 0, "x@y.org 9876543210"), ("d", 0, 5, "none"), ("d", 1, 1, "z@y.org 8876543210"), ("e", 0, 0, "none"), ("f", 0, 0, None)]
-    parts = spark.createDataFrame(rows, "doc string, part long, piece long, text string")
-    got = contacts_in_text(clean_parts(parts), "doc").orderBy("doc").collect()
+def test_contacts_of_pages(spark):
+    rows = [("d", 1, "X@y.org 9876543210"), ("d", 0, "none"), ("d", 2, "z@y.org 8876543210"), ("d", 1, "a@y.org"), ("e", 0, "none"), ("f", 0, None)]
+    pages = spark.createDataFrame(rows, "doc string, page long, text string")
+    got = contacts_in_pages(pages, "doc", "page").orderBy("doc").collect()
     assert [tuple(r) for r in got] == [("d", "x@y.org", "9876543210", True), ("e", None, None, True), ("f", None, None, False)]
 
 
 def test_fallback(spark):
-    shape = "doc string, part long, piece long, text string"
-    first = spark.createDataFrame([("a", 0, 0, " one "), ("b", 0, 0, " "), ("b", 1, 0, "\n"), ("c", 0, 0, "")], shape)
-    second = spark.createDataFrame([("a", 0, 0, "no"), ("b", 0, 0, "two"), ("b", 1, 0, "three")], shape)
+    first = spark.createDataFrame([("a", " one "), ("b", " \n"), ("c", "")], "doc string, text string")
+    second = spark.createDataFrame([("a", "no"), ("b", " two")], "doc string, text string")
     got = fill_blank_documents(first, second, "doc").collect()
-    assert sorted((r.doc, r.part, r.text) for r in got) == [("a", 0, "one"), ("b", 0, "two"), ("b", 1, "three"), ("c", 0, None)]
+    assert sorted((r.doc, r.text) for r in got) == [("a", "one"), ("b", "two"), ("c", None)]
 
 
 def test_page_size():
@@ -72,6 +56,19 @@ def test_pages_make_the_whole(spark):
     assert seen == 25_050
 
 
+def test_pages_are_found_by_ranges(spark, monkeypatch):
+    """Keys that share a long beginning, some a prefix of others, in ranges far smaller than the table."""
+    from dossier.operators import paging
+
+    monkeypatch.setattr(paging, "RANGE", 7)
+    keys = sorted({f"00{i:04x}" for i in range(0, 3000, 7)} | {f"00{i:04x}ab" for i in range(0, 500, 7)} | {"00", "0001"})
+    df = spark.createDataFrame([(k,) for k in keys], "profile_id string")
+    for number in (1, 2, 30, len(keys) // 5, len(keys) // 5 + 1):
+        assert [r.profile_id for r in page(df, number, 5).collect()] == keys[(number - 1) * 5 : number * 5]
+    assert [r.profile_id for r in page(df, "last", 5).collect()] == keys[(len(keys) - 1) // 5 * 5 :]
+    assert page(df.where("false"), "last").count() == 0
+
+
 BATCH = [("a", 1, "i1", "p1"), ("a", 3, "i3", "p3"), ("a", 2, "i2", "p2"), ("b", 1, "i4", "q"), (None, 9, "i5", "r")]
 
 
@@ -109,6 +106,15 @@ def test_intake(spark, rows):
     files = spark.createDataFrame([("f1",)], "file string")
     ids = [TR.intake(files, "2024-01-01 00:00:00").first().id for _ in range(2)]
     assert ids[0] == ids[1] and len(ids[0]) == 36
+    twice = TR.intake(files.union(files), "2024-01-01 00:00:00").collect()
+    assert len({r.id for r in twice}) == 2 and ids[0] in {r.id for r in twice}
+    moment = F.timestamp_seconds(F.lit(1_700_000_000))
+    zones = set()
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        zones.add(TR.intake(files, moment).first().id)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(zones) == 1
     with pytest.raises(ValueError):
         TR.intake(files.where("false"), "2024-01-01")
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from dossier import schema
 from dossier.operators.contacts import contact_gate, merge_contacts
 from dossier.operators.export import csv_columns, decorate
-from dossier.plans.retrieval import retrieve_csv, retrieve_json, retrieve_page
+from dossier.plans.retrieval import answer, retrieve_csv, retrieve_json, retrieve_page
 from dossier.sources.files import read_csv, read_documents, write_csv, write_json
 from dossier.sources.store import ProfileStore
+from dossier.sources.tracking_store import TrackingStore, keyed_log
 from dossier.streaming.ingest import apply_batch, ingest
 from dossier.workload.replies import documents
 from dossier.workload.reply_queries import run_stream
@@ -39,11 +40,54 @@ def test_upsert(spark, tmp_path):
     assert {k: v[1:] for k, v in once.items()} == {"a": (2, "a2"), "b": (1, "b1"), "c": (7, "c7")}
     store.upsert(first)
     assert content(store) == once
-    touched = store.upsert(batch(spark, [("a", 3, "a3"), ("c", 6, "old")]))
+    store.upsert(batch(spark, [("a", 3, "a3"), ("c", 6, "old")]))
     after = content(store)
-    assert len(touched) <= 2 and {k: v[1:] for k, v in after.items()} == {"a": (3, "a3"), "b": (1, "b1"), "c": (7, "c7")}
+    assert {k: v[1:] for k, v in after.items()} == {"a": (3, "a3"), "b": (1, "b1"), "c": (7, "c7")}
     assert {k: v[0] for k, v in after.items()} == {k: v[0] for k, v in once.items()}
-    assert store.upsert(batch(spark, []).limit(0)) == [] and content(store) == after
+    store.upsert(batch(spark, []).limit(0))
+    assert content(store) == after and len(store.segments()) == 4
+    store.compact()
+    assert content(store) == after and len(store.segments()) == 1 and len(store.unreferenced()) == 4
+
+
+def test_a_batch_of_one_writes_one_bucket(spark, tmp_path):
+    store = ProfileStore(spark, str(tmp_path / "s"), buckets=16).create()
+    store.upsert(batch(spark, [(f"e{i}", 1, "x" * 50) for i in range(400)]))
+    before = set(glob.glob(str(tmp_path / "s/data/*/bucket=*/*.parquet")))
+    store.upsert(batch(spark, [("e7", 2, "new")]))
+    new = set(glob.glob(str(tmp_path / "s/data/*/bucket=*/*.parquet"))) - before
+    assert len(new) == 1 and content(store)["e7"][1:] == (2, "new") and len(content(store)) == 400
+
+
+def test_a_driver_lost_before_publishing_loses_nothing(spark, tmp_path, monkeypatch):
+    store = ProfileStore(spark, str(tmp_path / "s"), buckets=3).create()
+    store.upsert(batch(spark, [("a", 1, "a1"), ("b", 1, "b1")]), batch_id=0)
+    once = content(store)
+    again = batch(spark, [("a", 2, "a2"), ("c", 1, "c1")])
+    with monkeypatch.context() as m:
+        m.setattr(ProfileStore, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.upsert(again, batch_id=1)
+    assert content(store) == once
+    for _ in range(2):  # the replay, and one more of a batch that is published
+        store.upsert(again, batch_id=1)
+        assert {k: v[1:] for k, v in content(store).items()} == {"a": (2, "a2"), "b": (1, "b1"), "c": (1, "c1")}
+    assert len(store.segments()) == 2
+    with pytest.raises(RuntimeError):
+        store._publish(2, {"segments": [], "batches": []})
+
+
+def test_tracking_store(spark, tmp_path):
+    store = TrackingStore(spark, str(tmp_path / "t"))
+    assert store.read().count() == 0
+    files = spark.createDataFrame([("f1",), ("f2",), ("f3",)], "file string")
+    rows = store.add(files, "2024-01-01 00:00:00")
+    store.add(files, "2024-01-01 00:00:00")
+    log = [("f1", 1, "completed", "x", "p1", 0), *[("f2", i, None, None, None, 1) for i in range(3)], ("f3", 1, None, None, None, 1), ("zz", 1, None, None, None, 1)]
+    shape = "id string, seq long, parsing_status string, resume_category string, parsed_data_id string, failed_tries int"
+    store.settle(keyed_log(spark.createDataFrame(log, shape).withColumn("at", F.lit("2024-01-02").cast("timestamp")), rows))
+    got = {r.file: (r.parsing_status, r.no_of_retries, r.parsed_data_id) for r in store.read().collect()}
+    assert got == {"f1": ("completed", 0, "p1"), "f2": ("failed", 3, ""), "f3": ("in_progress", 1, "")}
 
 
 def test_stream_equals_batch_and_replay_changes_nothing(spark, sf, tmp_path):
@@ -143,6 +187,7 @@ def test_retrieval_outputs(spark, sf):
     shown = retrieve_page(store, params, number=1, limit=5).collect()
     assert len(shown) == 5 and "year" in shown[0].parsed_data.additional_experience_summary.years_of_full_time_experience_after_graduation
     assert retrieve_csv(store, params).count() == retrieve_json(store, params).count() > 5
+    assert len(answer(store, params | {"format_type": "csv"}).columns) == 179 and answer(store, params, limit=3).count() == 3
 
 
 def test_read_documents(spark, tmp_path):
