@@ -17,8 +17,10 @@ def unwrap_replies(df, reply="reply"):
 def parse_content(df, content="content"):
     """Adds ``json_text`` (the text that parsed), ``document`` (VARIANT) and ``repaired``.
 
-    Repair is tried only on the rows whose first parse failed.
+    Repair is tried only on the rows whose first parse failed. Of equal keys of an object the last one
+    counts; the parser of Spark has to be told so for the session.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return (
         df.withColumn("_box", J.boxed(F.col(content)))
         .withColumn("_first", J.unboxed(F.col("_box")))

@@ -5,7 +5,8 @@ from pyspark.sql import types as T
 
 from dossier import constants as K
 from dossier import schema
-from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
+from dossier.operators.contacts import contact_gate, document_links, merge_contacts, profile_links
+from dossier.operators.pages import contacts_in_pages
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
 from dossier.sources.store import profile_key
 
@@ -21,15 +22,26 @@ OUTCOME = T.StructType(
 )
 
 
+def gather(pages, web_pages, replies, doc="doc_id", page="page"):
+    """Documents for ``process`` from what their parts hold.
+
+    ``pages``: doc, page, text; ``web_pages``: doc, page, html; ``replies``: doc, seq, reply, one row a
+    document. Contacts and links are found where the pages are read; what is shuffled are a few short
+    strings a page, and a document without pages has no text.
+    """
+    contacts = contacts_in_pages(pages, doc, page)
+    return replies.join(contacts, doc, "left").join(document_links(web_pages, doc, page), doc, "left")
+
+
 def process(documents):
-    """``doc_id``, ``seq``, ``has_text``, ``text_email``, ``text_mobile``, ``urls``, ``reply`` to one
-    outcome per document.
+    """``doc_id``, ``seq``, ``has_text``, ``text_email``, ``text_mobile``, ``reply`` and either ``urls`` or the
+    profile links (``linkedin_url``, ``github_url``, ``mailto``) to one outcome per document.
 
     ``error_class`` names the step that failed, 'none' for an accepted profile, and ``errors`` the
     reasons. A failing document never stops the others, and there is no shuffle.
     """
     df = conform(parse_content(unwrap_replies(documents)))
-    df = contact_gate(merge_contacts(profile_links(df)))
+    df = contact_gate(merge_contacts(profile_links(df) if "urls" in df.columns else df))
     no_text = ~F.coalesce("has_text", F.lit(False))
     broken = F.size("errors") > 0
     error_class = (

@@ -21,12 +21,15 @@ def with_text_contacts(documents):
 def apply_batch(documents, batch_id, store, outcome_path, updates_path, at=None):
     """One batch into the profile store, the outcome table and the tracking updates.
 
+    ``documents`` are rows of ``DOCUMENT`` or come from ``etl.gather``.
+
     The outcome is written first and read back for the rest: replies are parsed once, and a lost
     executor costs its tasks only. Everything is written under the batch id or merged by sequence,
     so repeating a batch after a failure changes nothing.
     """
     staged = f"{outcome_path}/batch={batch_id}"
-    write_outcome(process(with_text_contacts(documents)), staged)
+    ready = documents if "has_text" in documents.columns else with_text_contacts(documents)
+    write_outcome(process(ready), staged)
     outcome = read_outcome(store.spark, staged)
     store.upsert(accepted(outcome), batch_id)
     now = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")

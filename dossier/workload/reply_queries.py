@@ -8,13 +8,14 @@ from dossier.functions import conform as C
 from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
 from dossier.operators.upsert import latest_by_key, merge_latest
-from dossier.plans.etl import process, quarantined, read_outcome, write_outcome
+from dossier.plans.etl import gather, process, quarantined, read_outcome, write_outcome
 from dossier.sources.store import ProfileStore
 from dossier.sources.tracking_store import TrackingStore, keyed_log
 from dossier.streaming.ingest import DOCUMENT, apply_batch, ingest, with_text_contacts
 from dossier.workload.registry import query
 from dossier.workload.replies import BODY, CONTENT_SQL, EXPECTED, documents
 from dossier.workload.star import table, work_folder
+from dossier.workload.text_queries import ASSEMBLED, EMAIL_SQL, MOBILE_SQL, cleaned
 
 _runs = itertools.count()
 
@@ -219,6 +220,27 @@ def upsert_store(spark, sf_dir):
     return merge_latest(latest(0), latest(1), "email", "seq", ["profile_id"], ["value"]).select("email", "profile_id", "value")
 
 
+@query(
+    "page_profiles",
+    f"""WITH {EXPECTED}, c AS (SELECT conv_id, {cleaned('text')} AS c FROM ({ASSEMBLED})),
+          t AS (SELECT conv_id, {EMAIL_SQL} AS text_email, {MOBILE_SQL} AS text_mobile FROM c),
+          own AS (SELECT expected.*, t.conv_id IS NOT NULL AS has_text, coalesce(text_email, own_email) AS email,
+              coalesce(text_mobile, CASE WHEN k % 4 = 1 THEN '+91 ' || (9000000000 + k) WHEN k % 4 = 2 THEN NULL ELSE own_mobile END) AS mobile
+            FROM expected LEFT JOIN t ON conv_id = k)
+        SELECT k AS c_custkey, CASE WHEN NOT has_text THEN 'extraction' WHEN len(errors) > 0 THEN 'parsing'
+            WHEN k % 41 = 20 OR coalesce(email, '') = '' OR mobile IS NULL THEN 'saving' ELSE 'none' END AS error_class,
+          CASE WHEN is_object AND k % 41 <> 20 THEN email END AS email, CASE WHEN is_object AND k % 41 <> 20 THEN mobile END AS mobile
+        FROM own""",
+)
+def page_profiles(spark, sf_dir):
+    """From turns and web pages to outcomes: a conversation is the document of the customer of that number."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").alias("page"), "text")
+    web = table(spark, sf_dir, "pages").select(F.expr("cast(page_id div 10 AS string)").alias("doc_id"), F.col("page_id").alias("page"), "html")
+    replies = documents(spark, sf_dir).select("doc_id", "seq", "reply")
+    own = F.col("parsed_data.personal_information")
+    return process(gather(turns, web, replies)).select(_number(), "error_class", own["email"].alias("email"), own["mobile"].alias("mobile"))
+
+
 # --- ingestion -------------------------------------------------------------------------------------
 
 

@@ -98,3 +98,11 @@ def test_stored_type(spark):
 def test_no_python_in_the_plan(spark):
     df = conform(parse_content(spark.createDataFrame([("{}",)], "content string").where(F.lit(True))))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_of_repeated_keys_the_last_counts(spark):
+    from dossier.operators.profiles import parse_content
+
+    text = '{"title": "A", "skills": {"total_skill_experience": {"x": 1, "x": 2}}, "title": "B"}'
+    row = conform(parse_content(spark.createDataFrame([(text,)], "content string"))).select("parsed_data.title", "parsed_data.skills.skill_entries", "errors").first()
+    assert row.title == "b" and [(e.skill, e.years) for e in row.skill_entries] == [("x", 2.0)] and "syntax:$" not in row.errors
