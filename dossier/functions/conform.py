@@ -17,7 +17,7 @@ def _none():
     return F.array().cast("array<string>")
 
 
-def _let(value, body):
+def once(value, body):
     """``body(value)`` with the value computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -59,14 +59,17 @@ def lowered(text):
 
 def number(x):
     """A JSON number or a string of digits as DOUBLE; other strings are no numbers."""
-    text = as_text(x)
-    usable = text.rlike(r"^[0-9]+\z") | (text.rlike(NUMBER) & (_kind(x) != "STRING"))
-    return F.when(usable, text.try_cast("double"))
+
+    def checked(text):
+        usable = text.rlike(r"^[0-9]+\z") | (text.rlike(NUMBER) & (_kind(x) != "STRING"))
+        return F.when(usable, text.try_cast("double"))
+
+    return once(as_text(x), checked)
 
 
 def _matched(text, pattern, dtype):
     """The first group as a number; only text that matches is cast, as a failing cast is slow."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).try_cast(dtype))
+    return once(text, lambda t: F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1).try_cast(dtype)))
 
 
 def _looked_up(pairs, text):
@@ -84,14 +87,14 @@ def typed(x, field):
     """The VARIANT ``x`` as the declared type of ``field``; NULL where it cannot be."""
     rule, dtype = field.metadata["rule"], field.dataType
     if rule in ("record", "open"):
-        return _let(opened(x, dtype), lambda s: _object(s, dtype))
+        return once(opened(x, dtype), lambda s: _object(s, dtype))
     if rule in ("records", "opens"):
         inner = dtype.elementType
         items = F.transform(as_list(x), lambda e: opened(e, inner))
         return F.transform(items, lambda s: _object(s, inner))
     if rule == "char":
         text = lowered(strip(as_text(x)))
-        return F.coalesce(_looked_up(K.COMPANY_SIZE_RELABEL, text), text) if field.metadata.get("relabel") else text
+        return once(text, lambda t: F.coalesce(_looked_up(K.COMPANY_SIZE_RELABEL, t), t)) if field.metadata.get("relabel") else text
     if rule == "text":
         return lowered(as_text(x))
     if rule == "flag":
@@ -144,7 +147,7 @@ def problems(x, field, path):
         return _listed(*null, _when(given & typed(x, field).isNull(), "type", path))
     if rule == "chars":
         own = _when(given & as_list(x).isNull(), "type", path)
-        return _let(as_list(x), lambda items: _listed(*null, own, *_item_problems(items, meta, path)))
+        return once(as_list(x), lambda items: _listed(*null, own, *_item_problems(items, meta, path)))
     if rule == "open":
         return _listed(*null, _when(given & opened(x, dtype).isNull(), "type", path))
     if rule == "record":
@@ -152,7 +155,7 @@ def problems(x, field, path):
         def inside(s):
             return _with_inner(_listed(*null, _when(given & s.isNull(), "type", path)), s, dtype, path)
 
-        return _let(opened(x, dtype), inside)
+        return once(opened(x, dtype), inside)
     # lists of objects; the list itself may be missing but not null
     inner = dtype.elementType
     own = _listed(*null, _when(given & as_list(x).isNull(), "type", path))
@@ -164,7 +167,7 @@ def problems(x, field, path):
             return wrong
         return F.concat(wrong, F.flatten(F.transform(items, lambda s: _with_inner(_none(), s, inner, item_path))))
 
-    found = _let(F.transform(as_list(x), lambda e: opened(e, inner)), each)
+    found = once(F.transform(as_list(x), lambda e: opened(e, inner)), each)
     return F.concat(own, F.coalesce(found, _none()))
 
 
@@ -193,9 +196,15 @@ def ordered_years(text):
     skills = F.from_json(text, "skills struct<total_skill_experience map<string,variant>>").skills
     entries = F.map_entries(skills.total_skill_experience)
     pairs = F.transform(entries, lambda e: F.struct(e.key.alias("skill"), number(e.value).alias("years")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p.skill))
-    last = F.transform(keys, lambda k: F.try_element_at(F.filter(pairs, lambda p: p.skill == k), F.lit(-1)))
-    return F.when(F.size(keys) == F.size(pairs), pairs).otherwise(last)
+
+    def last_of_each(pairs):
+        def picked(keys):
+            last = F.transform(keys, lambda k: F.try_element_at(F.filter(pairs, lambda p: p.skill == k), F.lit(-1)))
+            return F.when(F.size(keys) == F.size(pairs), pairs).otherwise(last)
+
+        return once(F.array_distinct(F.transform(pairs, lambda p: p.skill)), picked)
+
+    return once(pairs, last_of_each)
 
 
 def other_keys(x, known):

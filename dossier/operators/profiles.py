@@ -62,9 +62,13 @@ def _profile_columns(app):
 
 
 def _skills(value):
-    """Skills with the experience entries in reply order beside the map."""
-    parts = []
-    for f in schema.PARSED_DATA["skills"].dataType:
-        ordered = f.name == "skill_entries"
-        parts.append((C.ordered_years(F.col("_text")) if ordered else value[f.name]).alias(f.name))
-    return F.when(value.isNotNull(), F.struct(*parts))
+    """Skills with the experience entries in reply order beside the map; the value is computed once for all its fields."""
+
+    def joined(skills):
+        parts = []
+        for f in schema.PARSED_DATA["skills"].dataType:
+            ordered = f.name == "skill_entries"
+            parts.append((C.ordered_years(F.col("_text")) if ordered else skills[f.name]).alias(f.name))
+        return F.when(skills.isNotNull(), F.struct(*parts))
+
+    return C.once(value, joined)
