@@ -235,9 +235,14 @@ def _grouped(keyed, id, text, shingle):
 
 
 def deduplicated(docs, id="doc_id", text="text", shingle=3):
-    """The rows of ``docs`` that stay if one of each component does: that of the smallest id, of equal ids the first."""
+    """The rows of ``docs`` that stay if one of each component does: that of the smallest id, of equal ids the first.
+
+    The rows to drop are the shorter list, so it is these that meet the texts.
+    """
     keyed = numbered(docs)
     groups = _grouped(keyed, id, text, shingle)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "row")).alias("x"))
-    keep = stored(first.select(F.col("x.row").alias("__row")))
-    return keyed.join(keep, "__row", "left_semi").drop("__row")
+    order = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "row")
+    several = groups.groupBy("root").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = stored(several.select("root", F.col("x.row").alias("first")))
+    dropped = stored(groups.join(first, "root").filter(F.col("row") != F.col("first")).select(F.col("row").alias("__row")))
+    return keyed.join(dropped, "__row", "left_anti").drop("__row")
