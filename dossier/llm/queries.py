@@ -49,7 +49,8 @@ def op2_decontamination(spark, sf_dir):
 @_query
 def op4_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
-    model = toxicity.learned(docs.filter(~F.col("held_out")), _table(spark, sf_dir, "labels"))
+    labels = _table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0))
+    model = toxicity.learned(docs.filter(~F.col("held_out")), labels)
     judged = toxicity.judge(docs, model)
     return judged.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentence", "sentence_score")
 

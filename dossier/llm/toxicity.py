@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from .textops import Words, buffers, mix, slices, widened
 
-SAMPLE, SAMPLE_BYTES = 4000, 20_000  # rows of each label, about, and bytes of a row, in the sample
+SAMPLE, SAMPLE_BYTES = 2000, 10_000  # rows of each label, about, and bytes of a row, in the sample
 ENDS = np.zeros(256, bool)
 ENDS[[10, 33, 46, 63]] = True  # line feed ! . ?
 #: Words end at every ASCII character that is no letter, digit or apostrophe.
 GAPS = np.ones(256, bool)
+START = -8.0  # the bias that training starts from: few sentences offend
 HEADS = (4, 6)  # bytes of the beginnings
 GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = False
 
@@ -75,24 +76,21 @@ def train(texts, labels, shares=None, epochs=150, rate=1.0, penalty=1e-4, rare=3
 
     ``shares``: the weight of a text of each label, for a sample that has the labels in other shares than all rows.
     """
-    import pyarrow as pa
-
-    bags, y = Bags(pa.array(texts, pa.string())), np.asarray(labels, float)
-    row, kind = np.nonzero(bags.used)
-    hashes, sentence = bags.hashes[row, kind], bags.sentence[row]
-    once = np.unique(np.stack([hashes, bags.text[sentence].astype(np.uint64)]), axis=1)[0]
+    y = np.asarray(labels, float)
+    hashes, sentence, text, once = _features(texts)
     keys, count = np.unique(once, return_counts=True)
-    model = Model(keys[count >= rare], np.zeros((count >= rare).sum()), -6.0)
-    at = model.index(hashes)
+    model = Model(keys[count >= rare], np.zeros((count >= rare).sum()), START)
+    at = model.index(hashes).astype(np.int32)
     at, sentence = at[at < len(model.keys)], sentence[at < len(model.keys)]
+    del hashes, once
     each = np.array([(shares or {}).get(int(v), 1.0) for v in labels])
     each /= each.sum()
     grads, grad_b = np.full(len(model.keys), 1e-8), 1e-8
     for _ in range(epochs):
-        z = model.bias + np.bincount(sentence, model.weights[at], len(bags.first))
-        total = np.bincount(bags.text, np.logaddexp(0, z), bags.texts)
+        z = model.bias + np.bincount(sentence, model.weights[at], len(text))
+        total = np.bincount(text, np.logaddexp(0, z), len(y))
         pull = each * np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)  # of the loss by the total
-        g = pull[bags.text] / (1 + np.exp(-np.clip(z, -500, 500)))
+        g = pull[text] / (1 + np.exp(-np.clip(z, -500, 500)))
         gw = np.bincount(at, g[sentence], len(model.keys)) + penalty * np.tanh(10 * model.weights)
         gb = g.sum()
         grads, grad_b = grads + gw * gw, grad_b + gb * gb
@@ -101,11 +99,30 @@ def train(texts, labels, shares=None, epochs=150, rate=1.0, penalty=1e-4, rare=3
     return model
 
 
+def _features(texts):
+    """Of all texts: feature hashes with their sentences, the text of each sentence, and the features of each text once."""
+    import pyarrow as pa
+
+    hashes, sentence, text, once = ([] for _ in range(4))
+    sentences = done = 0
+    for part in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"])):
+        bags = Bags(part["text"])
+        row, kind = np.nonzero(bags.used)
+        hashes.append(bags.hashes[row, kind])
+        pairs = mix(hashes[-1] + mix(bags.text[bags.sentence[row]].astype(np.uint64)))
+        once.append(hashes[-1][np.unique(pairs, return_index=True)[1]])
+        sentence.append((bags.sentence[row] + sentences).astype(np.int32))
+        text.append(bags.text + done)
+        sentences, done = sentences + len(bags.first), done + part.num_rows
+    return (np.concatenate(x) for x in (hashes, sentence, text, once))
+
+
 def labelled_sample(docs, labels, id="doc_id", text="text", label="toxic", sample=SAMPLE, most=SAMPLE_BYTES):
     """(text, label) of about ``sample`` rows of each label, picked by a hash of the id, texts up to ``most`` bytes;
     and what share of the rows with that label was picked, by label.
 
-    Rows that lack an id, a text or a label are left out; of contradicting labels of one id the higher counts.
+    Rows that lack an id, a text or a label are left out; of contradicting labels of one id the higher counts. The ids
+    of the sample, about ``sample`` a label, go to the texts; no text is shuffled.
     """
     marks = labels.filter(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id}`").alias("id")).agg(F.max(F.col(f"`{label}`")).cast("int").alias("y"))
     counts = dict(marks.groupBy("y").count().collect())
@@ -116,7 +133,7 @@ def labelled_sample(docs, labels, id="doc_id", text="text", label="toxic", sampl
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     picked = marks.filter(draw < F.element_at(share, F.col("y")))
     texts = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") <= most)
-    return [(r.text, r.y) for r in texts.join(picked, "id").select("text", "y").collect()], shares
+    return [(r.text, r.y) for r in texts.join(F.broadcast(picked), "id").select("text", "y").collect()], shares
 
 
 def learned(docs, labels, **options):
