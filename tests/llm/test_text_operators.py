@@ -226,7 +226,7 @@ def test_every_distribution_of_the_tree_sums_to_one(prose):
     """The chances of all words, of the end and of an unknown word, after each context."""
     import numpy as np
 
-    texts = ["one two three four " * 5 + prose(6, i) for i in range(40)]
+    texts = ["one two one four " * 5 + prose(6, i) for i in range(40)]
     tokens = lm_scoring.Tokens(pa.array(texts))
 
     def counted(keys):
@@ -241,14 +241,14 @@ def test_every_distribution_of_the_tree_sums_to_one(prose):
         model.grow({k: v[keep] for k, v in found.items()})
     assert [s.sum() > 0 for s in model.state][:2] == [True, True]
     vocabulary = sorted({w for t in texts for w in t.split()})
-    for before in ("", "one ", "one two ", "four one two ", "zzz ", "three four "):
+    for before in ("", "one ", "one two ", "four one ", "two one ", "zzz "):
         place = len(before.split())
         seen = lm_scoring.Tokens(pa.array([*(f"{before}{w}" for w in vocabulary), before, f"{before}unseen"]))
         _, _, own = model.judge(seen)
         chances = 10 ** own[np.flatnonzero(seen.place == place)]
         chances[-1] *= 0.5 / model.mass
         assert chances.sum() == pytest.approx(1.0)
-    _, base, own = model.judge(lm_scoring.Tokens(pa.array(["one two three four"])))
+    _, base, own = model.judge(lm_scoring.Tokens(pa.array(["one two one four"])))
     assert own[1] > base[1] and own[3] > base[3]
 
 
