@@ -1,14 +1,19 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The root is the smoothed word distribution. A context of one to ``DEPTH`` words is a candidate if it makes up at least
-the share ``CONTEXT`` of all training tokens; it becomes a state if its distribution of next words diverges from that
-of its longest retained suffix. A state's distribution keeps the next words that follow it in at least the share
-``JOINT`` of all tokens, discounted; the rest of its mass goes to the distribution of the shorter suffix. So each
-distribution sums to one, and the model is bounded by the shares (1/CONTEXT contexts and 1/JOINT entries a depth),
-not by the corpus. A token is scored by the longest suffix that is a state.
-
-All counts are taken over the whole corpus. Words go by their 64-bit hash; tasks count before they shuffle. Words with
-a share of at least ``HEAVY`` (at most 1/HEAVY of them) go with the tasks; the many rare ones are found by a join.
+The root is the smoothed word distribution. A context of one to ``DEPTH`` words is a candidate if it occurs at least
+``LEAST_CONTEXT`` times; it becomes a state if its distribution of next words diverges from that of its longest retained
+suffix. A state's distribution keeps the next words that follow it at least ``LEAST_JOINT`` times, discounted; the rest
+of its mass goes to the distribution of the shorter suffix. So each distribution sums to one. A token is scored by the
+longest suffix that is a state. The floors are counts, whatever the size of the corpus: the tree grows with it.
+
+All counts are taken over the whole corpus. Words and runs of words (grams) go by their 64-bit hash; tasks count before
+they shuffle. Counts, chances and states are stored tables that are joined; nothing of them but frequent rows and bit
+sieves reaches the driver. A sieve is a bitmap of fixed size that knows every key of a table and few others, so tasks
+leave out most grams that no join would find; joins decide. The logarithm of a token's chance is that of its word and a
+sum over contexts: the rest of a state's mass if the word is no entry of it, the gain of the entry if it is. So each gram
+has one value, and a text's score is the sum of the values of its grams. Words with a share of at least ``HEAVY`` and
+values with a share of at least ``NEAR`` of the tokens go with the tasks (at most 1/HEAVY, and 1/NEAR for each size of
+gram); the many rare ones are found by joins.
 """
 
 import math
@@ -17,13 +22,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .textops import Words, slices
+from .textops import Words, slices, windows
 
-DEPTH, HEAVY, CONTEXT, JOINT = 3, 2.0**-21, 1e-5, 1e-6
-LEAST_CONTEXT, LEAST_JOINT = 5, 2  # counts below which nothing is learned from a small corpus
+DEPTH, HEAVY, NEAR = 3, 2.0**-21, 2.0**-20
+LEAST_CONTEXT, LEAST_JOINT = 5, 2  # counts below which nothing is learned
 DISCOUNT, DIVERGENCE, GAIN = 0.75, 0.01, 10.0  # of counts; nats a token and nats in all that a state must gain
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
 FLUSH = 1_000_000  # distinct keys that a task counts before it sends them on
+SIEVE = 27  # a sieve has 2**SIEVE bits
 
 
 def score(docs, held_out, id="doc_id", text="text"):
@@ -37,26 +43,74 @@ def score(docs, held_out, id="doc_id", text="text"):
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("text"))
     training = rows.filter(~F.col("held_out")).select("text")
-    words = stored(training.mapInArrow(_counted(_words), "k long, n long").groupBy("k").agg(F.sum("n").alias("c")))
+    words = stored(training.mapInArrow(_counted(_words, ["k"]), "k long, n long").groupBy("k").agg(F.sum("n").alias("c")))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = Model(words.filter(F.col("c") >= max(1, HEAVY * total)).toArrow(), total, distinct)
-    for _ in range(DEPTH):
-        sent = spark.sparkContext.broadcast(model)
-        entries = training.mapInArrow(_counted(lambda tokens, sent=sent: sent.value.pairs(tokens)), "k long, n long").groupBy("k").agg(F.sum("n").alias("c"))
-        if not model.grow(entries.filter(F.col("c") >= max(LEAST_JOINT, JOINT * total)).toArrow()):
-            break
-    sent = spark.sparkContext.broadcast(model)
-    held = "row long, id {0}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
+    mass = total + 0.5 * (distinct + 1)
+    values = tree(training, words, mass)
+    heavy, near = (_sorted(df, v) for df, v in ((words.filter(F.col("c") >= HEAVY * total), "c"), (values.filter(F.col("c") >= NEAR * total), "value")))
+    sent = spark.sparkContext.broadcast((mass, heavy, near, sieve(values)))
+    held = "row long, id {0}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, far array<long>, far_times array<int>"
     scored = stored(rows.mapInArrow(_scored(sent), held.format(docs.schema[id].dataType.simpleString())))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("k"), F.col("x.times").alias("n"))
-    chance = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(model.mass))
-    found = rare.join(words, "k", "left").groupBy("row").agg(F.sum(F.col("n") * chance).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
+    pairs = lambda keys, n: scored.select("row", F.explode(F.arrays_zip(keys, n)).alias("x")).select("row", F.col(f"x.{keys}").alias("k"), F.col(f"x.{n}").alias("n"))
+    chance = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(mass))
+    found = pairs("rare", "times").join(words, "k", "left").groupBy("row").agg(F.sum(F.col("n") * chance).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
+    gained = pairs("far", "far_times").join(values.select("k", "value"), "k").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("gained"))
     more = F.coalesce("more", F.lit(0.0))
-    return scored.join(found, "row", "left").select(
-        F.col("id").alias(id), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
+    return scored.join(found, "row", "left").join(gained, "row", "left").select(
+        F.col("id").alias(id), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("gained", F.lit(0.0))).alias("score"),
     )
 
 
+def tree(training, words, mass):
+    """The stored values (``k``, ``c``, ``value``) of the grams of one to ``DEPTH`` + 1 words that have one; ``c`` is how often they occur."""
+    grams, parts = words.select("k", "c", ((F.col("c") + 0.5) / F.lit(mass)).alias("p")), []
+    for n in range(1, DEPTH + 1):
+        contexts = grams.filter(F.col("c") >= LEAST_CONTEXT).select(F.col("k").alias("context"), F.col("c").alias("seen"))
+        sent = training.sparkSession.sparkContext.broadcast((sieve(contexts, "context"), sieve(grams.filter(F.col("c") >= LEAST_JOINT))))
+        made = training.mapInArrow(_counted(_grams(n, sent), ["k", "context", "suffix"]), "k long, context long, suffix long, n long")
+        counted = made.groupBy("k", "context", "suffix").agg(F.sum("n").alias("c")).filter(F.col("c") >= LEAST_JOINT)
+        found = counted.join(contexts, "context").join(grams.select(F.col("k").alias("suffix"), F.col("p").alias("shorter")), "suffix")
+        entries = stored(found.select("k", "context", "c", "seen", "shorter", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("kept")))
+        rest = entries.groupBy("context").agg((1.0 - F.sum("kept")).alias("rest"))
+        gain = F.sum(F.col("c") * F.log((F.col("kept") + F.col("rest") * F.col("shorter")) / F.col("shorter"))) + (F.col("seen") - F.sum("c")) * F.log(F.greatest("rest", F.lit(1e-12)))
+        judged = entries.join(rest, "context").groupBy("context", "rest", "seen").agg(gain.alias("gain"))
+        states = stored(judged.filter((F.col("gain") >= GAIN) & (F.col("gain") >= DIVERGENCE * F.col("seen"))).select("context", "rest", "seen"))
+        chance = F.when(F.col("rest").isNull(), F.col("shorter")).otherwise(F.col("kept") + F.col("rest") * F.col("shorter"))
+        live = entries.join(states.select("context", "rest"), "context", "left").withColumn("p", chance)
+        grams = stored(live.select("k", "c", "p", (F.log10(F.col("p") / F.col("shorter")) - F.log10("rest")).alias("value")))
+        parts += [states.select(F.col("context").alias("k"), F.col("seen").alias("c"), F.log10("rest").alias("value")), grams.filter(F.col("value").isNotNull()).select("k", "c", "value")]
+        sent.unpersist()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return stored(out.groupBy("k").agg(F.max("c").alias("c"), F.sum("value").alias("value")))
+
+
+def sieve(df, key="k"):
+    """A bitmap of the first ``SIEVE`` bits of the keys."""
+    slot = F.shiftrightunsigned(key, 64 - SIEVE)
+    table = df.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(2**15 - 1))).alias("bits")).toArrow()
+    out = np.zeros((2 ** (SIEVE - 15), 2**12), np.uint8)
+    for part, bits in zip(table["part"], table["bits"], strict=True):
+        out[part.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.ravel()
+
+
+def passes(bits, keys):
+    """Whether the sieve lets the keys pass."""
+    slot = keys >> np.uint64(64 - SIEVE)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _sorted(df, value):
+    """Keys in order and their values."""
+    table = df.select("k", F.col(value).cast("double").alias("v")).toArrow()
+    keys = np.asarray(table["k"]).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.asarray(table["v"])[order]
+
+
 class Tokens:
     """Hashes of the tokens of some texts, ends included, and their places in their texts."""
 
@@ -71,34 +125,60 @@ class Tokens:
         self.text = np.repeat(np.arange(len(self.count)), self.count)
         self.place = np.arange(len(self.hashes)) - (self.last - self.count + 1)[self.text]
 
+    def grams(self, n):
+        """A hash for each ``n`` consecutive tokens, across ends too."""
+        return self.hashes if n == 1 else windows(self.hashes, n)
+
+    def within(self, n):
+        """Places at which ``n`` tokens of one text start."""
+        return np.flatnonzero(self.text[: max(0, len(self.text) - n + 1)] == self.text[n - 1 :])
+
 
 def _words(tokens):
-    return tokens.hashes.view(np.int64)
+    return [tokens.hashes]
+
+
+def _grams(n, sent):
+    """Grams of n + 1 words with the contexts they start with and the grams of n words they end with."""
 
+    def run(tokens):
+        contexts, suffixes = sent.value
+        short, at = tokens.grams(n), tokens.within(n + 1)
+        at = at[passes(contexts, short[at])]
+        at = at[passes(suffixes, short[at + 1])]
+        return [tokens.grams(n + 1)[at], short[at], short[at + 1]]
 
-def _counted(keys_of):
-    """Counts the keys of all texts of a task, in parts of bounded size."""
+    return run
+
+
+def _counted(columns_of, names):
+    """Counts the keys of all texts of a task, in parts of bounded size; further columns are functions of the key."""
     import pyarrow as pa
 
-    def send(held):
-        keys, group = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        n = np.bincount(group, np.concatenate([n for _, n in held])).astype(np.int64)
-        return keys, n
+    def reduced(columns, n=None):
+        keys, first, group = np.unique(columns[0], return_index=True, return_inverse=True)
+        return [keys, *(c[first] for c in columns[1:])], np.bincount(group, n, len(keys)).astype(np.int64)
+
+    def merged(held):
+        return reduced([np.concatenate(c) for c in zip(*(c for c, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+
+    def batch_of(columns, n):
+        return pa.record_batch([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n)], names=[*names, "n"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                held.append(np.unique(keys_of(Tokens(part["text"])), return_counts=True))
-                size += len(held[-1][0])
+                held.append(reduced(columns_of(Tokens(part["text"]))))
+                size += len(held[-1][1])
                 if size > FLUSH:
-                    held = [send(held)]
-                    size = len(held[0][0])
+                    held = [merged(held)]
+                    size = len(held[0][1])
                     if size > FLUSH // 2:
-                        yield pa.record_batch([pa.array(x) for x in held[0]], names=["k", "n"])
+                        yield batch_of(*held[0])
                         held, size = [], 0
         if held:
-            yield pa.record_batch([pa.array(x) for x in send(held)], names=["k", "n"])
+            yield batch_of(*merged(held))
 
     return run
 
@@ -112,8 +192,8 @@ def _find(keys, values):
 
 
 class Model:
-    """The tree so far. Words are numbered by hash; a context of n words is known by the number of its last n - 1
-    words among the contexts of that length and by its first word."""
+    """The tree in memory, which tests compare the stored one with. Words are numbered by hash; a context of n words is
+    known by the number of its last n - 1 words among the contexts of that length and by its first word."""
 
     def __init__(self, heavy, total, distinct):
         keys, counts = (np.asarray(heavy[c]) for c in ("k", "c"))
@@ -121,8 +201,8 @@ class Model:
         self.keys, self.counts, self.total = keys.view(np.uint64)[order], counts[order].astype(float), total
         self.mass = total + 0.5 * (distinct + 1)
         self.width = max(1, len(keys))
-        self.next = self.counts >= max(LEAST_JOINT, JOINT * total)  # words that can have entries
-        often = np.flatnonzero(self.counts >= max(LEAST_CONTEXT, CONTEXT * total))
+        self.next = self.counts >= LEAST_JOINT  # words that can have entries
+        often = np.flatnonzero(self.counts >= LEAST_CONTEXT)
         end = _find(self.keys, np.array([END]))[0]
         self.paths = [[(int(w),) for w in often if w != end]]  # by length: the candidate contexts
         self.seen = [self.counts[[p[0] for p in self.paths[0]]]]  # and how often they occur
@@ -172,7 +252,7 @@ class Model:
         known = {p: i for i, p in enumerate(paths)}
         longer = []
         end = _find(self.keys, np.array([END]))[0]
-        for i in np.flatnonzero((counts >= max(LEAST_CONTEXT, CONTEXT * self.total)) & (word != end)):
+        for i in np.flatnonzero((counts >= LEAST_CONTEXT) & (word != end)):
             path = (*paths[context[i]], int(word[i]))
             if path[1:] in known:
                 longer.append((known[path[1:]] * self.width + path[0], path, counts[i]))
@@ -219,23 +299,38 @@ class Model:
 def _scored(sent):
     import pyarrow as pa
 
+    def lists(text, keys, n):
+        """For each of n texts its distinct keys and how often each occurs."""
+        order = np.lexsort((keys, text))
+        text, keys = text[order], keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(keys))).astype(np.int32)
+        ends = np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (keys[first].view(np.int64), times)]
+
     def run(batches):
-        model = sent.value
+        mass, (words, counts), (near, values), known = sent.value
+        chances, values = np.append(np.log10((counts + 0.5) / mass), 0.0), np.append(values, 0.0)  # -1: the appended 0
         for batch in batches:
             for part in slices(batch):
                 tokens = Tokens(part["text"])
-                number, base, own = model.judge(tokens)
-                n, rare = len(tokens.count), number < 0
-                sums = [np.bincount(tokens.text, x, n) for x in (~rare, base, own)]
-                pairs = np.stack([tokens.text[rare].astype(np.uint64), tokens.hashes[rare]], axis=1)
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                new = np.ones(len(pairs), bool)
-                new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(pairs))).astype(np.int32)
-                ends = np.searchsorted(pairs[first, 0], np.arange(n + 1).astype(np.uint64)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (pairs[first, 1].view(np.int64), times)]
-                columns = [part["row"], part["id"], part["held_out"], pa.array(tokens.count), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *lists]
-                yield pa.record_batch(columns, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                number, n = _find(words, tokens.hashes), len(tokens.count)
+                rare = number < 0
+                base = np.bincount(tokens.text, chances[number], n)
+                score, far = base.copy(), [(tokens.text[:0], tokens.hashes[:0])]
+                for size in range(1, DEPTH + 2):
+                    at = tokens.within(size)
+                    keys = tokens.grams(size)[at]
+                    some = passes(known, keys)
+                    keys, text = keys[some], tokens.text[at[some]]
+                    place = _find(near, keys)
+                    score += np.bincount(text, values[place], n)
+                    far.append((text[place < 0], keys[place < 0]))
+                n_known = pa.array(np.bincount(tokens.text, ~rare, n).astype(np.int64))
+                own = lists(tokens.text[rare], tokens.hashes[rare], n)
+                columns = [part["row"], part["id"], part["held_out"], pa.array(tokens.count), n_known, pa.array(base), pa.array(score), *own, *lists(*map(np.concatenate, zip(*far, strict=True)), n)]
+                yield pa.record_batch(columns, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "far", "far_times"])
 
     return run

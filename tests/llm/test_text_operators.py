@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from dossier.llm import license_scan, lm_scoring
 from dossier.llm.decontamination import contamination
 from dossier.llm.packing import best_fit, pack
@@ -279,3 +281,29 @@ def test_license_scan(make_docs, odd):
 def test_kept_text_is_hashed_as_utf8(make_docs):
     row = remove_repeats(make_docs(["é  ü"])).first()
     assert hashlib.sha256(row.kept_text.encode()).hexdigest() == hashlib.sha256("é ü".encode()).hexdigest()
+
+
+def test_what_is_learned_does_not_depend_on_the_size_of_the_corpus(spark, make_docs, monkeypatch):
+    """A phrase told ten times among 1.2 million other tokens: more than the shares 1e-5 and 1e-6 let pass. All scores are
+    those of the tree in memory, whether values go with the tasks or are joined."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in r.zipf(1.3, 4000) % 3000) for _ in range(300)]
+    texts += [f"w{i} amber birds circle distant elms w{i + 1}" for i in range(10)] + ["amber birds circle distant elms", None]
+    out = F.col("doc_id") >= 310
+    kept = pa.array(texts[:310])
+    tokens = lm_scoring.Tokens(kept)
+    words, counts = np.unique(tokens.hashes.view(np.int64), return_counts=True)
+    model = lm_scoring.Model({"k": words, "c": counts}, int(counts.sum()), len(words))
+    more = True
+    while more and len(model.entries) < lm_scoring.DEPTH:
+        k, c = np.unique(model.pairs(tokens), return_counts=True)
+        more = model.grow({"k": k[c >= 2], "c": c[c >= 2]})
+    seen = lm_scoring.Tokens(pa.array(texts, pa.string()))
+    wanted = np.bincount(seen.text, model.judge(seen)[2], len(texts))
+    for near in (lm_scoring.NEAR, 1e-3):
+        monkeypatch.setattr(lm_scoring, "NEAR", near)
+        rows = {r.doc_id: r for r in lm_scoring.score(make_docs(texts), out).collect()}
+        assert [rows[i].score for i in range(len(texts))] == pytest.approx(wanted.tolist())
+        assert rows[310].score > 0.5 * rows[310].base_score
