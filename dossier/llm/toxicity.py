@@ -7,12 +7,15 @@ speaks most for the score. Features are whole words and the beginnings of words,
 is two arrays and unseen forms of a known stem count too.
 """
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from .textops import Words, buffers, mix, slices, widened
 
-SAMPLE, SAMPLE_BYTES = 2000, 10_000  # rows of each label, about, and bytes of a row, in the sample
+SAMPLE, SAMPLE_BYTES = 4000, 12_000_000  # rows of each label, and bytes of all of these, at most and about, in the sample
+INDEXED = 1_000_000  # features of the sample that are looked up at once
 ENDS = np.zeros(256, bool)
 ENDS[[10, 33, 46, 63]] = True  # line feed ! . ?
 #: Words end at every ASCII character that is no letter, digit or apostrophe.
@@ -80,7 +83,7 @@ def train(texts, labels, shares=None, epochs=150, rate=1.0, penalty=1e-4, rare=3
     hashes, sentence, text, once = _features(texts)
     keys, count = np.unique(once, return_counts=True)
     model = Model(keys[count >= rare], np.zeros((count >= rare).sum()), START)
-    at = model.index(hashes).astype(np.int32)
+    at = np.concatenate([model.index(hashes[i : i + INDEXED]).astype(np.int32) for i in range(0, max(1, len(hashes)), INDEXED)])
     at, sentence = at[at < len(model.keys)], sentence[at < len(model.keys)]
     del hashes, once
     each = np.array([(shares or {}).get(int(v), 1.0) for v in labels])
@@ -118,22 +121,25 @@ def _features(texts):
 
 
 def labelled_sample(docs, labels, id="doc_id", text="text", label="toxic", sample=SAMPLE, most=SAMPLE_BYTES):
-    """(text, label) of about ``sample`` rows of each label, picked by a hash of the id, texts up to ``most`` bytes;
-    and what share of the rows with that label was picked, by label.
+    """(text, label) of about ``sample`` rows of each label, or of so many that they have about ``most`` bytes, picked by
+    a hash of the id whatever the length of the text; and what share of the rows with that label was drawn, by label.
 
     Rows that lack an id, a text or a label are left out; of contradicting labels of one id the higher counts. The ids
-    of the sample, about ``sample`` a label, go to the texts; no text is shuffled.
+    of the sample, about ``sample`` a label at most, go to the texts; no text is shuffled, only lengths are.
     """
     marks = labels.filter(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id}`").alias("id")).agg(F.max(F.col(f"`{label}`")).cast("int").alias("y"))
-    counts = dict(marks.groupBy("y").count().collect())
-    if not counts:
+    texts = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
+    sizes = texts.select("id", F.octet_length("text").cast("long").alias("size")).join(marks, "id").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    rows = {r.y: (r.n, r["size"]) for r in sizes.collect()}
+    if not rows:
         return [], {}
-    shares = {y: min(1.0, sample / n) for y, n in counts.items()}
-    share = F.create_map(*(F.lit(v) for pair in shares.items() for v in pair))
+    rates = {y: min(1.0, sample / n, most / max(1, size)) for y, (n, size) in rows.items()}
+    rate = F.create_map(*(F.lit(v) for pair in rates.items() for v in pair))
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
-    picked = marks.filter(draw < F.element_at(share, F.col("y")))
-    texts = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") <= most)
-    return [(r.text, r.y) for r in texts.join(F.broadcast(picked), "id").select("text", "y").collect()], shares
+    picked = marks.filter(draw < F.element_at(rate, F.col("y")))
+    drawn = [(r.text, r.y) for r in texts.join(F.broadcast(picked), "id").select("text", "y").collect()]
+    count = Counter(y for _, y in drawn)
+    return drawn, {y: k / rows[y][0] for y, k in count.items()}
 
 
 def learned(docs, labels, **options):

@@ -128,6 +128,25 @@ def test_toxicity_learns_from_labels_of_texts(make_docs, spark, prose, odd):
     assert toxicity.judge(make_docs([]), model).count() == 0
 
 
+def test_toxicity_learns_from_long_texts(make_docs, spark, prose):
+    """Labels lie on texts of 18,000 bytes and more only, some of them clean; and a sample of fewer bytes has all lengths."""
+    texts, marks = [], []
+    for i in range(60):
+        parts = [prose(8, 1000 * i + k) for k in range(600 + 10 * (i % 5))]
+        if i % 3 == 0:
+            parts[7 * i] = f"{prose(2, i)} vexl {prose(2, -i)}"
+        texts.append(". ".join(parts))
+        marks.append((i, int(i % 3 == 0)))
+    assert min(map(len, texts)) > 18_000
+    docs, labels = make_docs(texts), spark.createDataFrame(marks, "doc_id long, toxic int")
+    fold = docs.filter("doc_id % 5 != 0")
+    rows = {r.doc_id: r for r in toxicity.judge(docs, toxicity.learned(fold, labels)).collect()}
+    assert [(rows[i].score >= 0.5) for i, _ in marks] == [bool(y) for _, y in marks]
+    some, shares = toxicity.labelled_sample(fold.union(docs.filter("doc_id = 0").selectExpr("100L doc_id", "'short' text", "lang", "source", "n_chars", "row", "score")), labels.union(spark.createDataFrame([(100, 0)], "doc_id long, toxic int")), most=300_000)
+    assert 0 < len(some) < 48 and any(len(t) > 18_000 for t, _ in some)
+    assert shares == {y: sum(k == y for _, k in some) / n for y, n in {0: 33, 1: 16}.items() if any(k == y for _, k in some)}
+
+
 def test_noisy_or():
     words = toxicity.Bags(pa.array(["a b. c", None, "..."]))
     model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -1.0)
