@@ -1,6 +1,9 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a set of words. A template is contained in a block if the block holds at least the share
+A block is a line of a text, a set of words; for a template that no line of the text contains, blocks that span lines
+count too. These are the paragraphs of several lines, runs of lines between blank ones: what the join finds in a whole
+paragraph is counted in windows of twice the template's words that start every template's length, so a notice wrapped
+over lines stands in one of them and words that are far apart do not add up. A template is contained in a block if the block holds at least the share
 ``threshold`` of the template's words. Template words are ordered by their frequency over all blocks, rarest first.
 A template with n words, of which k must be met, has a prefix of n - k + 1 words, one of which every matching block
 holds; so blocks are joined to templates on prefix words only. Blocks with fewer than k template words fall to the
@@ -11,12 +14,15 @@ All of it is DataFrame expressions. What is broadcast are template words, as man
 aggregated to one row a template word. Blocks are reduced to the template words they hold before they are exploded.
 """
 
+import re
+
 from pyspark.sql import functions as F
 
 from .shared import numbered
 
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+GAPS = re.compile(f"{GAP}+")
 #: Phrases with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Public license notices with labels.
@@ -36,8 +42,8 @@ def scan(docs, id="doc_id", text="text", templates=None, threshold=0.8):
 
     Words are runs of letters and digits, where everything beyond ASCII is a letter; ASCII letters match in any case.
     ``n_base`` counts the places of ``PHRASES``, ``first_word`` and ``last_word`` are the smallest and largest word at
-    which one starts, null without any. ``labels`` adds those of the templates that a line contains, ``score`` is the
-    largest containment that meets the threshold, 1 with a phrase, else 0. A null or empty text has no words, empty
+    which one starts, null without any. ``labels`` adds those of the templates that a line, or else a paragraph's
+    window, contains, ``score`` is the largest containment that meets the threshold, 1 with a phrase, else 0. A null or empty text has no words, empty
     labels and score 0. Repeated rows give repeated results.
     """
     keyed = numbered(docs).select(F.col("__row").alias("row"), F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -69,13 +75,16 @@ def _phrases(text):
 
 
 def matches(keyed, templates, threshold):
-    """(``row``, ``label``, ``share``) of the lines of ``text`` that contain a template."""
+    """(``row``, ``label``, ``share``) of the templates that a line of ``text``, or else a window over lines, contains."""
     spark = keyed.sparkSession
     words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), f"{GAP}+"), lambda w: w != ""))
     given = spark.createDataFrame(list(templates.items()), "label string, notice string").select("label", words(F.col("notice")).alias("words"))
     vocabulary = sorted({w for r in given.collect() for w in r.words})
-    blocks = keyed.select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    held = blocks.select("row", "block", F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.lower("line"), f"{GAP}+")).alias("held")).filter(F.size("held") > 0)
+    needs = {r.label: -(-len(r.words) * round(threshold * 1000) // 1000) for r in given.collect()}
+    wide = F.filter(F.split("text", r"\n[ \t\r\x0B\f]*\n"), lambda p: F.trim(p, F.lit("\n")).contains("\n"))
+    blocks = keyed.select("row", F.posexplode(F.concat(F.split("text", "\n"), wide)).alias("block", "part"))
+    held = blocks.select("row", "block", "part", F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.lower("part"), f"{GAP}+")).alias("held"))
+    held = held.filter(F.size("held") >= max(1, min(needs.values()))).withColumn("part", F.when(F.col("part").contains("\n"), F.col("part")))  # null: a line
 
     counts = held.select(F.explode("held").alias("word")).groupBy("word").count()
     frequent = {r["word"]: r["count"] for r in counts.collect()}  # one row for each template word at most
@@ -83,14 +92,21 @@ def matches(keyed, templates, threshold):
     index = []
     for r in given.collect():
         ranks = sorted(order[w] for w in r.words)
-        need = -(-len(ranks) * round(threshold * 1000) // 1000)
-        index += [(rank, r.label, ranks, need, place) for place, rank in enumerate(ranks[: len(ranks) - need + 1])]
-    prefixes = spark.createDataFrame(index, "rank int, label string, ranks array<int>, need int, place int")
+        need = needs[r.label]
+        index += [(rank, r.label, r.words, len(GAPS.sub(" ", templates[r.label]).split()), ranks, need, place) for place, rank in enumerate(ranks[: len(ranks) - need + 1])]
+    prefixes = spark.createDataFrame(index, "rank int, label string, words array<string>, length int, ranks array<int>, need int, place int")
 
     ranked = F.array_sort(F.transform("held", lambda w: F.element_at(F.create_map(*(F.lit(x) for pair in order.items() for x in pair)), w)))
-    probes = held.select("row", "block", ranked.alias("has")).select("row", "block", "has", F.posexplode("has").alias("at", "rank"))
+    probes = held.select("row", "block", "part", ranked.alias("has")).select("row", "block", "part", "has", F.posexplode("has").alias("at", "rank"))
     met = probes.join(F.broadcast(prefixes), "rank")
     size, n = F.size("has"), F.size("ranks")
     possible = (size >= F.col("need")) & (F.least(n - F.col("place"), size - F.col("at")) + F.least("place", "at") >= F.col("need"))
     both = F.size(F.array_intersect("has", "ranks"))
-    return met.filter(possible).filter(both >= F.col("need")).select("row", "label", (both / n).alias("share"))
+    found = met.filter(possible).filter(both >= F.col("need")).withColumn("both", both)
+    # a template is met by a paragraph at several prefix words, one is enough
+    over = found.filter(F.col("part").isNotNull()).dropDuplicates(["row", "block", "label"]).withColumn("all", F.array_remove(F.split(F.lower("part"), f"{GAP}+"), ""))
+    window = lambda i: F.size(F.array_intersect(F.slice("all", i, 2 * F.col("length")), F.col("words")))
+    over = over.withColumn("both", F.array_max(F.transform(F.sequence(F.lit(1), F.size("all"), F.col("length")), window))).filter(F.col("both") >= F.col("need"))
+    shares = [df.select("row", "label", (F.col("both") / n).alias("share"), F.lit(spans).alias("spans")) for df, spans in ((found.filter(F.col("part").isNull()), False), (over, True))]
+    share = lambda spans: F.max(F.when(F.col("spans") == spans, F.col("share")))
+    return shares[0].unionAll(shares[1]).groupBy("row", "label").agg(F.coalesce(share(False), share(True)).alias("share"))

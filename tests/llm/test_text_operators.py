@@ -278,6 +278,22 @@ def test_license_scan(make_docs, odd):
     assert license_scan.scan(make_docs([])).count() == 0
 
 
+def test_license_notices_wrapped_over_lines(make_docs, prose):
+    bsd = license_scan.TEMPLATES["bsd"].replace(" with or", "\n * with or")
+    grant = license_scan.TEMPLATES["mit-grant"].replace(" to any", "\n# to any")
+    words = license_scan.TEMPLATES["bsd"].split()
+    texts = [
+        bsd,
+        f"{prose(90, 1)}\n{prose(31, 2)}\n// {grant}\n{prose(70, 3)}\n\nx",
+        bsd.replace("\n", "\n \n"),  # a blank line ends a paragraph
+        "\n".join(f"{w} {prose(9, i)}" for i, w in enumerate(words)),  # too far apart
+        f"released under\nthe license\n{prose(3, 4)}",
+        "released under the\nmit license",
+    ]
+    rows = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(make_docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [("bsd", 1.0), ("mit-grant", 1.0), ("", 0.0), ("", 0.0), ("mit", 0.8), ("mit", 1.0)]
+
+
 def test_kept_text_is_hashed_as_utf8(make_docs):
     row = remove_repeats(make_docs(["é  ü"])).first()
     assert hashlib.sha256(row.kept_text.encode()).hexdigest() == hashlib.sha256("é ü".encode()).hexdigest()
