@@ -1,6 +1,7 @@
 """Benchmark decontamination: windows of an item's size are compared with the item by SimHash, then exactly.
 
-For each item length, windows of that many words slide over every text. A window is fingerprinted if it has so
+For each item length, windows of that many words slide over every text; a text that is shorter than the item is one
+window as a whole. A window is fingerprinted if it has so
 many shingles that occur in any item that the wanted similarity is possible at all (a sound bound, one cumulative
 sum a text). Fingerprints are looked up in a multi-index: 64 bits in eight blocks, and an item stands in a block's
 list under every value within ``radius // 8`` bits of its own, so by the pigeonhole principle no item within
@@ -140,11 +141,30 @@ def search(items, texts, similarity):
             some = starts[i : i + CHUNK]
             rows = keys[some[:, None] + np.arange(m)]
             for start, shingles, mark in zip(some.tolist(), rows, simhash(rows), strict=True):
-                found = items.near(length, mark)
-                if len(found):
-                    bag, text = Counter(shingles.tolist()), int(which[start])
-                    for item in found.tolist():
-                        value = (similar(bag, items.bags[item]), int(words.first[text] - start), length)
-                        if value[0] >= similarity and value > best.get((text, item), (0.0,)):
-                            best[text, item] = value
+                _meet(items, length, mark, shingles, similarity, int(which[start]), (int(words.first[which[start]] - start), length), best)
+    if items.shingle not in grams:
+        return best
+    # texts as a whole, with the items that are longer
+    keys, hits = grams[items.shingle]
+    m = words.count - items.shingle + 1
+    some = np.flatnonzero((m > 0) & (words.count < max(items.groups)))
+    held = hits[words.first[some] + m[some]] - hits[words.first[some]]
+    for text in some[held >= np.maximum(1, np.ceil(2 * similarity / (1 + similarity) * m[some] - 1e-9))].tolist():
+        first, own, count = int(words.first[text]), int(m[text]), int(words.count[text])
+        shingles = keys[first : first + own]
+        mark = simhash(shingles[None, :])[0]
+        for length in items.groups:
+            if length > count and (length - items.shingle + 1) * similarity <= own + 1e-9:
+                _meet(items, length, mark, shingles, similarity, text, (0, count), best)
     return best
+
+
+def _meet(items, length, mark, shingles, similarity, text, place, best):
+    """Keeps a window of a text for each item of a length that it is similar enough to, if it is the best so far."""
+    found = items.near(length, mark)
+    if len(found):
+        bag = Counter(shingles.tolist())
+        for item in found.tolist():
+            value = (similar(bag, items.bags[item]), *place)
+            if value[0] >= similarity and value > best.get((text, item), (0.0,)):
+                best[text, item] = value

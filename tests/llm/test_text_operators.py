@@ -160,6 +160,15 @@ def test_contamination(make_docs, spark, prose, odd):
     assert contamination(make_docs([]), bench).count() == 0
 
 
+def test_contamination_of_texts_shorter_than_the_item(make_docs, spark, prose, odd):
+    item = prose(50, 1)
+    bench = spark.createDataFrame([(0, item), (1, "only three words")], "item_id long, text string")
+    words = item.split()
+    texts = [" ".join(words[:-1]), " ".join(words[1:-1]), " ".join(words[:30]), prose(49, 2), "only three", *odd]
+    rows = contamination(make_docs(texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity, r.first_word, r.n_words) for r in rows) == [(0, 0, 45 / 46, 0, 49), (1, 0, 44 / 46, 0, 48)]
+
+
 # --- packing ----------------------------------------------------------------------------------------
 
 
