@@ -85,8 +85,16 @@ def http_headers(text):
     return lines[0], [(k.strip(), v.strip()) for k, v in pairs]
 
 
+def _by_name(headers):
+    """The value of each header, or the list of its values in order if it is repeated in whatever case."""
+    names, values = {}, {}
+    for name, value in headers:
+        values.setdefault(names.setdefault(name.lower(), name), []).append(value)
+    return {name: v if len(v) > 1 else v[0] for name, v in values.items()}
+
+
 def _describe(source, status, headers, payload):
-    found = {"Status": status, "Headers": dict(headers)}
+    found = {"Status": status, "Headers": _by_name(headers)}
     if payload is not None:
         bare = _DROPPED.sub(" ", payload)
         title = _TITLE.search(bare)

@@ -237,6 +237,13 @@ def test_other_content_types(spark):
     assert next(r.block for r in made if r.warc_type == "conversion") == "a <b>" and html.unescape("&lt;") == "<"
 
 
+def test_repeated_headers_are_kept(spark):
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nSet-Cookie: a=1\r\nVia: x\r\nset-cookie: b=2\r\n"
+    made = derive(spark.createDataFrame([("r", "u", "d", head, "")], "record_id string, target_uri string, warc_date string, http string, payload string")).collect()
+    meta = json.loads(next(r.block for r in made if r.warc_type == "metadata"))["Envelope"]["Payload-Metadata"]
+    assert meta["HTTP-Response-Metadata"]["Headers"] == {"Content-Type": "text/plain", "Set-Cookie": ["a=1", "b=2"], "Via": "x"}
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------
 
 
