@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from . import ann, language_id, license_scan, lm_scoring, toxicity
+from . import ann, bpe, language_id, license_scan, lm_scoring, toxicity, whitening
 from .decontamination import contamination
+from .merkle import Manifest, folded, leaf, proof_text
 from .packing import pack
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
@@ -117,6 +118,102 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN own USING (r)
 """
 
 
+@_query
+def op11_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = leaf(change=lambda name: F.translate(name, letters, letters.lower()) if name == "text" else F.col(name))
+    altered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    manifest = Manifest(docs, leaf(), keep=["doc_id", F.when(altered, lowered).otherwise(leaf()).alias("given")])
+    proofs = manifest.proofs()
+    told = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text("siblings"), 256).alias("proof_sha256"), folded(F.col("given"), F.col("siblings")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_levels(tree, levels):
+    """SQL of the levels above ``tree``0 (g, i, h, total): a node with its siblings, and the level that its runs of eight make."""
+    for k in range(levels):
+        run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+        yield f"""{tree}s{k} AS (SELECT g, i, total > 1 AS several, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {tree}{k})"""
+        yield f"""{tree}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN total > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h, (total + 7) // 8 AS total
+                   FROM {tree}{k} GROUP BY g, i // 8, total)"""
+
+
+def _merkle_folds(start, tree, levels, to):
+    """SQL of the way up from ``start`` (row, g, i, proof, node): siblings join the proof and the node becomes their hash."""
+    for k in range(levels):
+        source = start if k == 0 else f"{to}{k}"
+        yield f"""{to}{k + 1} AS (SELECT a.row, a.g, a.i // 8 AS i, CASE WHEN several THEN proof || l || r ELSE proof END AS proof,
+                   CASE WHEN several THEN sha256(l || node || r) ELSE node END AS node
+                   FROM {source} a JOIN {tree}s{k} b ON a.g IS NOT DISTINCT FROM b.g AND a.i = b.i)"""
+
+
+def _merkle_sql(levels=8, top_levels=4):
+    """Up to 8 ** levels rows a group and 8 ** top_levels groups; CRC32 is counted bit by bit."""
+
+    def hashed(text):
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in fields) + ")"
+
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE {shift} END), 4294967295)"
+    parts = [
+        f"d AS (SELECT doc_id, lang AS g, {hashed('text')} AS h, {hashed(small)} AS changed, {crc} % 3 = 0 AS altered FROM documents)",
+        """o AS (SELECT *, row_number() OVER (ORDER BY g NULLS FIRST, doc_id NULLS FIRST, h) AS row, count(*) OVER (PARTITION BY g) AS total,
+              row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d)""",
+        "t0 AS (SELECT g, i, h, total FROM o)",
+        *_merkle_levels("t", levels),
+        f"top AS (SELECT g AS name, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS total FROM t{levels})",
+        "u0 AS (SELECT 0 AS g, i, h, total FROM top)",
+        *_merkle_levels("u", top_levels),
+        "a0 AS (SELECT row, g, i, '' AS proof, CASE WHEN altered THEN changed ELSE h END AS node FROM o)",
+        *_merkle_folds("a0", "t", levels, "a"),
+        f"b0 AS (SELECT a.row, 0 AS g, top.i, a.proof, a.node FROM a{levels} a JOIN top ON a.g IS NOT DISTINCT FROM top.name)",
+        *_merkle_folds("b0", "u", top_levels, "b"),
+    ]
+    return f"""WITH {", ".join(parts)}
+        SELECT o.doc_id, o.h AS leaf, top.h AS subroot, u{top_levels}.h AS root, sha256(b.proof) AS proof_sha256, b.node AS folded_root, b.node = u{top_levels}.h AS verified
+        FROM o JOIN b{top_levels} b USING (row) JOIN top ON o.g IS NOT DISTINCT FROM top.name, u{top_levels}"""
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()
+
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+@_query
+def op12_embedding_whitening(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    made = whitening.whiten(rows, model).drop("embedding")
+    error = whitening.identity_error(made, model) if model else None
+    explained = F.array(*(F.lit(v) for v in (model.explained if model else []))).cast("array<double>")
+    each = made.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+@_query
+def op13_bpe_codec(spark, sf_dir, vocabulary=None):
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    codec = bpe.codec(docs, vocabulary or public_tokenizers.path(VOCABULARY))
+    decoded = codec.decode(codec.encode(docs, keep=["doc_id"]))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def held_out(key, parts, part):
     """Whether a row is held out: by the CRC32 of its key as text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(parts)) == part

@@ -10,7 +10,7 @@ def stored(df):
     """Writes ``df`` into the shared folder and reads it back: its lineage ends there, so a lost executor costs
     no recomputation. The folder is ``spark.checkpoint.dir``; a local session without it uses one of its own."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -31,7 +31,8 @@ def _scan(plan):
     return plan.nodeName() in ("LogicalRelation", "LocalRelation", "Project", "Filter") and all(_scan(below.apply(i)) for i in range(below.size()))
 
 
-def _folder(spark):
+def folder(spark):
+    """The folder that all executors share, as the session names it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
@@ -39,3 +40,14 @@ def _folder(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dossier-llm-"))
     return spark.sparkContext.getCheckpointDir()
+
+
+def write_bytes(spark, path, content):
+    """Writes one file into the shared folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()

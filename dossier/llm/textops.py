@@ -116,9 +116,10 @@ def buffers(array):
 
 
 def widened(schema, added):
-    """The fields of a schema that are not among the added ones (DDL), and the schema of both, for a map over batches."""
+    """The fields of a schema that are not among the added ones (DDL; in any letter case), and the schema of both, for a map over batches."""
     new = T._parse_datatype_string(added)
-    rest = [T.StructField(f.name, f.dataType) for f in schema if f.name not in new.names]
+    names = {n.lower() for n in new.names}
+    rest = [T.StructField(f.name, f.dataType) for f in schema if f.name.lower() not in names]
     return [f.name for f in rest], T.StructType([*rest, *new])
 
 
