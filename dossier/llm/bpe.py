@@ -28,6 +28,7 @@ WORD_BYTES = 64  # of a word of the lexicon; a longer one is merged
 PIECE = 1 << 20  # characters of a text that are cut into words at once
 HELD = 300_000  # words that wait for a walk through the automaton, or distinct words that a task counts before it sends them
 MEMO = 1 << 16  # merged words a worker remembers
+TOGETHER = 1 << 13  # words that are merged in step
 
 #: The pattern of words, the mark at a word's end and the normal form this module knows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -62,30 +63,16 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(ids[a] << 20) | ids[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.made = [ids[a + b] for a, b in pairs]
+        self._keys = np.array(sorted(self.ranks), np.int64)
+        self._key_ranks = np.array([self.ranks[k] for k in self._keys.tolist()], np.int64)
+        self._inner, self._last, self._made = (np.array(v, np.int64) for v in (self.inner, self.last, self.made))
 
     def merged(self, word):
-        """The ids of a word (bytes): always the pair of least rank first, of equal ones the leftmost."""
+        """The ids of a word (bytes): always the pair of least rank first, of equal ones the leftmost.
+
+        Candidates wait in a heap and neighbours are linked, so a word of n bytes takes n log n steps.
+        """
         ids = [*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]]
-        return self._merged_long(ids) if len(ids) > WORD_BYTES else self._merged_short(ids)
-
-    def _merged_short(self, ids):
-        ranks, none = self.ranks, len(self.made)
-        pairs = [ranks.get((a << 20) | b, none) for a, b in zip(ids, ids[1:])]
-        while pairs:
-            least = min(pairs)
-            if least == none:
-                break
-            i = pairs.index(least)
-            ids[i : i + 2] = [self.made[least]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = ranks.get((ids[i - 1] << 20) | ids[i], none)
-            if i < len(pairs):
-                pairs[i] = ranks.get((ids[i] << 20) | ids[i + 1], none)
-        return ids
-
-    def _merged_long(self, ids):
-        """Candidates wait in a heap and neighbours are linked, so a word of n bytes takes n log n steps."""
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         waiting = []
@@ -111,6 +98,54 @@ class Vocabulary:
                 offer(before[i], i)
         return [x for x in ids if x >= 0]
 
+    def merged_all(self, words):
+        """Lists of the ids of many words of up to WORD_BYTES bytes, merged in step: one pair a word and round."""
+        out = [None] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        for begin in range(0, len(order), TOGETHER):
+            own = order[begin : begin + TOGETHER]
+            ids, count = self._in_step([words[i] for i in own.tolist()], size[own])
+            for i, row, n in zip(own.tolist(), ids.tolist(), count.tolist()):
+                out[i] = row[:n]
+        return out
+
+    def _rank(self, left, right):
+        """Ranks of pairs; ``none`` where there is no merge or a place is empty (-1)."""
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (left >= 0) & (right >= 0), self._key_ranks[at], len(self.made))
+
+    def _in_step(self, words, size):
+        """A matrix of ids, a row a word with -1 behind its end, and how many of a row are ids."""
+        width = int(size.max()) + 1
+        column = np.arange(width)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        first = np.cumsum(size) - size
+        letters = data[np.minimum(first[:, None] + column, len(data) - 1)]
+        ids = np.where(column < size[:, None], self._inner[letters], -1)
+        rows = np.arange(len(words))
+        ids[rows, size - 1] = self._last[letters[rows, size - 1]]
+        count, none = size.copy(), len(self.made)
+        ranks = np.full(ids.shape, none)
+        ranks[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
+        live = rows
+        while len(live):
+            at = ranks[live].argmin(1)
+            least = ranks[live, at]
+            live, at, least = live[least < none], at[least < none], least[least < none]
+            if not len(live):
+                break
+            behind = np.minimum(column + (column > at[:, None]), width - 1)
+            ids[live] = ids[live[:, None], behind]
+            ranks[live] = ranks[live[:, None], behind]
+            ids[live, at] = self._made[least]
+            ids[live, -1] = -1
+            ranks[live, at] = self._rank(ids[live, at], ids[live, at + 1])
+            ranks[live[at > 0], at[at > 0] - 1] = self._rank(ids[live[at > 0], at[at > 0] - 1], ids[live[at > 0], at[at > 0]])
+            count[live] -= 1
+        return ids, count
+
 
 def byte_letters():
     """The visible letter that stands for each byte: printable ones for themselves, the rest in turn from U+0100."""
@@ -454,21 +489,23 @@ class Encoder:
         found, ids, bounds = self.lexicon.look_up(plain)
         first, count = bounds[:-1], np.diff(bounds)
         unseen = np.flatnonzero(~found)
-        parts = [self._unseen(plain[i]) if plain[i] else [words[i]] for i in unseen.tolist()]
+        parts = self._unseen([plain[i] or words[i] for i in unseen.tolist()])
         count[unseen] = np.fromiter(map(len, parts), np.int64, len(parts))
         first[unseen] = len(ids) + np.cumsum(count[unseen]) - count[unseen]
         more = np.fromiter(itertools.chain.from_iterable(parts), np.int64, int(count[unseen].sum()))
         return np.concatenate([ids, more]), first, count
 
-    def _unseen(self, word):
-        if word in self.memo:
-            return self.memo[word]
-        ids = self.vocabulary.merged(word)
-        if len(word) <= WORD_BYTES:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = ids
-        return ids
+    def _unseen(self, words):
+        """Ids of words that the lexicon lacks (bytes) and of special tokens (ids)."""
+        new = [w for w in words if isinstance(w, bytes) and w not in self.memo]
+        short = [w for w in new if len(w) <= WORD_BYTES]
+        made = dict(zip(short, self.vocabulary.merged_all(short)))
+        made |= {w: self.vocabulary.merged(w) for w in new if len(w) > WORD_BYTES}
+        parts = [[w] if isinstance(w, int) else self.memo[w] if w in self.memo else made[w] for w in words]
+        if len(self.memo) + len(short) > MEMO:
+            self.memo = {}
+        self.memo |= {w: made[w] for w in short[:MEMO]}
+        return parts
 
 
 def codec(docs, vocabulary_path, text="text", most=WORDS):
@@ -478,4 +515,4 @@ def codec(docs, vocabulary_path, text="text", most=WORDS):
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = Vocabulary(f.read())
     words = [r.word.encode() for r in frequent_words(docs, vocabulary, text, most).select("word").collect()]
-    return Codec(spark, vocabulary, [(w, vocabulary.merged(w)) for w in words])
+    return Codec(spark, vocabulary, list(zip(words, vocabulary.merged_all(words))))

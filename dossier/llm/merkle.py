@@ -277,7 +277,7 @@ class Manifest:
         root pairs of hex texts to the left and to the right (empty at a level without siblings)."""
         spark = self.groups.rounds[0].sparkSession
         none = spark.range(1).select(F.lit(None).cast("string").alias("grp"), F.lit(self.root).cast("string").alias("root"), F.array().cast(SIBLINGS).alias("siblings"))
-        over = self.top.proofs(none).select(F.col("key.name").alias("grp"), F.col("leaf").alias("root"), "siblings")
+        over = self.top.proofs(stored(none)).select(F.col("key.name").alias("grp"), F.col("leaf").alias("root"), "siblings")
         found = self.groups.proofs(stored(over))
         own = ("leaf", "subroot", "root", "siblings", "__none")
         kept = [F.col("key")[f.name].alias(f.name) for f in found.schema["key"].dataType if f.name.lower() not in own]

@@ -222,11 +222,12 @@ def test_ids_go_towards_the_root():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[7, 1], [7, 2], [7], []]
 
 
-def test_long_and_short_words_are_merged_alike():
+def test_words_are_merged_alike_alone_and_in_step(library):
     with open(VOCABULARY, encoding="utf-8") as f:
         vocabulary = bpe.Vocabulary(f.read())
     r = random.Random(4)
-    for _ in range(300):
-        word = "".join(r.choice("etaoinshé") for _ in range(r.randint(1, 60))).encode()
-        start = [*(vocabulary.inner[b] for b in word[:-1]), vocabulary.last[word[-1]]]
-        assert vocabulary._merged_long(list(start)) == vocabulary._merged_short(list(start)) == vocabulary.merged(word)
+    words = ["".join(r.choice("etaoinshé") for _ in range(r.randint(1, 30))).encode() for _ in range(500)]
+    words += [b"z", b"a" * bpe.WORD_BYTES, b"e"]
+    in_step = vocabulary.merged_all(words)
+    assert in_step == [vocabulary.merged(w) for w in words] == [library.encode(w.decode()).ids for w in words]
+    assert vocabulary.merged_all([]) == []
