@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import folder, write_bytes
+from .shared import folder, stored, write_bytes
 from .textops import widened
 
 WORDS = 1 << 16  # most words of the lexicon
@@ -207,7 +207,8 @@ class Cutter:
 
 
 def frequent_words(docs, vocabulary, text="text", most=WORDS):
-    """The ``most`` most frequent words of up to WORD_BYTES bytes over all texts, with their counts; ties by the word."""
+    """The most frequent words of up to WORD_BYTES bytes over all texts, with their counts: as many whole classes of frequency,
+    an eighth of a power of two each, as have no more than ``most`` words together."""
     special = vocabulary.special
 
     def count(batches):
@@ -223,8 +224,15 @@ def frequent_words(docs, vocabulary, text="text", most=WORDS):
         yield _counts(seen)
 
     counted = docs.select(text).mapInArrow(count, "word string, n long")
-    total = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return total.orderBy(F.desc("n"), "word").limit(most)
+    total = stored(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    rank = F.floor(F.log2("n") * 8)
+    least, held = None, 0
+    for r in sorted(total.groupBy(rank.alias("rank")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r.words
+        if held > most:
+            break
+        least = r["rank"]
+    return total.filter(rank >= least) if least is not None else total.limit(0)
 
 
 def _counts(seen):
