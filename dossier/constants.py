@@ -36,6 +36,7 @@ won't wouldn wouldn't y you you'd you'll your you're yours yourself yourselves y
 IN_PROGRESS, COMPLETED, FAILED = "in_progress", "completed", "failed"
 EXTRACTION, PARSING, SAVING, NO_ERROR = "extraction", "parsing", "saving", "none"
 MAX_RETRIES = 3
+RETRY_SECONDS = (600, 1200, 1800)
 
 # --- fixed values: retrieval parameters -------------------------------------------------------
 COMPANY_SIZES = ("<50", "50-200", "200-500", "500-1000", ">1000")

@@ -81,6 +81,34 @@ def settle(tracking, log):
     return mark_failed(updated.join(tried, "id", "left").withColumn("no_of_retries", total).drop("_n"))
 
 
+def folded(rows, log):
+    """Tracking rows (with ``seq``, that of the last update in them) after a log of any number of batches.
+
+    The log is reduced to one row per id, on the map side first; updates (which give all three columns) older than what a
+    row holds are passed over, failed tries added up, and what is closed without being completed has failed. Folding in
+    parts, in any order, gives the same rows.
+    """
+    done = F.col("failed_tries") == 0
+    given = ("parsing_status", "resume_category", "parsed_data_id")
+    last = [F.expr(f"max_by({c}, seq) FILTER (WHERE failed_tries = 0 AND {c} IS NOT NULL)").alias(f"_{c}") for c in given]
+    one = log.groupBy("id").agg(
+        *last,
+        F.max(F.when(done, F.col("seq"))).alias("_seq"),
+        F.max(F.when(done, F.col("at"))).alias("_at"),
+        F.sum("failed_tries").cast("int").alias("_tries"),
+        F.bool_or("closed").alias("_closed"),
+    )
+    newer = F.col("_seq") >= F.coalesce("seq", F.col("_seq"))
+    new = {c: F.when(newer, F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in given}
+    new["modified_at"] = F.when(newer, F.greatest("_at", "modified_at")).otherwise(F.col("modified_at"))
+    new["seq"] = F.greatest("_seq", "seq")
+    new["no_of_retries"] = F.col("no_of_retries") + F.coalesce("_tries", F.lit(0))
+    joined = rows.join(one, "id", "left")
+    marked = mark_failed(joined.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns], "_closed"))
+    given_up = F.col("_closed") & (F.col("parsing_status") == K.IN_PROGRESS)
+    return marked.withColumn("parsing_status", F.when(given_up, K.FAILED).otherwise(F.col("parsing_status"))).drop("_closed")
+
+
 def count_retries(tracking, retries):
     """``no_of_retries`` plus the rows of the retry log (``id``)."""
     counted = retries.groupBy("id").agg(F.count("*").cast("int").alias("_n"))

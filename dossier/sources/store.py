@@ -1,7 +1,5 @@
 """The profile table: immutable parquet segments, named by a manifest and partitioned by a hash bucket of the upsert key."""
 
-import json
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,6 +7,7 @@ from pyspark.sql import types as T
 
 from dossier import schema
 from dossier.operators.upsert import latest_by_key, merge_latest
+from dossier.sources.manifest import Manifest
 
 KEEP = ["profile_id"]
 REPLACE = ["parsed_data", "other_contacts", "skills_all", "skills_proficient"]
@@ -83,6 +82,7 @@ class ProfileStore:
 
     def __init__(self, spark, path, buckets=64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.manifest = Manifest(spark, self.path)
 
     def create(self):
         """An empty table unless there is one."""
@@ -92,32 +92,14 @@ class ProfileStore:
 
     # --- manifest ---
 
-    def _files(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(f"{self.path}/manifest")
-        return hadoop, folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
-
     def _version(self):
-        _, files, folder = self._files()
-        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=-1)
+        return self.manifest.version()
 
     def _manifest(self):
-        version = self._version()
-        if version < 0:
-            raise FileNotFoundError(f"no profile store in {self.path}")
-        # one small file of one line; read by its own name, it never changes
-        return version, json.loads(self.spark.read.text(f"{self.path}/manifest/{version:012d}.json").first().value)
+        return self.manifest.read()
 
     def _publish(self, version, content):
-        """Writes aside, then renames: a manifest is there whole or not at all."""
-        hadoop, files, folder = self._files()
-        aside, final = hadoop.Path(folder, f"_{uuid.uuid4().hex}"), hadoop.Path(folder, f"{version:012d}.json")
-        out = files.create(aside, False)
-        out.write(bytearray(json.dumps(content).encode()))
-        out.close()
-        if files.exists(final) or not files.rename(aside, final):
-            raise RuntimeError(f"another writer has published version {version}")
+        self.manifest.publish(version, content)
 
     # --- reading ---
 
@@ -169,7 +151,4 @@ class ProfileStore:
 
     def unreferenced(self):
         """Segment folders that the current manifest does not name; readers that began earlier may still use them."""
-        hadoop, files, _ = self._files()
-        data = hadoop.Path(f"{self.path}/data")
-        names = [s.getPath().getName() for s in files.listStatus(data)] if files.exists(data) else []
-        return sorted(set(names) - set(self._manifest()[1]["segments"]))
+        return sorted(set(self.manifest.names(f"{self.path}/data")) - set(self._manifest()[1]["segments"]))

@@ -12,6 +12,7 @@ from dossier.plans.etl import gather, process, quarantined, read_outcome, write_
 from dossier.sources.store import ProfileStore
 from dossier.sources.tracking_store import TrackingStore, keyed_log
 from dossier.streaming.ingest import DOCUMENT, apply_batch, ingest, with_text_contacts
+from dossier.streaming.parts import PAGES, REPLIES, WEB_PAGES, ingest_parts
 from dossier.workload.registry import query
 from dossier.workload.replies import BODY, CONTENT_SQL, EXPECTED, documents
 from dossier.workload.star import table, work_folder
@@ -308,3 +309,96 @@ def ingest_tracking(spark, sf_dir):
     return tracking.read().select(
         "file", "parsing_status", "no_of_retries", "parsed_data_id", "resume_category", F.date_format("modified_at", "yyyy-MM-dd").alias("modified_on")
     )
+
+
+# --- ingestion from raw parts ------------------------------------------------------------------------
+
+_parts_runs = {}
+_START = "TIMESTAMP '2024-02-02 00:00:00'"
+_DROPS = (0, 100, 200, 850, 900, 1000, 2100, 3900, 6000)  # seconds; the sixth brings late replies, those without parts move the clock
+
+
+def _dropped(seconds):
+    return F.expr(f"{_START} + make_interval(0, 0, 0, 0, 0, 0, {seconds})")
+
+
+def run_parts(spark, sf_dir):
+    """Turns, web pages and replies of the customers as files of nine drops, streamed a drop a batch.
+
+    A part comes with one of the first three drops. Every 43rd reply never comes, every 16th of the others only after the
+    first wait. Returns the folder, the profile store, the tracking table and the documents by tracking id. A session
+    streams the parts of a folder once.
+    """
+    run = spark.sparkContext.applicationId, sf_dir
+    if run not in _parts_runs:
+        _parts_runs[run] = _run_parts(spark, sf_dir)
+    return _parts_runs[run]
+
+
+def _run_parts(spark, sf_dir):
+    folder, store = _sinks(spark, sf_dir, "parts")
+    tracking = TrackingStore(spark, f"{folder}/tracking")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("file"), "seq", "reply")
+    ids = tracking.add(docs.select("file"), "2024-02-01 00:00:00").select("file", "id")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").cast("bigint").alias("page"), "text")
+    web = table(spark, sf_dir, "pages").select(F.expr("cast(page_id div 10 AS string)").alias("file"), F.col("page_id").cast("bigint").alias("page"), "html")
+    totals = turns.groupBy("file").agg(F.count_distinct("page").alias("pages")).join(web.groupBy("file").agg(F.count("*").alias("web_pages")), "file", "left").na.fill(0, ["web_pages"])
+    number = F.col("file").cast("bigint")
+    reply_drop = F.when(number % 43 == 7, -1).when(number % 16 == 5, 5).otherwise(number % 3)
+    kinds = {
+        "pages": (turns.join(totals, "file").withColumn("drop", (number + F.col("page")) % 3), PAGES),
+        "web": (web.withColumn("drop", F.col("page") % 3), WEB_PAGES),
+        "replies": (docs.withColumn("drop", reply_drop), REPLIES),
+    }
+    clock = spark.range(1).select(F.lit(None).cast("string").alias("doc_id"))
+    for kind, (rows, shape) in kinds.items():
+        names = [c.split()[0] for c in shape.split(", ")]
+        keyed = rows.join(ids, "file").withColumnRenamed("id", "doc_id")
+        for i, seconds in enumerate(_DROPS):
+            own = keyed.where(F.col("drop") == i).unionByName(clock, allowMissingColumns=True).withColumn("at", _dropped(seconds))
+            own.select(*names).coalesce(1).write.mode("append").parquet(f"{folder}/in/{kind}")
+    ingest_parts(spark, *(f"{folder}/in/{k}" for k in kinds), store, tracking, f"{folder}/run", at="2024-02-03", files_per_batch=1)
+    return folder, store, tracking, ids
+
+
+_PARTS_SQL = f"""WITH {EXPECTED}, c AS (SELECT conv_id, {cleaned('text')} AS c FROM ({ASSEMBLED})),
+      t AS (SELECT conv_id, {EMAIL_SQL} AS text_email, {MOBILE_SQL} AS text_mobile FROM c),
+      told_pages AS (SELECT DISTINCT conv_id FROM conversations), told_web AS (SELECT DISTINCT page_id // 10 AS doc FROM pages),
+      own AS (SELECT expected.*, t.conv_id IS NOT NULL AS has_text, told_pages.conv_id IS NOT NULL AS counted, told_web.doc IS NOT NULL AS has_web,
+          k % 43 = 7 AS never, k % 43 <> 7 AND k % 16 = 5 AS late, coalesce(text_email, own_email) AS email,
+          coalesce(text_mobile, CASE WHEN k % 4 = 1 THEN '+91 ' || (9000000000 + k) WHEN k % 4 = 2 THEN NULL ELSE own_mobile END) AS mobile
+        FROM expected LEFT JOIN t ON t.conv_id = k LEFT JOIN told_pages ON told_pages.conv_id = k LEFT JOIN told_web ON told_web.doc = k),
+      ended AS (SELECT *, CASE WHEN NOT has_text THEN 'extraction' WHEN never OR len(errors) > 0 THEN 'parsing'
+            WHEN k % 41 = 20 OR coalesce(email, '') = '' OR mobile IS NULL THEN 'saving' ELSE 'none' END AS error_class,
+          counted OR has_web OR NOT never AS seen FROM own)"""
+
+
+@query(
+    "parts_stream",
+    f"""{_PARTS_SQL} SELECT k AS c_custkey, error_class, CASE WHEN is_object AND k % 41 <> 20 AND NOT never THEN email END AS email,
+          CASE WHEN is_object AND k % 41 <> 20 AND NOT never THEN mobile END AS mobile FROM ended WHERE seen""",
+)
+def parts_stream(spark, sf_dir):
+    """The last outcome of each document whose parts came over several batches: that of ``page_profiles`` where the reply came."""
+    folder, _, _, ids = run_parts(spark, sf_dir)
+    outcomes = spark.read.option("basePath", f"{folder}/run/outcome").parquet(f"{folder}/run/outcome/batch=*")
+    last = outcomes.groupBy("doc_id").agg(F.max_by(F.struct("error_class", "parsed_data.personal_information"), "batch").alias("o"))
+    own = F.col("o.personal_information")
+    return last.join(ids, F.col("doc_id") == F.col("id")).select(F.col("file").cast("bigint").alias("c_custkey"), "o.error_class", own["email"].alias("email"), own["mobile"].alias("mobile"))
+
+
+@query(
+    "parts_tracking",
+    f"""{_PARTS_SQL} SELECT k::VARCHAR AS file, CASE WHEN NOT seen THEN 'in_progress' WHEN error_class = 'none' THEN 'completed' ELSE 'failed' END AS parsing_status,
+          CASE WHEN NOT seen THEN 0 WHEN never THEN 3 ELSE (CASE WHEN error_class = 'none' THEN 0 ELSE 1 END) + (CASE WHEN late AND (counted OR has_web) THEN 1 ELSE 0 END) END::INTEGER AS no_of_retries,
+          CASE WHEN seen AND error_class = 'none' THEN substr(sha256(email), 1, 24) ELSE '' END AS parsed_data_id,
+          CASE WHEN seen AND error_class = 'none' THEN lower(c_mktsegment) ELSE '' END AS resume_category,
+          CASE WHEN seen AND error_class = 'none' THEN '2024-02-03' ELSE '2024-02-01' END AS modified_on
+        FROM ended""",
+)
+def parts_tracking(spark, sf_dir):
+    """The tracking table that the stream keeps: late replies cost a try, missing ones all three, the rest is closed after the last wait."""
+    tracking = run_parts(spark, sf_dir)[2]
+    return tracking.read().select(
+        "file", "parsing_status", "no_of_retries", "parsed_data_id", "resume_category", F.date_format("modified_at", "yyyy-MM-dd").alias("modified_on")
+    )

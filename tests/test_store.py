@@ -90,6 +90,56 @@ def test_tracking_store(spark, tmp_path):
     assert got == {"f1": ("completed", 0, "p1"), "f2": ("failed", 3, ""), "f3": ("in_progress", 1, "")}
 
 
+LOG = "id string, seq long, parsing_status string, resume_category string, parsed_data_id string, failed_tries int, closed boolean"
+
+
+def tracked(spark, rows):
+    return spark.createDataFrame(rows, LOG).withColumn("at", F.lit("2024-01-02").cast("timestamp"))
+
+
+def test_tracking_is_folded_alike_in_any_cut(spark, tmp_path):
+    entries = [("a", 1, "completed", "x", "p1", 0, False), ("a", 3, "completed", "y", "p3", 0, False), ("a", 2, "completed", "z", "p2", 0, False)]
+    entries += [("b", None, None, None, None, 1, False)] * 3 + [("b", 9, "completed", "x", "p9", 0, False), ("c", 1, None, None, None, 1, False)]
+    entries += [("c", None, None, None, None, 0, True), ("d", None, None, None, None, 1, None), *[("e", None, None, None, None, 1, False)] * 3]
+    wanted = None
+    for run, cuts in enumerate([[entries], [entries[i : i + 2] for i in range(0, len(entries), 2)], [[e] for e in entries[::-1]]]):
+        store = TrackingStore(spark, str(tmp_path / f"t{run}"))
+        files = spark.createDataFrame([(x,) for x in "abcde"], "file string")
+        rows = store.add(files, "2024-01-01 00:00:00")
+        for number, cut in enumerate(cuts):
+            store.settle(keyed_log(tracked(spark, cut), rows), "test", number)
+            if run and number == 2:
+                store.compact()
+        got = {r.file: (r.parsing_status, r.no_of_retries, r.parsed_data_id, r.resume_category, str(r.modified_at)) for r in store.read().collect()}
+        wanted = wanted or got
+        assert got == wanted
+    assert {k: v[:3] for k, v in wanted.items()} == {
+        "a": ("completed", 0, "p3"), "b": ("completed", 3, "p9"), "c": ("failed", 1, ""), "d": ("in_progress", 1, ""), "e": ("failed", 3, ""),
+    }
+
+
+def test_a_log_is_applied_once_and_written_in_proportion(spark, tmp_path, monkeypatch):
+    store = TrackingStore(spark, str(tmp_path / "t"))
+    rows = store.add(spark.createDataFrame([(f"f{i}",) for i in range(300)], "file string"), "2024-01-01 00:00:00")
+    log = keyed_log(tracked(spark, [("f7", None, None, None, None, 1, False)]), rows)
+    with monkeypatch.context() as m:
+        m.setattr(TrackingStore, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.settle(log, "stream", 0)
+    assert store.read().agg(F.sum("no_of_retries")).first()[0] == 0 and len(store.unreferenced()) == 1
+    for _ in range(3):
+        store.settle(log, "stream", 0)
+        assert store.read().agg(F.sum("no_of_retries")).first()[0] == 1
+    store.settle(log, "other", 0)
+    store.settle(log)
+    assert {r.file: r.no_of_retries for r in store.read().where("no_of_retries > 0").collect()} == {"f7": 3}
+    state = store.manifest.read()[1]
+    assert [spark.read.parquet(f"{store.path}/data/{n}").count() for n in state["logs"]] == [1, 1, 1]
+    assert state["applied"] == {"stream": 0, "other": 0}
+    with pytest.raises(RuntimeError):
+        store._publish(store.manifest.version(), state)
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, sf, tmp_path):
     docs = documents(spark, sf)
     folder, streamed = run_stream(spark, sf)
