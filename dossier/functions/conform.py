@@ -7,6 +7,7 @@ broken rules as ``kind:path``. A free object is never a reason to reject what is
 from pyspark.sql import functions as F
 
 from dossier import constants as K
+from dossier import schema
 from dossier.functions.text import either, strip
 
 WHOLE = r"^\s*([+-]?[0-9]+)(?:\.0*)?\s*$"
@@ -87,11 +88,14 @@ def typed(x, field):
     """The VARIANT ``x`` as the declared type of ``field``; NULL where it cannot be."""
     rule, dtype = field.metadata["rule"], field.dataType
     if rule in ("record", "open"):
-        return once(opened(x, dtype), lambda s: _object(s, dtype))
-    if rule in ("records", "opens"):
+        return once(opened(x, dtype), lambda s: _object(s, dtype, x if schema.keeps_other(field) else None))
+    if rule == "records":
         inner = dtype.elementType
         items = F.transform(as_list(x), lambda e: opened(e, inner))
         return F.transform(items, lambda s: _object(s, inner))
+    if rule == "opens":
+        inner = dtype.elementType
+        return F.transform(as_list(x), lambda e: once(opened(e, inner), lambda s: _object(s, inner, e)))
     if rule == "char":
         text = lowered(strip(as_text(x)))
         return once(text, lambda t: F.coalesce(_looked_up(K.COMPANY_SIZE_RELABEL, t), t)) if field.metadata.get("relabel") else text
@@ -116,8 +120,10 @@ def typed(x, field):
     raise ValueError(f"unknown rule {rule}")
 
 
-def _object(s, dtype):
-    return F.when(s.isNotNull(), F.struct(*[typed(s[f.name], f).alias(f.name) for f in dtype]))
+def _object(s, dtype, whole=None):
+    """The typed fields of an opened object, and the rest of it if the ``whole`` is given."""
+    rest = [] if whole is None else [other_keys(whole, dtype.names).alias(schema.OTHER.name)]
+    return F.when(s.isNotNull(), F.struct(*[typed(s[f.name], f).alias(f.name) for f in dtype], *rest))
 
 
 # --- broken rules ----------------------------------------------------------------------------
@@ -215,15 +221,50 @@ def other_keys(x, known):
 
 def normalised(entries):
     """A free map of VARIANT under the value rules, values as JSON text: 2.5 and "2.5" stay apart."""
+    return F.transform_values(entries, lambda k, v: F.substr(normal_json(F.concat(F.lit('"":'), F.to_json(v))), F.lit(4)))
+
+
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = rf'{_STRING}(?::(?:{_STRING}|true|false))?|[\[\]{{}}]|[^"\[\]{{}}]+'
+
+
+def normal_json(text):
+    """JSON text without white space (as VARIANT writes it) with the values of its objects normalised, at any depth.
+
+    A text value is lower-cased, one of digits becomes a number, truth values become text. Elements of lists stay as they
+    are unless they are objects, and so does everything in a list that is itself an element of a list. A value is told by
+    the key before it, so the text is cut into tokens, of which a key with such a value is one, and no level is entered.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    plain = F.array_join(F.transform(tokens, _normal_token), "")
+    listed = text.rlike(r"[\[,]\[")  # perhaps a list in a list, or a text that looks like it
+
+    def guarded(tokens):
+        return once(_kept(tokens), lambda kept: F.array_join(F.transform(tokens, lambda t, i: F.when(F.substr(kept, i + 1, F.lit(1)) == "1", t).otherwise(_normal_token(t))), ""))
+
+    return F.when(listed, once(tokens, guarded)).otherwise(plain)
+
+
+def _normal_token(token):
+    value = F.regexp_extract(token, f"^{_STRING}:({_STRING}|true|false)$", 1)
+
+    def changed(value):
+        digits = F.regexp_replace(value, '^"0*([0-9]+)"$', "$1")
+        new = F.when(value.isin("true", "false"), F.concat(F.lit('"'), value, F.lit('"'))).when(value.rlike('^"[0-9]+"$'), digits).otherwise(F.lower(value))
+        return F.when(value == "", token).otherwise(F.concat(F.left(token, F.length(token) - F.length(value)), new))
+
+    return F.when(F.left(token, F.lit(1)) == '"', once(value, changed)).otherwise(token)
+
+
+def _kept(tokens):
+    """A digit a token: 1 inside a list that is an element of a list."""
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("deep"), F.lit("").alias("kept"))
+
+    def step(at, token):
+        up, down = token.isin("[", "{"), token.isin("]", "}")
+        inner = (at["deep"] > 0) | ((token == "[") & (F.right(at["open"], F.lit(1)) == "["))
+        deep = F.when(up & inner, at["deep"] + 1).when(down & (at["deep"] > 0), at["deep"] - 1).otherwise(at["deep"])
+        path = F.when(up & ~inner, F.concat(at["open"], token)).when(down & (at["deep"] == 0), F.left(at["open"], F.length(at["open"]) - 1)).otherwise(at["open"])
+        return F.struct(path.alias("open"), deep.alias("deep"), F.concat(at["kept"], F.when(at["deep"] > 0, "1").otherwise("0")).alias("kept"))
 
-    def one(v):
-        text = lowered(as_text(v))
-        quoted = F.to_json(F.array(text))
-        quoted = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-        return (
-            F.when(~_kind(v).isin("STRING", "BOOLEAN"), F.to_json(v))
-            .when(text.rlike("^[0-9]+$"), text)
-            .otherwise(quoted)
-        )
-
-    return F.transform_values(entries, lambda k, v: one(v))
+    return F.aggregate(tokens, start, step, lambda at: at["kept"])

@@ -1,6 +1,7 @@
 """Decorated results and their wide, flat form."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier import schema
 from dossier.constants import EXPORT_SLOTS
@@ -92,7 +93,7 @@ def csv_columns(df):
     out |= _groups(PROJECTS, data["projects_outside_of_work"], lambda item, f: item[f])
     out |= {h: data["additional_experience_summary"][f] for h, f in SUMMARY.items()}
     out["Overall_Summary"] = data["overall_summary_of_candidate"]
-    out["Parsed Data"] = json_text(data)
+    out["Parsed Data"] = json_text(df)
     return df.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(h) for h, c in out.items()])
 
 
@@ -115,14 +116,77 @@ def _groups(headers, items, pick):
     return out
 
 
-def json_text(data):
-    """A profile as JSON with its null fields."""
-    plain = data.withField("skills", data["skills"].dropFields("skill_entries"))
-    return F.to_json(plain, {"ignoreNullFields": "false"})
+def json_text(df):
+    """Profiles as JSON with their null fields; undeclared keys are among the fields of their object again."""
+    data = F.col("parsed_data")
+    dtype = df.schema["parsed_data"].dataType
+    if "other_contacts" in df.columns:
+        personal = data["personal_information"]
+        rest = F.when(personal.isNotNull(), personal.withField(schema.OTHER.name, F.col("other_contacts")))
+        data = data.withField("personal_information", rest)
+        dtype = _replaced(dtype, "personal_information", lambda t: T.StructType([*t, schema.OTHER]))
+    data = data.withField("skills", data["skills"].dropFields("skill_entries"))
+    dtype = _replaced(dtype, "skills", lambda t: T.StructType([f for f in t if f.name != "skill_entries"]))
+    return _json(data, dtype)
+
+
+def _replaced(dtype, name, change):
+    return T.StructType([T.StructField(f.name, change(f.dataType) if f.name == name else f.dataType) for f in dtype])
+
+
+def _holds_other(dtype):
+    if isinstance(dtype, T.ArrayType):
+        return _holds_other(dtype.elementType)
+    return isinstance(dtype, T.StructType) and any(f.name == schema.OTHER.name or _holds_other(f.dataType) for f in dtype)
+
+
+def _json(value, dtype):
+    """JSON text of a value, NULL of none. Only objects on the way to an ``other`` are put together from parts."""
+    if not _holds_other(dtype):
+        return F.to_json(value, {"ignoreNullFields": "false"})
+    if isinstance(dtype, T.ArrayType):
+        items = F.transform(value, lambda e: F.coalesce(_json(e, dtype.elementType), F.lit("null")))
+        return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+    def written(s):
+        parts, plain = [], []
+
+        def flush():
+            if plain:
+                text = F.to_json(F.struct(*[s[n].alias(n) for n in plain]), {"ignoreNullFields": "false"})
+                parts.append(F.substr(text, F.lit(2), F.length(text) - 2))
+                plain.clear()
+
+        for f in dtype:
+            if f.name == schema.OTHER.name:
+                continue
+            if not _holds_other(f.dataType):
+                plain.append(f.name)
+                continue
+            flush()
+            parts.append(F.concat(F.lit(f'"{f.name}":'), F.coalesce(_json(s[f.name], f.dataType), F.lit("null"))))
+        flush()
+        if schema.OTHER.name in dtype.names:
+            parts.append(_rest(s[schema.OTHER.name]))
+        # a part that is NULL is left out
+        return F.when(s.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+
+    return F.get(F.transform(F.array(value), written), F.lit(0))
+
+
+def _rest(other):
+    """The entries of ``other`` as they stand in an object, NULL if there are none."""
+
+    def entry(e):
+        key = F.to_json(F.array(e["key"]))
+        return F.concat(F.substr(key, F.lit(2), F.length(key) - 2), F.lit(":"), e["value"])
+
+    return F.when(F.size(other) > 0, F.array_join(F.transform(F.map_entries(other), entry), ","))
 
 
 def json_documents(df):
     """One JSON document per profile, the id as text."""
-    plain = F.col("parsed_data").withField("skills", F.col("parsed_data.skills").dropFields("skill_entries"))
-    document = F.struct(F.col("profile_id").cast("string").alias("_id"), plain.alias("parsed_data"))
-    return df.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+    key = F.to_json(F.array(F.col("profile_id").cast("string")))
+    key = F.coalesce(F.substr(key, F.lit(2), F.length(key) - 2), F.lit("null"))
+    text = F.concat(F.lit('{"_id":'), key, F.lit(',"parsed_data":'), F.coalesce(json_text(df), F.lit("null")), F.lit("}"))
+    return df.select(text.alias("document"))

@@ -127,17 +127,27 @@ PROFILE = T.StructType(
 SKILL_ENTRIES = T.ArrayType(T.StructType([T.StructField("skill", S), T.StructField("years", D)]))
 
 
-def _plain(dtype):
-    """The same type without rule metadata."""
+#: Undeclared keys of a free object beside its typed fields, normalised values as JSON text.
+OTHER = T.StructField("other", T.MapType(S, S))
+
+
+def keeps_other(field):
+    """Whether the stored form of a field holds ``other``: free objects do, but for the personal one, whose rest is a column of its own."""
+    return field.metadata.get("rule") in ("open", "opens") and field.name != "personal_information"
+
+
+def _plain(dtype, other=False):
+    """The same type without rule metadata; free objects with ``other`` behind their fields."""
     if isinstance(dtype, T.StructType):
-        return T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in dtype])
+        fields = [T.StructField(f.name, _plain(f.dataType, keeps_other(f))) for f in dtype]
+        return T.StructType([*fields, OTHER] if other else fields)
     if isinstance(dtype, T.ArrayType):
-        return T.ArrayType(_plain(dtype.elementType))
+        return T.ArrayType(_plain(dtype.elementType, other))
     return dtype
 
 
 def _stored():
-    """PROFILE as stored: the experience map is followed by its entries in reply order."""
+    """PROFILE as stored: free objects with ``other``, the experience map followed by its entries in reply order."""
     fields = []
     for f in _plain(PROFILE):
         if f.name == "skills":

@@ -4,9 +4,11 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from dossier.operators.export import csv_columns, decorate
+from dossier.operators.export import csv_columns, decorate, json_documents
+from dossier.operators.profiles import conform, parse_content
 from dossier.sources.files import read_csv, write_csv, write_json
 from dossier.workload.registry import query
+from dossier.workload.replies import documents
 from dossier.workload.star import star_store, work_folder
 from dossier.workload.star_sql import PROFILES
 from dossier.workload.text_queries import duration_sql
@@ -130,3 +132,43 @@ def top_skills(spark, sf_dir):
     """The first five entries of the experience map in their order, whatever the years."""
     five = F.slice(F.col("parsed_data.skills.skill_entries"), 1, 5)
     return star_store(spark, sf_dir).select("profile_id", F.posexplode(five).alias("pos", "entry")).select("profile_id", "pos", "entry.skill", "entry.years")
+
+
+_UNDECLARED = {
+    '"position_name":': '"Grade": "SENIOR", "position_name":',
+    '"projects_outside_of_work": []': '"projects_outside_of_work": [{"project_name": "P", "Budget": "0050", "Team": {"Lead": "ANN"}}]',
+    '"product_company_experience":': '"Total": {"Months": ["Keep", {"N": "007"}]}, "product_company_experience":',
+    '"overall_summary_of_candidate"': '"achievements_awards": {"summary_of_achievements_awards": ["A"], "Rank": true}, "overall_summary_of_candidate"',
+}
+
+
+@query(
+    "open_remainders",
+    """SELECT c_custkey, form, CASE WHEN c_custkey % 41 <> 20 THEN '' || (c_custkey % 90) END AS age, 'senior' AS grade, '50' AS budget, 'ann' AS lead,
+          '["Keep",{"N":7}]' AS months, 'true' AS rank, true AS typed_too
+        FROM customer, (VALUES ('csv'), ('json')) t(form)""",
+)
+def open_remainders(spark, sf_dir):
+    """Keys of free objects that no field is declared for come back in the JSON documents and in the JSON column of the CSV."""
+    body = F.col("body")
+    for known, more in _UNDECLARED.items():
+        body = F.replace(body, F.lit(known), F.lit(more))
+    replies = documents(spark, sf_dir).select(F.col("doc_id").alias("profile_id"), body.alias("content"))
+    profiles = decorate(conform(parse_content(replies)))
+    written = json_documents(profiles).select(F.lit("json").alias("form"), F.get_json_object("document", "$.parsed_data").alias("data"))
+    flat = csv_columns(profiles).select(F.lit("csv").alias("form"), F.col("Parsed Data").alias("data"))
+
+    def at(path):
+        return F.get_json_object("data", f"$.{path}")
+
+    return written.unionByName(flat).select(
+        F.regexp_extract(at("overall_summary_of_candidate"), "[0-9]+", 0).cast("bigint").alias("c_custkey"),
+        "form",
+        at("personal_information.age").alias("age"),
+        at("experience[0].positions_held_within_the_company[0].Grade").alias("grade"),
+        at("projects_outside_of_work[0].Budget").alias("budget"),
+        at("projects_outside_of_work[0].Team.Lead").alias("lead"),
+        at("additional_experience_summary.Total.Months").alias("months"),
+        at("achievements_awards.Rank").alias("rank"),
+        at("additional_experience_summary.product_company_experience").isNotNull().alias("typed_too"),
+    )

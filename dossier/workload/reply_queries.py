@@ -80,6 +80,20 @@ def normalise_values(spark, sf_dir):
     return documents(spark, sf_dir).select(_number(), F.explode(C.normalised(entries)).alias("key", "json_value"))
 
 
+@query(
+    "normalise_nested",
+    """SELECT c_custkey, key, CASE key WHEN 'Tags' THEN '["Ab",' || c_custkey || ',"007"]' ELSE
+          '{"B":"xy ' || c_custkey || '","list":["Keep",{"Deep":{"Up":"low ' || lower(c_mktsegment) || '","flag":"true"}},[{"Stay":"SAME"}]],"n":' || c_custkey || '}' END AS json_value
+        FROM customer, (VALUES ('Age'), ('Tags')) t(key)""",
+)
+def normalise_nested(spark, sf_dir):
+    """Three levels of objects in lists in objects: values change at any depth, plain elements and lists in lists do not."""
+    document = """'{"Age": {"B": "XY ' || c_custkey || '", "n": "00' || c_custkey || '", "list": ["Keep", {"Deep": {"Up": "LOW ' || c_mktsegment
+        || '", "flag": true}}, [{"Stay": "SAME"}]]}, "Tags": ["Ab", ' || c_custkey || ', "007"]}'"""
+    entries = F.from_json(F.expr(document), "map<string,variant>")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.explode(C.normalised(entries)).alias("key", "json_value"))
+
+
 @query(
     "conform",
     f"""WITH {EXPECTED} SELECT k AS c_custkey,

@@ -95,10 +95,11 @@ def star_jobs(spark, sf_dir):
         F.col("status") == "P",
         F.when(F.col("max_key") % 11 != 0, nth(INDUSTRIES, F.col("min_key") % 17)),
     )
-    held = F.struct(F.concat(position, F.lit(" engineer")), month("min_date"), month("max_date"), F.expr("cast(array() AS array<struct<a:string,b:string>>)"))
+    none = F.lit(None)  # there are no undeclared keys
+    held = F.struct(F.concat(position, F.lit(" engineer")), month("min_date"), month("max_date"), F.expr("cast(array() AS array<struct<a:string,b:string,c:map<string,string>>>)"), none)
     positions = F.when(F.col("priority") == "3-MEDIUM", F.slice(F.array(held), 1, 0)).otherwise(F.array(held))
     job = F.struct(company, positions, F.concat(F.col("n"), F.lit(" orders")))
-    project = F.struct(F.concat(F.lit("project "), F.col("max_key")), F.concat(F.lit("worth "), F.col("top_price").cast("bigint")))
+    project = F.struct(F.concat(F.lit("project "), F.col("max_key")), F.concat(F.lit("worth "), F.col("top_price").cast("bigint")), none)
 
     def total(condition):
         return (F.sum(F.when(F.expr(condition), F.col("price"))).cast("double") / 100000)
@@ -109,10 +110,11 @@ def star_jobs(spark, sf_dir):
             F.sum(F.when(mine, F.col("n"))).alias("n"), F.min(F.when(mine, F.col("yr"))).alias("first"), F.max(F.when(mine, F.col("yr"))).alias("last")
         ).alias(f"edu_{status}")
 
+    by_pos = "(a, b) -> CASE WHEN a.pos < b.pos THEN -1 WHEN a.pos > b.pos THEN 1 ELSE 0 END"
     keyed = groups.select("*", F.struct("yr", "status", "priority").alias("pos"), job.alias("job"), project.alias("project"))
     return keyed.groupBy("o_custkey").agg(
-        F.expr("array_sort(collect_list(struct(pos, job))).job").alias("experience"),
-        F.expr("array_sort(collect_list(struct(pos, project)) FILTER (WHERE top_price > 450000)).project").alias("projects"),
+        F.expr(f"array_sort(collect_list(struct(pos, job)), {by_pos}).job").alias("experience"),
+        F.expr(f"array_sort(collect_list(struct(pos, project)) FILTER (WHERE top_price > 450000), {by_pos}).project").alias("projects"),
         total("true").alias("ft"),
         total("status = 'P'").alias("st"),
         total("status = 'P' AND yr < 1998").alias("es"),
@@ -169,7 +171,7 @@ def star_profiles(spark, sf_dir):
     flag = k % 2 == 0
     skills = F.struct(*levels, F.map_from_entries(entries), entries, F.col("c_acctbal") > 5000, F.when(k % 10 != 0, flag))
     education = F.array_compact(F.array(_education("F", "masters"), _education("O", "bachelors"), _education("P", "phd")))
-    summary = F.struct("held", "ft", "st", "es", "pr", "se", flag)
+    summary = F.struct("held", "ft", "st", "es", "pr", "se", flag, F.lit(None))
     parsed = F.struct(
         F.struct(F.lower("c_name"), email, (F.lit(9000000000) + k).cast("string"), F.lower("n_name"), F.lower("r_name"), F.lit(None), F.lit(None)),
         F.lower("c_mktsegment"),
@@ -179,7 +181,7 @@ def star_profiles(spark, sf_dir):
         F.col("experience"),
         F.when(k % 25 != 4, F.col("projects")),
         F.when(k % 25 != 3, summary),
-        F.struct(F.array(F.concat(F.lit("orders: "), F.coalesce("n", F.lit(0)))), none),
+        F.struct(F.array(F.concat(F.lit("orders: "), F.coalesce("n", F.lit(0)))), none, F.lit(None)),
         F.concat(F.lit("summary of "), F.lower("c_name")),
     ).cast(schema.PARSED_DATA)
     return base.select(

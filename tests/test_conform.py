@@ -1,8 +1,11 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from dossier import schema
+from dossier.functions import conform as C
+from dossier.operators.export import csv_columns, decorate, json_documents
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
 
 GOOD = {
@@ -106,3 +109,65 @@ def test_of_repeated_keys_the_last_counts(spark):
     text = '{"title": "A", "skills": {"total_skill_experience": {"x": 1, "x": 2}}, "title": "B"}'
     row = conform(parse_content(spark.createDataFrame([(text,)], "content string"))).select("parsed_data.title", "parsed_data.skills.skill_entries", "errors").first()
     assert row.title == "b" and [(e.skill, e.years) for e in row.skill_entries] == [("x", 2.0)] and "syntax:$" not in row.errors
+
+
+def plainly(value):
+    """The value rules, object by object."""
+    for k, v in value.items():
+        if isinstance(v, dict):
+            value[k] = plainly(v)
+        elif isinstance(v, list):
+            value[k] = [plainly(i) if isinstance(i, dict) else i for i in v]
+        elif isinstance(v, bool):
+            value[k] = str(v).lower()
+        elif isinstance(v, str):
+            value[k] = int(v) if v.isdigit() else v.lower()
+    return value
+
+
+def test_values_are_normalised_at_any_depth(spark):
+    r = random.Random(1)
+    texts = ["ABC", "007", "0", "000", 'x"Y', "[[", ",[", '":"Z"', "É\n\\", "true", ":true", '{"A":"B"}', '"', "\\", "2.50", "12a"]
+
+    def value(depth):
+        c = r.random()
+        if depth < 6 and c < 0.3:
+            return {r.choice(["A", "b", '"q', ":", "É", "k,["]): value(depth + 1) for _ in range(r.randint(0, 3))}
+        if depth < 6 and c < 0.55:
+            return [value(depth + 1) for _ in range(r.randint(0, 3))]
+        return r.choice([*texts, True, False, None, 2.5, 7])
+
+    found = [{"r": value(0), "Z": value(0)} for _ in range(400)]
+    deep = "UP"
+    for _ in range(60):
+        deep = {"K": [deep, [deep if isinstance(deep, str) else "X"]]} if isinstance(deep, str) else {"K": deep}
+    found += [{"r": deep}, {"r": [[{"A": "B"}], {"A": "B"}]}, {"r": ["A" * 20_000, {"A": '\\"B' * 5_000}]}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(found)], "i int, t string").select("i", F.parse_json("t").alias("v"))
+    for row in df.select("i", C.normalised(F.try_variant_get("v", "$", "map<string,variant>")).alias("m")).collect():
+        wanted = plainly(found[row.i])
+        assert json.dumps({k: json.loads(v) for k, v in row.m.items()}, sort_keys=True) == json.dumps(wanted, sort_keys=True)
+
+
+def test_undeclared_keys_come_back(spark):
+    """Of the free objects alone, at their place, normalised; objects without any look as before."""
+    sent = GOOD | {
+        "experience": [{"positions_held_within_the_company": [{"position_name": "Dev", "Level": "TOP", "projects": [{"project_name": "P", "Cost": "007"}, {}]}, {"other": {"A": "B"}}], "extra": 1}],
+        "projects_outside_of_work": [{"project_name": "Q", 'odd "key"': [{"A": "B"}, "C"]}, {}],
+        "additional_experience_summary": {"product_company_experience": 2, "Months": 2.5, "None": None},
+        "achievements_awards": {"Rank": True},
+    }
+    wrapped = [(1, json.dumps({"choices": [{"message": {"content": json.dumps(sent)}}]}))]
+    df = conform(parse_content(unwrap_replies(spark.createDataFrame(wrapped, "profile_id int, reply string"))))
+    assert df.first().errors == []
+    profiles = decorate(df)
+    document = json.loads(json_documents(profiles).first().document)
+    data = document["parsed_data"]
+    assert document["_id"] == "1" and json.loads(csv_columns(profiles).first()["Parsed Data"]) == data
+    first, second = data["experience"][0]["positions_held_within_the_company"]
+    assert first["Level"] == "top" and first["position_name"] == "dev" and second["other"] == {"A": "b"} and "extra" not in data["experience"][0]
+    assert first["projects"] == [{"project_name": "p", "project_description": None, "Cost": 7}, {"project_name": None, "project_description": None}]
+    assert data["projects_outside_of_work"][0]['odd "key"'] == [{"A": "b"}, "C"] and list(data["projects_outside_of_work"][1]) == ["project_name", "project_description"]
+    assert data["additional_experience_summary"]["Months"] == 2.5 and data["additional_experience_summary"]["None"] is None
+    assert data["achievements_awards"] == {"summary_of_achievements_awards": None, "position_blurbs": None, "Rank": "true"}
+    assert data["personal_information"]["age"] == 7 and data["personal_information"]["tags"] == [1, "A"]
+    assert list(data)[:4] == ["personal_information", "resume_type", "title", "skills"] and "skill_entries" not in data["skills"]
