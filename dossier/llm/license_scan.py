@@ -18,7 +18,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from .shared import numbered
+from .shared import numbered, stored
 
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -85,6 +85,7 @@ def matches(keyed, templates, threshold):
     blocks = keyed.select("row", F.posexplode(F.concat(F.split("text", "\n"), wide)).alias("block", "part"))
     held = blocks.select("row", "block", "part", F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.lower("part"), f"{GAP}+")).alias("held"))
     held = held.filter(F.size("held") >= max(1, min(needs.values()))).withColumn("part", F.when(F.col("part").contains("\n"), F.col("part")))  # null: a line
+    held = stored(held)  # read for the counts and for the probes
 
     counts = held.select(F.explode("held").alias("word")).groupBy("word").count()
     frequent = {r["word"]: r["count"] for r in counts.collect()}  # one row for each template word at most
@@ -104,7 +105,9 @@ def matches(keyed, templates, threshold):
     both = F.size(F.array_intersect("has", "ranks"))
     found = met.filter(possible).filter(both >= F.col("need")).withColumn("both", both)
     # a template is met by a paragraph at several prefix words, one is enough
-    over = found.filter(F.col("part").isNotNull()).dropDuplicates(["row", "block", "label"]).withColumn("all", F.array_remove(F.split(F.lower("part"), f"{GAP}+"), ""))
+    over = found.filter(F.col("part").isNotNull()).dropDuplicates(["row", "block", "label"])
+    # words that are only read are not split again for each window
+    over = stored(over.select("row", "label", "length", "words", "ranks", "need", F.array_remove(F.split(F.lower("part"), f"{GAP}+"), "").alias("all")))
     window = lambda i: F.size(F.array_intersect(F.slice("all", i, 2 * F.col("length")), F.col("words")))
     over = over.withColumn("both", F.array_max(F.transform(F.sequence(F.lit(1), F.size("all"), F.col("length")), window))).filter(F.col("both") >= F.col("need"))
     shares = [df.select("row", "label", (F.col("both") / n).alias("share"), F.lit(spans).alias("spans")) for df, spans in ((found.filter(F.col("part").isNull()), False), (over, True))]

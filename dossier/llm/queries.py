@@ -104,12 +104,18 @@ places AS (SELECT r, i, CASE WHEN ws[i+1] = 'cc' AND ws[i+2] = 'by' THEN 'cc-by'
                              WHEN ws[i+1] = 'all' AND ws[i+2] = 'rights' AND ws[i+3] = 'reserved' THEN 'reserved' END AS label
            FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM d)),
 base AS (SELECT r, count(*) AS n, min(i) AS f, max(i) AS l, list(DISTINCT label) AS labels FROM places WHERE label IS NOT NULL GROUP BY r),
-t AS (SELECT label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
-      FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())}) AS v(label, notice)),
+t AS (SELECT label, list_distinct(words) AS words, len(words) AS length FROM (SELECT label, regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())}) AS v(label, notice))),
 lines AS (SELECT r, list_distinct(regexp_extract_all(lower(line), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
 hits AS (SELECT r, label, len(list_intersect(lines.words, t.words)) / len(t.words) AS share FROM lines, t
          WHERE len(list_intersect(lines.words, t.words)) >= ceil(len(t.words) * 8 / 10.0)),
-own AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM hits GROUP BY r)
+parts AS (SELECT r, unnest(regexp_split_to_array(text, '\n[ \t\r\x0B\f]*\n')) AS part FROM d),
+wide AS (SELECT r, regexp_extract_all(lower(part), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM parts WHERE contains(trim(part, chr(10)), chr(10))),
+over AS (SELECT r, label, t.words, list_max(list_transform(range(0, len(ws), length), lambda i: len(list_distinct(list_intersect(ws[i+1:i+2*length], t.words))))) AS n
+         FROM wide, t WHERE len(list_distinct(list_intersect(ws, t.words))) >= ceil(len(t.words) * 8 / 10.0)),
+wrapped AS (SELECT r, label, n / len(words) AS share FROM over WHERE n >= ceil(len(words) * 8 / 10.0)),
+every AS (SELECT r, label, share FROM hits UNION ALL SELECT r, label, share FROM wrapped ANTI JOIN hits USING (r, label)),
+own AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM every GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from check import compare, connect
 
+from dossier.llm.license_scan import TEMPLATES
 from dossier.llm.queries import ORACLES, QUERIES
 
 COLUMNS = {
@@ -55,3 +56,17 @@ def test_recall_on_the_test_table(spark):
         assert [k for k, _ in sorted(got)] == list(range(1, 14))
     assert len(found) == (ids % 100 == 0).sum() and hits >= 0.9 * 10 * len(found)
     print("recall", hits / (10 * len(found)))
+
+
+def test_wrapped_notices_agree_with_sql(spark, tmp_path):
+    """Notices over lines, words far apart, notices a word a line, blank lines with white space in them."""
+    bsd, grant = (TEMPLATES[k].split() for k in ("bsd", "mit-grant"))
+    far = [w + " z" * 40 for w in bsd[:18]]
+    texts = ["intro\n\n" + " ".join(bsd[:9]) + "\n" + " ".join(bsd[9:]) + "\n\nrest", "x " * 50 + "\n" + " ".join(grant[:8]) + "\n" + " ".join(grant[8:]) + "\n" + "y " * 70]
+    texts += [None, "", " ".join(far[:9]) + "\n" + " ".join(far[9:]), "\n".join(bsd), "Released under\nthe MIT License", "a\n \t\nb\nc", " ".join(bsd)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = QUERIES["op9_license_scan"](spark, str(tmp_path))
+    assert compare(found, con, ORACLES["op9_license_scan"]) is None
+    assert {r.doc_id: r.labels for r in found.collect() if r.labels} == {0: "bsd", 1: "mit-grant", 5: "bsd", 6: "mit", 8: "bsd"}
