@@ -4,6 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from dossier import constants as K
 from dossier.functions import conform as C
 from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
@@ -11,6 +12,7 @@ from dossier.operators.upsert import latest_by_key, merge_latest
 from dossier.plans.etl import gather, process, quarantined, read_outcome, write_outcome
 from dossier.sources.store import ProfileStore
 from dossier.sources.tracking_store import TrackingStore, keyed_log
+from dossier.sources.uploads import clean_up, listed, take_in
 from dossier.streaming.ingest import DOCUMENT, apply_batch, ingest, with_text_contacts
 from dossier.streaming.parts import PAGES, REPLIES, WEB_PAGES, ingest_parts
 from dossier.workload.registry import query
@@ -416,3 +418,41 @@ def parts_tracking(spark, sf_dir):
     return tracking.read().select(
         "file", "parsing_status", "no_of_retries", "parsed_data_id", "resume_category", F.date_format("modified_at", "yyyy-MM-dd").alias("modified_on")
     )
+
+
+@query(
+    "folder_cleanup",
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'completed' WHEN s_suppkey % 3 = 2 THEN 'failed' ELSE 'in_progress' END AS parsing_status,
+          s_suppkey % 3 <> 1 AS still_there, s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 AS archived, length(s_name)::BIGINT + 1 AS size FROM supplier""",
+)
+def folder_cleanup(spark, sf_dir):
+    """A file a supplier: taken in from its folder in two goes, settled, and removed (odd ones) or archived (even ones) once completed."""
+    folder = work_folder(spark, sf_dir, f"uploads-{next(_runs)}")
+    tracking = TrackingStore(spark, f"{folder}/tracking")
+    number = F.regexp_extract("file", "key=([0-9]+)", 1).cast("bigint")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 2).alias("half"), F.col("s_name").alias("value"))
+    for half in (0, 1):
+        rows.where(F.col("half") == half).write.partitionBy("half", "key").mode("append").text(f"{folder}/in")
+        take_in(spark, f"{folder}/in", tracking, "2024-02-01 00:00:00")
+    listed(spark, f"{folder}/in").write.parquet(f"{folder}/listed")
+    done = F.col("key") % 3 == 1
+    log = tracking.read().select("id", number.alias("key")).where("key % 3 > 0").select(
+        "id",
+        F.lit(1).cast("bigint").alias("seq"),
+        F.when(done, K.COMPLETED).alias("parsing_status"),
+        F.when(done, "x").alias("resume_category"),
+        F.when(done, "y").alias("parsed_data_id"),
+        F.lit("2024-02-02").cast("timestamp").alias("at"),
+        F.when(done, 0).otherwise(K.MAX_RETRIES).alias("failed_tries"),
+    )
+    tracking.settle(log, "uploads", 0)
+    clean_up(spark, f"{folder}/in/half=0", tracking, f"{folder}/archive")
+    clean_up(spark, f"{folder}/in/half=1", tracking)
+
+    def there(place):
+        return listed(spark, f"{folder}/{place}").select(number.alias("s_suppkey"), F.lit(True).alias(place))
+
+    every = tracking.read().select(number.alias("s_suppkey"), "parsing_status")
+    sizes = spark.read.parquet(f"{folder}/listed").select(number.alias("s_suppkey"), "size")
+    joined = every.join(sizes, "s_suppkey").join(there("in"), "s_suppkey", "left").join(there("archive"), "s_suppkey", "left")
+    return joined.select("s_suppkey", "parsing_status", F.col("in").isNotNull().alias("still_there"), F.col("archive").isNotNull().alias("archived"), "size")
