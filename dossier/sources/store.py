@@ -1,4 +1,4 @@
-"""The profile table: immutable parquet segments, named by a manifest and partitioned by a hash bucket of the upsert key."""
+"""The profile table: immutable parquet segments, named by a manifest and partitioned by a bucket of the id, a hash of the upsert key."""
 
 from functools import reduce
 
@@ -42,8 +42,13 @@ def promote(df):
     return df.withColumns({"skills_all": union("proficient", "average"), "skills_proficient": union("proficient")})
 
 
+def bucket_of(profile_id, buckets):
+    """The bucket follows from the id, which follows from the e-mail, so either one names the place of a profile."""
+    return F.pmod(F.conv(F.right(profile_id, F.lit(8)), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
+
+
 def with_bucket(df, buckets):
-    return df.withColumn("bucket", F.pmod(F.xxhash64("email"), F.lit(buckets)).cast("int"))
+    return df.withColumn("bucket", bucket_of(F.col("profile_id"), buckets))
 
 
 def write_buckets(df, path):
@@ -107,19 +112,25 @@ class ProfileStore:
         """Folders of the published segments, oldest first."""
         return [f"{self.path}/data/{name}" for name in self._manifest()[1]["segments"]]
 
-    def read(self):
+    def read(self, where=None):
         """One row per e-mail: the first segment less what newer ones replace, and the newest of those.
 
         Batches are small against the first segment, whose payload passes an anti join that the
-        adaptive planner broadcasts while they are.
+        adaptive planner broadcasts while they are. ``where`` is a condition on ``profile_id``, ``email`` and ``bucket``; as
+        these are the same in all versions of a profile, it is put to each segment before they meet.
         """
         paths = self.segments()
         if not paths:
             return self.spark.createDataFrame([], STORED)
-        base = read_profiles(self.spark, paths[0])
+
+        def segment(path):
+            rows = read_profiles(self.spark, path)
+            return rows if where is None else rows.where(where)
+
+        base = segment(paths[0])
         if len(paths) == 1:
             return base
-        parts = [read_profiles(self.spark, p).withColumn("_order", F.struct("seq", F.lit(i))) for i, p in enumerate(paths[1:])]
+        parts = [segment(p).withColumn("_order", F.struct("seq", F.lit(i))) for i, p in enumerate(paths[1:])]
         newer = reduce(lambda a, b: a.unionByName(b), parts)
         # the winner of each e-mail is found from narrow columns, then its row is taken
         best = newer.groupBy("email").agg(F.max("_order").alias("_order"))
@@ -127,6 +138,21 @@ class ProfileStore:
         merged = merge_latest(base.drop("bucket"), latest, "email", "seq", KEEP, REPLACE)
         return with_bucket(merged, self.buckets).select(*[f.name for f in STORED])
 
+    def by_id(self, profile_id):
+        """The profile of an id, from its bucket of each segment alone."""
+        return self.read((F.col("bucket") == bucket_of(F.lit(profile_id), self.buckets)) & (F.col("profile_id") == profile_id))
+
+    def by_email(self, email):
+        """The profile of an e-mail, from its bucket alone."""
+        return self.read((F.col("bucket") == bucket_of(profile_key(F.lit(email)), self.buckets)) & (F.col("email") == email))
+
+    def by_ids(self, ids, key="profile_id"):
+        """Profiles whose id is in the DataFrame ``ids``. What comes to the driver are the numbers of the buckets they lie in."""
+        wanted = with_bucket(ids.select(F.col(key).alias("profile_id")).where("profile_id IS NOT NULL").distinct(), self.buckets)
+        buckets = [r.bucket for r in wanted.select("bucket").distinct().where("bucket IS NOT NULL").collect()]
+        found = self.read(F.col("bucket").isin(buckets)) if len(buckets) < self.buckets else self.read()
+        return found.join(wanted, ["bucket", "profile_id"], "left_semi").select(*[f.name for f in STORED])
+
     # --- writing ---
 
     def upsert(self, batch, batch_id=None):

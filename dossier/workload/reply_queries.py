@@ -1,16 +1,18 @@
 """Replies: unwrapping, parsing, repair, normalisation, checks, contacts, quarantine, upsert and ingestion."""
 
+import hashlib
 import itertools
 
 from pyspark.sql import functions as F
 
 from dossier import constants as K
+from dossier import schema
 from dossier.functions import conform as C
 from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
 from dossier.operators.upsert import latest_by_key, merge_latest
 from dossier.plans.etl import gather, process, quarantined, read_outcome, write_outcome
-from dossier.sources.store import ProfileStore
+from dossier.sources.store import ProfileStore, profile_key
 from dossier.sources.tracking_store import TrackingStore, keyed_log
 from dossier.sources.uploads import clean_up, listed, take_in
 from dossier.streaming.ingest import DOCUMENT, apply_batch, ingest, with_text_contacts
@@ -258,6 +260,30 @@ def page_profiles(spark, sf_dir):
     return process(gather(turns, web, replies)).select(_number(), "error_class", own["email"].alias("email"), own["mobile"].alias("mobile"))
 
 
+@query(
+    "store_lookup",
+    """SELECT 'c' || c_custkey || '@example.com' AS email, substr(sha256('c' || c_custkey || '@example.com'), 1, 24) AS profile_id,
+          CASE WHEN c_custkey % 3 = 0 THEN 'newer ' ELSE 'first ' END || c_name AS title, how
+        FROM customer, (VALUES ('ids'), ('id'), ('email')) t(how)
+        WHERE CASE how WHEN 'ids' THEN c_custkey % 7 = 0 WHEN 'id' THEN c_custkey = 42 ELSE c_custkey = 43 END""",
+)
+def store_lookup(spark, sf_dir):
+    """Profiles of a store of two batches by a table of ids, by one id and by an e-mail; only the buckets of these are opened."""
+    _, store = _sinks(spark, sf_dir, "lookup")
+    key = F.col("c_custkey")
+    email = F.concat(F.lit("c"), key, F.lit("@example.com"))
+    for number, (label, those) in enumerate((("first ", F.lit(True)), ("newer ", key % 3 == 0))):
+        title = F.concat(F.lit(label), F.col("c_name"))
+        fields = [(title if f.name == "title" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.PARSED_DATA]
+        rows = table(spark, sf_dir, "customer").where(those)
+        store.upsert(rows.select(email.alias("email"), F.lit(number).cast("bigint").alias("seq"), F.struct(*fields).alias("parsed_data"), F.lit(None).cast("map<string,string>").alias("other_contacts")))
+    ids = table(spark, sf_dir, "customer").where(key % 7 == 0).select(profile_key(email).alias("profile_id"))
+    one = hashlib.sha256(b"c42@example.com").hexdigest()[:24]
+    found = {"ids": store.by_ids(ids), "id": store.by_id(one), "email": store.by_email("c43@example.com")}
+    parts = [df.select("email", "profile_id", "parsed_data.title", F.lit(how).alias("how")) for how, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- ingestion -------------------------------------------------------------------------------------
 
 

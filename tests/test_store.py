@@ -59,6 +59,35 @@ def test_a_batch_of_one_writes_one_bucket(spark, tmp_path):
     assert len(new) == 1 and content(store)["e7"][1:] == (2, "new") and len(content(store)) == 400
 
 
+def spoil(path, buckets):
+    """Makes all files unreadable but those of some buckets, so that opening one fails."""
+    for name in glob.glob(f"{path}/data/*/bucket=*/*.parquet"):
+        if int(name.split("bucket=")[1].split("/")[0]) not in buckets:
+            with open(name, "wb") as f:
+                f.write(b"no parquet")
+
+
+def test_lookups_open_the_buckets_of_the_ids(spark, tmp_path):
+    store = ProfileStore(spark, str(tmp_path / "s"), buckets=16).create()
+    store.upsert(batch(spark, [(f"e{i}", 1, f"t{i}") for i in range(400)]))
+    store.upsert(batch(spark, [(f"e{i}", 2, f"new{i}") for i in range(0, 400, 3)]))
+    rows = {r.email: (r.profile_id, r.bucket) for r in store.read().select("email", "profile_id", "bucket").collect()}
+    assert len({b for _, b in rows.values()}) == 16
+
+    def told(found):
+        return sorted((r.email, r.title) for r in found.select("email", "parsed_data.title").collect())
+
+    asked = ["e1", "e2", "e3"]
+    ids = spark.createDataFrame([(rows[e][0],) for e in asked * 2] + [(None,), ("not an id",), ("f" * 23 + "0",)], "profile_id string")
+    spoil(store.path, {rows[e][1] for e in asked} | {0, int("f" * 7 + "0", 16) % 16})
+    assert told(store.by_ids(ids)) == [("e1", "t1"), ("e2", "t2"), ("e3", "new3")]
+    assert store.by_ids(ids.limit(0)).count() == 0 and store.by_id("0" * 24).count() == 0
+    spoil(store.path, {rows["e3"][1]})
+    assert told(store.by_id(rows["e3"][0])) == told(store.by_email("e3")) == [("e3", "new3")]
+    with pytest.raises(Exception, match="no parquet|not a Parquet|FAILED_READ_FILE|CANNOT_READ"):
+        store.read().collect()
+
+
 def test_a_driver_lost_before_publishing_loses_nothing(spark, tmp_path, monkeypatch):
     store = ProfileStore(spark, str(tmp_path / "s"), buckets=3).create()
     store.upsert(batch(spark, [("a", 1, "a1"), ("b", 1, "b1")]), batch_id=0)
