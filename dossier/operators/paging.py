@@ -27,22 +27,26 @@ def page(df, number=1, limit=None, key="profile_id"):
     Jobs over the keys of the matching rows find the page: counts by a prefix of the key tell in
     which range it begins, longer prefixes are counted inside a range of more than ``RANGE`` rows,
     and only what lies behind the beginning of the range is ordered, as far as the page goes. So no
-    task ever keeps more than ``RANGE`` keys and a page, at any depth. Then the page is read between
-    its first and last key: both are pushed to the scan, so of the wide columns only the row groups
-    and column pages around them are decoded.
+    task ever keeps more than ``RANGE`` keys and a page, at any depth. The matching keys are kept while
+    that goes on, so the filter runs once for all of it. Then the page is read between its first and
+    last key: both are pushed to the scan, so of the wide columns only the row groups and column pages
+    around them are decoded.
     """
     size = page_size(limit)
     if number != "last" and int(number) < 1:
         raise ValueError("page: invalid page")
-    keys = df.select(F.col(key).alias("key"))
-    low, high, total = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
-    number = max(1, math.ceil(total / size)) if number == "last" else int(number)
-    skip = (number - 1) * size
-    if skip >= total:
-        return df.limit(0)
-    start, skip = _range(keys, low, len(os.path.commonprefix([low, high])), total, skip)
-    shown = keys.where(F.col("key") >= start).orderBy("key").offset(skip).limit(size)
-    first, last = shown.agg(F.min("key"), F.max("key")).first()
+    keys = df.select(F.col(key).alias("key")).persist()
+    try:
+        low, high, total = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
+        number = max(1, math.ceil(total / size)) if number == "last" else int(number)
+        skip = (number - 1) * size
+        if skip >= total:
+            return df.limit(0)
+        start, skip = _range(keys, low, len(os.path.commonprefix([low, high])), total, skip)
+        shown = keys.where(F.col("key") >= start).orderBy("key").offset(skip).limit(size)
+        first, last = shown.agg(F.min("key"), F.max("key")).first()
+    finally:
+        keys.unpersist()
     return df.where(F.col(key).between(first, last)).orderBy(key).limit(size)
 
 

@@ -72,6 +72,23 @@ def test_pages_are_found_by_ranges(spark, monkeypatch):
 BATCH = [("a", 1, "i1", "p1"), ("a", 3, "i3", "p3"), ("a", 2, "i2", "p2"), ("b", 1, "i4", "q"), (None, 9, "i5", "r")]
 
 
+@pytest.mark.parametrize("number", [1, 7, "last"])
+def test_a_page_runs_its_filter_twice(spark, monkeypatch, number):
+    """Once for all keys and once for the rows of the page, however many ranges are counted."""
+    from dossier.operators import paging
+
+    monkeypatch.setattr(paging, "RANGE", 7)
+    runs = spark.sparkContext.accumulator(0)
+
+    def passes(n):
+        runs.add(1)
+        return n % 2 == 0
+
+    rows = spark.range(200).select(F.format_string("%024x", "id").alias("profile_id"), "id").coalesce(1)
+    found = page(rows.where(F.udf(passes, "boolean")("id")), number, 10)
+    assert found.count() == 10 and runs.value <= 400
+
+
 def test_latest_and_merge(spark):
     batch = spark.createDataFrame(BATCH, "email string, seq int, id string, payload string")
     latest = latest_by_key(batch, "email", "seq", ["id"], ["seq", "payload"])
