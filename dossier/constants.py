@@ -13,6 +13,11 @@ HREF = r"""(?i)(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
 OBJECT_ID = r"^[0-9a-fA-F]{24}\z"
 COUNTRY_CODE = "+91"
 
+# --- fixed values: patterns of the JSON repair ---------------------------------------------------
+TRAILING_COMMA = r"(?U),\s*([\]}])"
+BARE_KEY = r"(?U)([{,]\s*)(\w+)\s*:"
+OPENED = r"^[{\[]"
+
 # --- fixed values: white space as a Unicode-aware split sees it -------------------------------
 WHITESPACE = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])

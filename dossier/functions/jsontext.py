@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dossier import constants as K
 from dossier.functions.text import strip
 
 
@@ -28,7 +29,7 @@ def unboxed(box):
 
 def repaired(text):
     """Text with trailing commas dropped, quotes made double, keys quoted and braces added."""
-    text = F.regexp_replace(text, r"(?U),\s*([\]}])", "$1")
+    text = F.regexp_replace(text, K.TRAILING_COMMA, "$1")
     text = F.replace(text, F.lit("'"), F.lit('"'))
-    text = F.regexp_replace(text, r"(?U)([{,]\s*)(\w+)\s*:", '$1"$2":')
-    return F.when(text.rlike(r"^[{\[]"), text).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
+    text = F.regexp_replace(text, K.BARE_KEY, '$1"$2":')
+    return F.when(text.rlike(K.OPENED), text).otherwise(F.concat(F.lit("{"), text, F.lit("}")))

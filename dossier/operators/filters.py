@@ -177,7 +177,8 @@ class FilterSpec:
         return tests
 
     def _matches(self, col, value):
-        return _same(col, value) if self.literal else col.rlike(f"(?iu)^{value}$")
+        # with d only a line feed ends a line, for the end anchor and for the dot
+        return _same(col, value) if self.literal else col.rlike(f"(?iud)^{value}$")
 
 
 def _typed(name, value):

@@ -165,7 +165,8 @@ class ProfileStore:
         name = f"batch-{version + 1:012d}"
         write_buckets(with_bucket(latest, self.buckets), f"{self.path}/data/{name}")
         known = [] if batch_id is None else [str(batch_id)]
-        # of a stream only the last batch can come again, a few more are kept for good measure
+        # of a stream only the last batch can come again, a few more are kept for good measure; an older one would change
+        # nothing either, as its rows are not newer by seq than what is stored
         self._publish(version + 1, {"segments": [*content["segments"], name], "batches": [*content["batches"], *known][-1000:]})
 
     def compact(self):

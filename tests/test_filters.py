@@ -150,3 +150,15 @@ def test_scan_reads_little(spark, sf):
     assert "education:array<struct<degree_level:string>>" in plan
     for absent in ("school_name", "company_information", "Python", "proficient:array"):
         assert absent not in plan.split("ReadSchema")[1]
+
+
+def test_only_a_line_feed_ends_a_pattern_early(make_profiles):
+    """The end of a pattern is the end of the value or its last line feed; other line ends are letters like any."""
+    ends = {"plain": "masters", "feed": "masters\n", "two": "masters\n\n", "return": "masters\r", "next": "masters\x85", "line": "masters ", "dot": "masters\rx"}
+    rows = make_profiles({k: {"education": [{"degree_level": v}]} for k, v in ends.items()})
+
+    def found(pattern):
+        return sorted(r.profile_id for r in retrieve(rows, {"degree_type": pattern}).select("profile_id").collect())
+
+    assert found("masters") == ["feed", "plain"]
+    assert found("MASTERS.*x") == ["dot"]
