@@ -6,46 +6,37 @@ from dossier.llm import language_id
 from dossier.llm.decontamination import contamination
 from dossier.llm.packing import pack
 from dossier.llm.queries import held_out
-from dossier.llm.shared import numbered, stored
-from dossier.llm.simhash_dedup import deduplicated
+from dossier.llm.shared import by_place, named, numbered, stored
+from dossier.llm.simhash_similar import distinct_documents
 from dossier.llm.substring_dedup import remove_repeats
 
 
-def _numbered(docs):
-    """``docs`` with its columns named by place, so that none clashes with what a stage adds, and the new names."""
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), names
-
-
-def _named(df, names):
-    return df.select(*(F.col(new).alias(old) for old, new in names.items()))
-
-
 def languages(spark, docs, sf_dir):
     """Rejects documents without a language (null or no letter). The network learns from the rows of three folds."""
-    rows, names = _numbered(docs)
+    rows, names = by_place(docs)
     network = language_id.learned(docs.filter(~held_out("doc_id", 4, 2)))
-    return _named(language_id.identify(rows, network, text=names["text"]).filter(F.col("lang_pred") != language_id.UNKNOWN), names)
+    return named(language_id.identify(rows, network, text=names["text"]).filter(F.col("lang_pred") != language_id.UNKNOWN), names)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps the document with the smallest id of each near-duplicate component."""
-    return deduplicated(docs)
+    """Keeps the document with the smallest id of each component of texts whose five-word shingles are similar to 0.8 or more."""
+    return distinct_documents(docs, shingle=5, similarity=0.8)
 
 
 def substrings(spark, docs, sf_dir):
     """Removes repeated passages of 35 words and more; a document of which nothing is left goes."""
-    rows, names = _numbered(docs)
+    rows, names = by_place(docs)
     cut = remove_repeats(rows, text=names["text"], window=35).filter("n_removed = 0 or kept_text <> ''")
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return _named(cut.withColumns({names[c]: F.when(F.col("n_removed") > 0, v).otherwise(F.col(names[c])) for c, v in new.items()}), names)
+    return named(cut.withColumns({names[c]: F.when(F.col("n_removed") > 0, v).otherwise(F.col(names[c])) for c, v in new.items()}), names)
 
 
 def benchmarks(spark, docs, sf_dir):
     """Drops documents that hold a benchmark item."""
-    keyed = numbered(docs)
-    found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id="__row").select("__row").distinct()
-    return keyed.join(stored(found), "__row", "left_anti").select(docs.columns)
+    rows, names = by_place(docs)
+    keyed = numbered(rows)
+    found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id="__row", text=names["text"]).select("__row").distinct()
+    return named(keyed.join(stored(found), "__row", "left_anti"), names)
 
 
 def packing(spark, docs, sf_dir):

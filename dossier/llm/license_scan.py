@@ -46,7 +46,7 @@ def scan(docs, id="doc_id", text="text", templates=None, threshold=0.8):
     window, contains, ``score`` is the largest containment that meets the threshold, 1 with a phrase, else 0. A null or empty text has no words, empty
     labels and score 0. Repeated rows give repeated results.
     """
-    keyed = numbered(docs).select(F.col("__row").alias("row"), F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    keyed = numbered(docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "row")
     found = matches(keyed, templates or TEMPLATES, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     base = keyed.select("row", "id", *_phrases(F.col("text"))).join(found, "row", "left")
     none = F.array().cast("array<string>")

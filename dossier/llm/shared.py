@@ -3,8 +3,12 @@
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
+#: Rows that a file may have: numbers of files are at least so far apart.
+ROWS = 2**33
+
 
 def stored(df):
     """Writes ``df`` into the shared folder and reads it back: its lineage ends there, so a lost executor costs
@@ -16,19 +20,45 @@ def stored(df):
 
 
 def numbered(df, name="__row"):
-    """``df`` with a unique long for each row that is the same whenever the result is read.
+    """``df`` with a unique long for each row that is the same whenever, and on however many cores, the result is read.
 
-    A plain scan numbers its rows alike each time, whatever columns are asked for. Rows that come from anything else
-    (a shuffle may deal them otherwise next time) are stored first.
+    The number of a row is that of its file plus its place in the file. Numbers of files are hashes of their paths, under
+    the first seed that keeps any two of them ``ROWS`` apart; there are as many as files, whose list the driver holds
+    anyway. Anything but a plain scan of Parquet files is stored first.
     """
-    if not _scan(df._jdf.queryExecution().optimizedPlan()):
+    if not _scan(df):
         df = stored(df)
-    return df.select(F.monotonically_increasing_id().alias(name), *(F.col(f"`{c}`") for c in df.columns))
+    place = df.metadataColumn("_metadata")
+    paths = df.select(place["file_path"].alias("path")).distinct()
+    for seed in range(100):
+        base = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "path"), 2)
+        known = np.sort(np.array([r[0] for r in paths.select(base).collect()], np.int64))
+        if (np.diff(known) >= ROWS).all():
+            break
+    else:
+        raise ValueError("too many files to number their rows apart")
+    of_file = F.shiftrightunsigned(F.xxhash64(F.lit(seed), place["file_path"]), 2)
+    return df.select((of_file + place["row_index"]).alias(name), *(F.col(f"`{c}`") for c in df.columns))
+
+
+def _scan(df):
+    """Whether ``df`` is columns and rows of a table of Parquet files, each file's rows once."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" and plan.toString().strip().lower().endswith(" parquet")
+
+
+def by_place(df):
+    """``df`` with its columns named by their places, so that none clashes with what an operator adds, and the new names by the old."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
 
-def _scan(plan):
-    below = plan.children()
-    return plan.nodeName() in ("LogicalRelation", "LocalRelation", "Project", "Filter") and all(_scan(below.apply(i)) for i in range(below.size()))
+def named(df, names, *added):
+    """The columns of ``by_place`` under their old names, without those that ``added`` replaces (in any letter case), then ``added``."""
+    new = {c.lower() for c in added}
+    return df.select(*(F.col(c).alias(old) for old, c in names.items() if old.lower() not in new), *added)
 
 
 def folder(spark):

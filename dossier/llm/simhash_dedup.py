@@ -16,26 +16,29 @@ import functools
 import numpy as np
 from pyspark.sql import functions as F
 
-from .shared import numbered, stored
-from .textops import slices, widened
+from .shared import by_place, named, numbered, stored
+from .textops import mix, slices, widened
 
 BITS, BUDGET = 64, 2
 BLOCKS = (22, 21, 21)
 CELL = 8192  # fingerprints of a cell that are joined in one task
+PIECE = 1 << 20  # pairs of leaves that are compared at a time
 LEAF = 64  # pairs of leaves below two nodes that are compared without going further down
 STEP = 4  # levels by which a large cell is split
 
 
-def fingerprinted(docs, text="text", shingle=3):
+def fingerprinted(docs, text="text", shingle=3, wide=1):
     """``docs`` with the SimHash ``fp`` (long, the 64 bits) of its ASCII-lower-cased text in place of the text.
 
     A text of fewer than ``shingle`` words is one shingle, a null text or one without words has fingerprint 0.
+    With ``wide`` above 1, ``fp1`` and so on hold 64 more bits each, of other hashes.
     """
-    rest, shape = widened([f for f in docs.schema if f.name != text], "fp long")
-    return docs.mapInArrow(_fingerprint(text, shingle, rest), shape)
+    added = ["fp", *(f"fp{i}" for i in range(1, wide))]
+    rest, shape = widened([f for f in docs.schema if f.name != text], ", ".join(f"{c} long" for c in added))
+    return docs.mapInArrow(_fingerprint(text, shingle, rest, added), shape)
 
 
-def _fingerprint(text, shingle, names):
+def _fingerprint(text, shingle, names, added):
     import pyarrow as pa
 
     def run(batches):
@@ -56,7 +59,9 @@ def _fingerprint(text, shingle, names):
                     starts = [0, *(ends[: -shingle] + 1).tolist()]
                     hashes.extend([digest(line[s:e]) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
                     counts.append(len(starts))
-                yield pa.record_batch([*(part[c] for c in names), pa.array(_majority(np.array(hashes, np.uint64), np.array(counts)))], names=[*names, "fp"])
+                hashes, counts = np.array(hashes, np.uint64), np.array(counts)
+                prints = [_majority(mix(hashes + np.uint64(i)) if i else hashes, counts) for i in range(len(added))]
+                yield pa.record_batch([*(part[c] for c in names), *map(pa.array, prints)], names=[*names, *added])
 
     return run
 
@@ -99,43 +104,49 @@ def _rotated(name, left):
     return c if left == 0 else F.shiftleft(c, left).bitwiseOR(F.shiftrightunsigned(c, BITS - left))
 
 
-def _split(cells):
+def _split(cells, budget=BUDGET, carried=()):
     """The rows of large cells in the pairs of nodes ``STEP`` levels further down that keep within the budget."""
     digit = F.expr(f"cast(shiftrightunsigned(v, {BITS - STEP} - depth) & {2**STEP - 1} as int)")
     others = F.array(*map(F.lit, range(2**STEP)))
     rows = cells.withColumn("d", digit).withColumn("e", F.explode(others)).withColumn("used", F.col("used") + F.expr("bit_count(d ^ e)"))
-    rows = rows.filter(F.col("used") <= BUDGET)
+    rows = rows.filter(F.col("used") <= budget)
     below = lambda node, c: F.shiftleft(node, STEP).bitwiseOR(F.col(c))
     own, low = F.col("side") == 0, F.col("d") < F.col("e")
     first = (own & (F.col("d") <= F.col("e"))) | (F.col("side") == 1)
     side = F.when(own, F.when(F.col("d") == F.col("e"), 0).when(low, 1).otherwise(2)).otherwise(F.col("side"))
     a = F.when(first, below("a", "d")).otherwise(below("a", "e"))
     b = F.when(first, below("b", "e")).otherwise(below("b", "d"))
-    return rows.select("turn", (F.col("depth") + STEP).alias("depth"), a.alias("a"), b.alias("b"), side.alias("side"), "used", "v")
+    return rows.select("turn", (F.col("depth") + STEP).alias("depth"), a.alias("a"), b.alias("b"), side.alias("side"), "used", "v", *carried)
 
 
 def _traverse(batches):
-    """Joins the cells of a sorted partition; the rows of one cell may span batches."""
     import pyarrow as pa
 
+    for rows, bounds in whole_cells(batches):
+        yield _forest(pa, rows, bounds)
+
+
+def whole_cells(batches, more=()):
+    """The columns of whole cells of a sorted partition, some at a time, and where each begins and ends; the rows of one cell may span batches."""
     held = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        new = {c: np.asarray(batch[c]) for c in ("turn", "depth", "a", "b", "side", "v")}
+        new = {c: np.asarray(batch[c]) for c in ("turn", "depth", "a", "b", "side", "v", *more)}
         held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
         key = [held[c] for c in ("turn", "depth", "a", "b")]
         change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
         if len(change):
             cut = change[-1]
-            yield _forest(pa, {c: x[:cut] for c, x in held.items()}, np.concatenate([[0], change]))
+            yield {c: x[:cut] for c, x in held.items()}, np.concatenate([[0], change])
             held = {c: x[cut:] for c, x in held.items()}
     if held is not None:
-        yield _forest(pa, held, np.array([0, len(held["v"])]))
+        yield held, np.array([0, len(held["v"])])
 
 
 def _forest(pa, rows, bounds):
-    left, right = _pairs(rows["v"].view(np.uint64), rows["side"], bounds)
+    found = list(_pairs(rows["v"].view(np.uint64), rows["side"], bounds))
+    left, right = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ((), ())
     root = np.arange(len(rows["v"]))
     while len(left):  # hook the larger root below the smaller one, then shorten the paths
         x, y = root[left], root[right]
@@ -150,8 +161,9 @@ def _forest(pa, rows, bounds):
     return pa.record_batch([pa.array(rows["turn"][some]), pa.array(rows["v"][some]), pa.array(rows["v"][root[some]])], names=["turn", "u", "v"])
 
 
-def _pairs(v, side, bounds):
-    """Index pairs of values at most two bits apart in each run ``bounds[i]:bounds[i+1]``, sorted by side and value."""
+def _pairs(v, side, bounds, bits=BITS, budget=BUDGET):
+    """Index pairs, piece by piece, of values at most ``budget`` bits apart in each run ``bounds[i]:bounds[i+1]``, sorted by
+    side and value. Only the first ``bits`` bits of a value may be set."""
     lo, hi = bounds[:-1], bounds[1:]
     sums = [np.concatenate([[0], np.cumsum(side <= s)]) for s in (0, 1)]
     n0 = sums[0][hi] - sums[0][lo]
@@ -161,15 +173,14 @@ def _pairs(v, side, bounds):
     two = (n1 > 0) & (n1 + n0 < hi - lo) & (n0 == 0)
     front = [np.concatenate([lo[own], lo[two]]), np.concatenate([hi[own], (lo + n1)[two]]), np.concatenate([lo[own], (lo + n1)[two]]), np.concatenate([hi[own], hi[two]])]
     front.append(np.zeros(len(front[0]), np.int64))
-    left, right = [], []
-    for depth in range(BITS + 1):
+    for depth in range(bits + 1):
         a0, a1, b0, b1, used = front
-        small = ((a1 - a0) * (b1 - b0) <= LEAF) | (depth == BITS)
+        small = ((a1 - a0) * (b1 - b0) <= LEAF) | (depth == bits)
         if small.any():
-            i, j = _product(a0[small], a1[small], b0[small], b1[small])
-            near = (i < j) & (np.bitwise_count(v[i] ^ v[j]) <= BUDGET)
-            left.append(i[near])
-            right.append(j[near])
+            for i, j in _products(a0[small], a1[small], b0[small], b1[small]):
+                near = (i < j) & (np.bitwise_count(v[i] ^ v[j]) <= budget)
+                if near.any():
+                    yield i[near], j[near]
         if small.all():
             break
         a0, a1, b0, b1, used = (x[~small] for x in front)
@@ -178,19 +189,26 @@ def _pairs(v, side, bounds):
         same = (a0 == b0) & (a1 == b1)
         children = [(a0, am, b0, bm, used), (am, a1, bm, b1, used), (a0, am, bm, b1, used + 1), tuple(x[~same] for x in (am, a1, b0, bm, used + 1))]
         front = [np.concatenate(x) for x in zip(*children, strict=True)]
-        live = (front[0] < front[1]) & (front[2] < front[3]) & (front[4] <= BUDGET)
+        live = (front[0] < front[1]) & (front[2] < front[3]) & (front[4] <= budget)
         live &= ~((front[0] == front[2]) & (front[1] == front[3]) & (front[1] - front[0] == 1))
         front = [x[live] for x in front]
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def _product(a0, a1, b0, b1):
-    """All index pairs of ranges a and b, range by range."""
-    na, nb = a1 - a0, b1 - b0
-    size = na * nb
-    which = np.repeat(np.arange(len(size)), size)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-    return a0[which] + k // nb[which], b0[which] + k % nb[which]
+def _products(a0, a1, b0, b1):
+    """All index pairs of ranges a and b, about ``PIECE`` at a time."""
+    of, i = _indices(a0, a1)
+    ends = np.cumsum((b1 - b0)[of])
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, PIECE), "right")
+    for s, e in zip(cuts, [*cuts[1:], len(i)], strict=True):
+        which, j = _indices(b0[of[s:e]], b1[of[s:e]])
+        yield i[s:e][which], j
+
+
+def _indices(low, high):
+    """The indices in the ranges, and the range of each."""
+    size = high - low
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]
 
 
 def components(links):
@@ -220,11 +238,15 @@ def near_duplicates(docs, id="doc_id", text="text", shingle=3):
     ``component_id`` is the smallest id that is reachable over links of at most two differing bits; null ids are
     rows like others but never the smallest unless all are null. ``root`` names the component.
     """
-    return _grouped(numbered(docs), id, text, shingle)
+    return _grouped(numbered(pair(docs, id, text), "row"), id, shingle)
 
 
-def _grouped(keyed, id, text, shingle):
-    marked = keyed.select(F.col("__row").alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+def pair(docs, id, text):
+    """Two columns of ``docs`` as ``id`` and ``text``."""
+    return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+
+
+def _grouped(marked, id, shingle):
     prints = stored(fingerprinted(marked, shingle=shingle))
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(linked(nodes.select("fp")))
@@ -235,14 +257,21 @@ def _grouped(keyed, id, text, shingle):
 
 
 def deduplicated(docs, id="doc_id", text="text", shingle=3):
-    """The rows of ``docs`` that stay if one of each component does: that of the smallest id, of equal ids the first.
+    """The rows of ``docs`` that stay if one of each component does: that of the smallest id, of equal ids the first."""
+    return one_each(docs, id, text, lambda marked: _grouped(marked, "id", shingle))
+
+
+def one_each(docs, id, text, grouped):
+    """The rows of ``docs`` that stay if one of each group does: that of the smallest id, of equal ids the first. ``grouped`` finds
+    ``id``, ``row`` and the ``root`` of its group for each ``row``, ``id`` and ``text``.
 
     The rows to drop are the shorter list, so it is these that meet the texts.
     """
-    keyed = numbered(docs)
-    groups = _grouped(keyed, id, text, shingle)
-    order = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "row")
+    rows, names = by_place(docs)
+    keyed = numbered(rows)
+    groups = grouped(keyed.select(F.col("__row").alias("row"), F.col(names[id]).alias("id"), F.col(names[text]).alias("text")))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     several = groups.groupBy("root").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = stored(several.select("root", F.col("x.row").alias("first")))
     dropped = stored(groups.join(first, "root").filter(F.col("row") != F.col("first")).select(F.col("row").alias("__row")))
-    return keyed.join(dropped, "__row", "left_anti").drop("__row")
+    return named(keyed.join(dropped, "__row", "left_anti"), names)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import numbered, stored
+from .shared import by_place, named, numbered, stored
 from .textops import Words, mix, slices, widened, windows
 
 #: Perfect difference sets by their period.
@@ -29,8 +29,13 @@ def remove_repeats(docs, text="text", window=35):
     ``window`` words covers whose word sequence also starts at another place of any text. A null or
     empty text has no words, ``kept_text`` is then ''. Repeated rows are texts of their own, so both
     lose all words if they are long enough. Windows are judged on the input: removals do not make new
-    neighbours. ``docs`` is read more than once. Column names that begin with two underscores are kept for the work.
+    neighbours. ``docs`` is read more than once.
     """
+    rows, names = by_place(docs)
+    return named(_removed(rows, names[text], window), names, "n_words", "n_removed", "kept_text")
+
+
+def _removed(docs, text, window):
     period = max(p for p in COVERS if p <= max(1, (window + 7) // 2) and p <= window)
     keyed = numbered(docs)
     base = keyed.join(_copies(keyed, text), "__row", "left")
