@@ -214,22 +214,25 @@ def _indices(low, high):
 def components(links):
     """(``node``, ``root``) for each node of the links (``u``, ``v``) but the roots, the smallest of their components.
 
-    Large-star and small-star rounds in turn; each round's stars are a stored table, hubs are minima taken with
-    partial aggregation and their rows joins that the adaptive planner can split.
+    Large-star and small-star in turn; the links after each round are a stored table. Minima are taken with partial
+    aggregation, and the rows of a hub meet its minimum in a join that the adaptive planner can split. Links that are stars
+    already, each node below one root that is below none, need no further round.
     """
     ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-    edges, before = stored(ordered(links)), None
-    while True:
+    edges = stored(ordered(links))
+    while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        edges = stored(ordered(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
-        least = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
-        near = edges.join(least, "u")
-        edges = stored(ordered(near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(near.select("u", F.col("m").alias("v")))))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = ordered(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        near = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = stored(ordered(near.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _stars(edges):
+    """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("below").alias("n"), F.min("below").alias("top")).filter("n > 1 or n = 1 and top = 0").isEmpty()
 
 
 def near_duplicates(docs, id="doc_id", text="text", shingle=3):
