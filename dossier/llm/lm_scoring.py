@@ -191,111 +191,6 @@ def _find(keys, values):
     return np.where(keys[at] == values, at, -1)
 
 
-class Model:
-    """The tree in memory, which tests compare the stored one with. Words are numbered by hash; a context of n words is
-    known by the number of its last n - 1 words among the contexts of that length and by its first word."""
-
-    def __init__(self, heavy, total, distinct):
-        keys, counts = (np.asarray(heavy[c]) for c in ("k", "c"))
-        order = np.argsort(keys.view(np.uint64))
-        self.keys, self.counts, self.total = keys.view(np.uint64)[order], counts[order].astype(float), total
-        self.mass = total + 0.5 * (distinct + 1)
-        self.width = max(1, len(keys))
-        self.next = self.counts >= LEAST_JOINT  # words that can have entries
-        often = np.flatnonzero(self.counts >= LEAST_CONTEXT)
-        end = _find(self.keys, np.array([END]))[0]
-        self.paths = [[(int(w),) for w in often if w != end]]  # by length: the candidate contexts
-        self.seen = [self.counts[[p[0] for p in self.paths[0]]]]  # and how often they occur
-        self.names = [np.array([p[0] for p in self.paths[0]], np.int64)]  # and their sorted keys
-        self.entries, self.chances, self.rest, self.state = [], [], [], []
-
-    def numbers(self, tokens):
-        return _find(self.keys, tokens.hashes)
-
-    def contexts(self, tokens, number):
-        """For each length the candidate context before each token, or -1."""
-        out = []
-        for n in range(1, len(self.names) + 1):
-            back = np.full(len(number), -1)
-            back[n:] = number[:-n] if n < len(number) else number[:0]
-            back[tokens.place < n] = -1
-            ok = (back >= 0) & (out[-1] >= 0 if out else True)
-            found = np.full(len(number), -1)
-            found[ok] = _find(self.names[n - 1], (out[-1][ok] * self.width if out else 0) + back[ok])
-            out.append(found)
-        return out
-
-    def pairs(self, tokens):
-        """Keys of the longest candidate contexts with the words behind them."""
-        number = self.numbers(tokens)
-        context = self.contexts(tokens, number)[-1]
-        ok = (context >= 0) & (number >= 0)
-        ok[ok] = self.next[number[ok]]
-        return context[ok] * self.width + number[ok]
-
-    def grow(self, counted):
-        """Makes states of the contexts whose counts these are, and longer candidates; whether there are any."""
-        keys, counts = np.asarray(counted["k"]), np.asarray(counted["c"]).astype(float)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        context, word = keys // self.width, keys % self.width
-        paths, seen = self.paths[-1], self.seen[-1]
-        kept = (counts - DISCOUNT) / seen[context] if len(keys) else counts
-        rest = 1.0 - np.bincount(context, kept, len(paths))
-        shorter = self.after([paths[c][1:] for c in context], word)
-        ratio = np.log((kept + rest[context] * shorter) / shorter) if len(keys) else counts
-        gain = np.bincount(context, counts * ratio, len(paths)) + (seen - np.bincount(context, counts, len(paths))) * np.log(np.maximum(rest, 1e-12))
-        self.entries.append(keys)
-        self.chances.append(kept)
-        self.rest.append(rest)
-        self.state.append((gain >= GAIN) & (gain >= DIVERGENCE * seen))
-        known = {p: i for i, p in enumerate(paths)}
-        longer = []
-        end = _find(self.keys, np.array([END]))[0]
-        for i in np.flatnonzero((counts >= LEAST_CONTEXT) & (word != end)):
-            path = (*paths[context[i]], int(word[i]))
-            if path[1:] in known:
-                longer.append((known[path[1:]] * self.width + path[0], path, counts[i]))
-        longer.sort()
-        self.names.append(np.array([k for k, _, _ in longer], np.int64))
-        self.paths.append([p for _, p, _ in longer])
-        self.seen.append(np.array([c for _, _, c in longer], float))
-        return bool(longer)
-
-    def after(self, paths, word):
-        """The chance of each word after a context of the deepest finished length, by its path."""
-        p = (self.counts[word] + 0.5) / self.mass
-        for n in range(1, len(self.entries) + 1):
-            known = {x: i for i, x in enumerate(self.paths[n - 1])}
-            context = np.array([known.get(x[len(x) - n :], -1) if len(x) >= n else -1 for x in paths], np.int64)
-            p = self._step(n, context, word, p)
-        return p
-
-    def _step(self, n, context, word, p):
-        """Chances with contexts of n words, given those with shorter ones; without a state they stay."""
-        live = context >= 0
-        live[live] = self.state[n - 1][context[live]]
-        c, w = context[live], word[live]
-        at = np.where(w >= 0, _find(self.entries[n - 1], c * self.width + np.maximum(w, 0)), -1)
-        own = np.append(self.chances[n - 1], 0.0)[at]  # -1: the appended 0
-        out = p.copy()
-        out[live] = own + self.rest[n - 1][c] * p[live]
-        return out
-
-    def judge(self, tokens):
-        """For each token its number and the log10 of its chance alone and in context; for rare words (-1) only what
-        the context changes, as their own chance is not known here."""
-        number = self.numbers(tokens)
-        heavy = number >= 0
-        base = np.ones(len(number))
-        base[heavy] = (self.counts[number[heavy]] + 0.5) / self.mass
-        p = base
-        for n, context in enumerate(self.contexts(tokens, number), 1):
-            if n <= len(self.entries):
-                p = self._step(n, context, number, p)
-        return number, np.log10(base), np.log10(p)
-
-
 def _scored(sent):
     import pyarrow as pa
 

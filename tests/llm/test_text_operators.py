@@ -233,34 +233,66 @@ def test_scores_sum_the_words_and_beat_them(make_docs, prose, odd):
     assert lm_scoring.score(make_docs([]), held_out("doc_id", 5, 1)).count() == 0
 
 
-def test_every_distribution_of_the_tree_sums_to_one(prose):
-    """The chances of all words, of the end and of an unknown word, after each context."""
-    import numpy as np
-
+class PlainTree:
+    """The suffix tree over words themselves, without hashes: dictionaries of runs of words. None is the end of a text."""
+
+    def __init__(self, texts):
+        rows = [self.tokens(t) for t in texts]
+        words = collections.Counter(w for row in rows for w in row)
+        self.mass = sum(words.values()) + 0.5 * (len(words) + 1)
+        self.words, self.kept, self.rest = words, {}, {}
+        seen, chance = {(w,): c for w, c in words.items()}, {(w,): self.alone(w) for w in words}
+        for n in range(1, lm_scoring.DEPTH + 1):
+            runs = collections.Counter(tuple(row[i : i + n + 1]) for row in rows for i in range(len(row) - n))
+            after = collections.defaultdict(dict)
+            for run, c in runs.items():
+                if c >= 2 and seen.get(run[:-1], 0) >= 5 and run[1:] in chance:
+                    after[run[:-1]][run] = c
+            longer = {}
+            for context, entries in after.items():
+                kept = {run: (c - 0.75) / seen[context] for run, c in entries.items()}
+                rest = 1 - sum(kept.values())
+                mixed = {run: k + rest * chance[run[1:]] for run, k in kept.items()}
+                gain = sum(c * math.log(mixed[run] / chance[run[1:]]) for run, c in entries.items())
+                gain += (seen[context] - sum(entries.values())) * math.log(max(rest, 1e-12))
+                state = gain >= 10 and gain >= 0.01 * seen[context]
+                if state:
+                    self.rest[context] = rest
+                    self.kept.update(kept)
+                longer.update(mixed if state else {run: chance[run[1:]] for run in kept})
+            seen, chance = {run: runs[run] for run in longer}, longer
+
+    @staticmethod
+    def tokens(text):
+        return [*(text or "").lower().split(), None]
+
+    def alone(self, word):
+        return (self.words.get(word, 0) + 0.5) / self.mass
+
+    def after(self, before, word):
+        p = self.alone(word)
+        for n in range(1, min(len(before), lm_scoring.DEPTH) + 1):
+            context = tuple(before[len(before) - n :])
+            if context in self.rest:
+                p = self.kept.get((*context, word), 0.0) + self.rest[context] * p
+        return p
+
+    def score(self, text):
+        row = self.tokens(text)
+        return sum(math.log10(self.after(row[max(0, i - lm_scoring.DEPTH) : i], w)) for i, w in enumerate(row))
+
+
+def test_every_distribution_of_the_tree_sums_to_one(make_docs, prose):
+    """The chances of all words, of the end and of an unknown word, after each context; the operator's scores are the tree's."""
     texts = ["one two one four " * 5 + prose(6, i) for i in range(40)]
-    tokens = lm_scoring.Tokens(pa.array(texts))
-
-    def counted(keys):
-        k, c = np.unique(keys, return_counts=True)
-        return {"k": k.astype(np.int64), "c": c}
-
-    table = counted(tokens.hashes.view(np.int64))
-    model = lm_scoring.Model(table, int(table["c"].sum()), len(table["k"]))
-    while len(model.entries) < 3:
-        found = counted(model.pairs(tokens))
-        keep = found["c"] >= 2
-        model.grow({k: v[keep] for k, v in found.items()})
-    assert [s.sum() > 0 for s in model.state][:2] == [True, True]
-    vocabulary = sorted({w for t in texts for w in t.split()})
-    for before in ("", "one ", "one two ", "four one ", "two one ", "zzz "):
-        place = len(before.split())
-        seen = lm_scoring.Tokens(pa.array([*(f"{before}{w}" for w in vocabulary), before, f"{before}unseen"]))
-        _, _, own = model.judge(seen)
-        chances = 10 ** own[np.flatnonzero(seen.place == place)]
-        chances[-1] *= 0.5 / model.mass
-        assert chances.sum() == pytest.approx(1.0)
-    _, base, own = model.judge(lm_scoring.Tokens(pa.array(["one two one four"])))
-    assert own[1] > base[1] and own[3] > base[3]
+    tree = PlainTree(texts)
+    assert {len(context) for context in tree.rest} >= {1, 2}
+    for before in ("", "one", "one two", "four one", "two one", "zzz"):
+        assert sum(tree.after(before.split(), w) for w in [*tree.words, "unseen"]) == pytest.approx(1.0)
+    assert tree.after(["one"], "two") > tree.alone("two")
+    new = ["one two one four", "", "two one unseen one two", None, "zzz one two one"]
+    rows = {r.doc_id: r.score for r in lm_scoring.score(make_docs(texts + new), F.col("doc_id") >= len(texts)).collect()}
+    assert [rows[i] for i in range(len(rows))] == pytest.approx([tree.score(t) for t in texts + new])
 
 
 # --- licenses -----------------------------------------------------------------------------------------
@@ -310,25 +342,17 @@ def test_kept_text_is_hashed_as_utf8(make_docs):
 
 def test_what_is_learned_does_not_depend_on_the_size_of_the_corpus(spark, make_docs, monkeypatch):
     """A phrase told ten times among 1.2 million other tokens: more than the shares 1e-5 and 1e-6 let pass. All scores are
-    those of the tree in memory, whether values go with the tasks or are joined."""
+    those of the plain tree, whether values go with the tasks or are joined."""
     import numpy as np
 
     r = np.random.default_rng(5)
     texts = [" ".join(f"w{k}" for k in r.zipf(1.3, 4000) % 3000) for _ in range(300)]
     texts += [f"w{i} amber birds circle distant elms w{i + 1}" for i in range(10)] + ["amber birds circle distant elms", None]
     out = F.col("doc_id") >= 310
-    kept = pa.array(texts[:310])
-    tokens = lm_scoring.Tokens(kept)
-    words, counts = np.unique(tokens.hashes.view(np.int64), return_counts=True)
-    model = lm_scoring.Model({"k": words, "c": counts}, int(counts.sum()), len(words))
-    more = True
-    while more and len(model.entries) < lm_scoring.DEPTH:
-        k, c = np.unique(model.pairs(tokens), return_counts=True)
-        more = model.grow({"k": k[c >= 2], "c": c[c >= 2]})
-    seen = lm_scoring.Tokens(pa.array(texts, pa.string()))
-    wanted = np.bincount(seen.text, model.judge(seen)[2], len(texts))
+    tree = PlainTree(texts[:310])
+    wanted = [tree.score(t) for t in texts]
     for near in (lm_scoring.NEAR, 1e-3):
         monkeypatch.setattr(lm_scoring, "NEAR", near)
         rows = {r.doc_id: r for r in lm_scoring.score(make_docs(texts), out).collect()}
-        assert [rows[i].score for i in range(len(texts))] == pytest.approx(wanted.tolist())
+        assert [rows[i].score for i in range(len(texts))] == pytest.approx(wanted)
         assert rows[310].score > 0.5 * rows[310].base_score
