@@ -12,10 +12,13 @@ from dossier.llm.substring_dedup import remove_repeats
 
 
 def languages(spark, docs, sf_dir):
-    """Rejects documents without a language (null or no letter). The network learns from the rows of three folds."""
+    """Rejects documents without a language (null or no letter). The network learns from the rows of three folds; if none
+    of them has a language there is no network, and every text with a letter stays."""
     rows, names = by_place(docs)
     network = language_id.learned(docs.filter(~held_out("doc_id", 4, 2)))
-    return named(language_id.identify(rows, network, text=names["text"]).filter(F.col("lang_pred") != language_id.UNKNOWN), names)
+    judged = language_id.identify(rows, network, text=names["text"])
+    known = F.col(names["text"]).rlike(r"\p{L}") if network is None else F.col("lang_pred") != language_id.UNKNOWN
+    return named(judged.filter(known), names)
 
 
 def near_duplicates(spark, docs, sf_dir):

@@ -270,3 +270,11 @@ def test_pipeline_stages(spark, tmp_path, prose):
     assert set(kept[3]) == set(kept[2]) - {25}
     packed = cp.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept[3]) and sum(r.n_words for r in packed) == sum(len(r.text.split()) for r in kept[3].values())
+
+
+def test_pipeline_keeps_texts_when_no_language_is_known(make_docs):
+    import corpus_pipeline as cp
+
+    texts = ["a plain text", "12 34", None, "", "\u00dcber", "\u4f60\u597d", "--- !"]
+    docs = make_docs(texts, **{"lang": [None] * len(texts)})
+    assert sorted(r.doc_id for r in cp.languages(None, docs, None).collect()) == [0, 4, 5]
