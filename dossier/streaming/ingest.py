@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from dossier.functions.text import blank_to_null, first_email, first_mobile
+from dossier.operators.hotkeys import spread
 from dossier.plans.etl import accepted, process, read_outcome, tracking_updates, write_outcome
 
 DOCUMENT = "doc_id string, seq bigint, text string, urls array<string>, reply string"
@@ -49,7 +50,8 @@ def ingest(spark, folder, store, outcome_path, updates_path, checkpoint, at=None
     )
 
     def sink(batch, batch_id):
-        apply_batch(batch, batch_id, store, outcome_path, updates_path, at)
+        # a batch may be a few large files, and parsing is dear
+        apply_batch(spread(batch), batch_id, store, outcome_path, updates_path, at)
 
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

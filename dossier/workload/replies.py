@@ -6,6 +6,7 @@ expected outcome without parsing anything.
 
 from pyspark.sql import functions as F
 
+from dossier.operators.hotkeys import spread
 from dossier.workload.star import table
 
 BODY = """'{"personal_information": ' || CASE WHEN k % 41 = 20 THEN 'null' ELSE
@@ -69,7 +70,7 @@ outcome AS (
 
 def documents(spark, sf_dir):
     """``doc_id``, ``seq``, ``text``, ``urls``, ``reply`` and the bare ``body`` of the reply."""
-    base = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    base = spread(table(spark, sf_dir, "customer")).withColumn("k", F.col("c_custkey"))
     df = base.withColumn("body", F.expr(BODY)).withColumn("broken", F.expr(CONTENT))
     fenced = F.when(F.col("k") % 2 == 0, F.concat(F.lit("```json\n"), "broken", F.lit("\n```"))).otherwise(F.col("broken"))
     reply = F.to_json(F.struct(F.array(F.struct(F.struct(fenced.alias("content")).alias("message"))).alias("choices")))

@@ -9,6 +9,7 @@ from dossier import constants as K
 from dossier import schema
 from dossier.functions import conform as C
 from dossier.operators.contacts import contact_gate, merge_contacts, profile_links
+from dossier.operators.hotkeys import spread
 from dossier.operators.profiles import conform, parse_content, unwrap_replies
 from dossier.operators.upsert import latest_by_key, merge_latest
 from dossier.plans.etl import gather, process, quarantined, read_outcome, write_outcome
@@ -95,7 +96,7 @@ def normalise_nested(spark, sf_dir):
     document = """'{"Age": {"B": "XY ' || c_custkey || '", "n": "00' || c_custkey || '", "list": ["Keep", {"Deep": {"Up": "LOW ' || c_mktsegment
         || '", "flag": true}}, [{"Stay": "SAME"}]]}, "Tags": ["Ab", ' || c_custkey || ', "007"]}'"""
     entries = F.from_json(F.expr(document), "map<string,variant>")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.explode(C.normalised(entries)).alias("key", "json_value"))
+    return spread(table(spark, sf_dir, "customer")).select("c_custkey", F.explode(C.normalised(entries)).alias("key", "json_value"))
 
 
 @query(
