@@ -23,6 +23,11 @@ class Manifest:
         _, files, folder = self._files(path)
         return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
 
+    def remove(self, path):
+        """Removes a folder of data that no version in use names."""
+        _, files, folder = self._files(path)
+        files.delete(folder, True)
+
     def version(self):
         """The newest version, -1 if there is none."""
         names = self.names(f"{self.path}/manifest")

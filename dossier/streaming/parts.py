@@ -5,16 +5,16 @@ is handed on as soon as all its parts are there; what is missing is waited for a
 time what is there is tried. Time is that of the parts, so the same parts give the same results whenever they are read.
 """
 
-import json
-
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
 
 from dossier import constants as K
 from dossier.functions.links import link_targets
-from dossier.functions.text import blank_to_null, first_email, first_mobile
+from dossier.functions.text import blank_to_null, both, either, first_email, first_mobile
 from dossier.operators.contacts import profile_links
+from dossier.operators.hotkeys import spread
 from dossier.plans.etl import accepted, process, read_outcome, tracking_updates, write_outcome
+from dossier.sources.manifest import Manifest
 
 #: ``pages`` and ``web_pages`` tell how many there are of the document, as the reader of its file knows; null where it does not.
 #: A row without ``doc_id`` is a sign of the clock: it only tells that it is ``at``.
@@ -48,89 +48,86 @@ def parts_of(pages, web_pages, replies):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def _nothing():
-    return {"page": [], "web": [], "totals": [None, None], "has_text": False, "first": {}, "last": {}, "seq": None, "reply": None, "fresh": True, "tries": 0, "due": None}
+def _kept(fields):
+    return "doc_id string, pages array<bigint>, webs array<bigint>, total_pages bigint, total_webs bigint, has_text boolean, " + "".join(
+        f"{name} struct<page:bigint,found:string>, " for name in fields
+    ) + "seq bigint, reply string, fresh boolean, tries int, due bigint, timer bigint, tried boolean, closed boolean"
+
+
+#: What is held of a document. ``due`` and ``timer`` are milliseconds; ``tried`` and ``closed`` tell what the last step did.
+HELD = _kept(("email", "mobile", *LINKS))
 
 
-def _taken(held, row):
-    """One more part. Of the finds of pages the first page's counts, of links the last page's, of replies the newest.
+def _told(parts, late):
+    """One row a document of what the parts of a batch tell; rows without ``doc_id`` and those not after ``late`` are left out.
 
-    Pages that share a number are told apart by their find alone: the one that sorts first, of links the last, counts.
+    Of the finds of pages the first page's counts, of links the last page's, of replies the newest. Pages that share a
+    number are told apart by their find alone: the one that sorts first, of links the last, counts.
     """
-    before = json.dumps(held)
-    if row.kind == "reply":
-        if held["seq"] is None or row.seq > held["seq"]:
-            held["seq"], held["reply"] = int(row.seq), row.reply
-    else:
-        page = int(row.page)
-        if page not in held[row.kind]:
-            held[row.kind].append(page)
-        if row.kind == "page":
-            held["totals"] = [t if new is None or new != new else int(new) for t, new in zip(held["totals"], (row.pages, row.web_pages))]
-            held["has_text"] = held["has_text"] or bool(row.has_text)
-            for name in ("email", "mobile"):
-                found = getattr(row, name)
-                if isinstance(found, str):
-                    held["first"][name] = min(held["first"].get(name, [page, found]), [page, found])
-        else:
-            for name in LINKS:
-                found = getattr(row, name)
-                if isinstance(found, str):
-                    held["last"][name] = max(held["last"].get(name, [page, found]), [page, found])
-    held["fresh"] = held["fresh"] or json.dumps(held) != before
-
-
-def _missing(held):
-    """Whether it is known that something has not come yet; None if nobody told how much there is."""
-    pages, web_pages = held["totals"]
-    if held["reply"] is None or pages is not None and len(held["page"]) < pages or web_pages is not None and len(held["web"]) < web_pages:
-        return True
-    return None if pages is None or web_pages is None else False
-
-
-def gathered(parts, lateness="0 seconds", waits=K.RETRY_SECONDS):
-    """A stream of documents (GATHERED) from a stream of parts: rows to be tried, and rows that only close a document.
-
-    A complete document is handed on in the batch that brings its last part, and again if something new comes. Any other is
-    looked at when the first, second and last wait is over: it is handed on if it is known to be incomplete, or if something
-    has come since it was last. After the last wait it is closed and forgotten; a part that comes after that begins anew.
-    ``lateness`` is how far ``at`` may be out of order between files; what is later is dropped.
+    kind = F.col("kind")
+
+    def found(best, of, name):
+        return best(F.when((kind == of) & F.col(name).isNotNull(), F.struct("page", F.col(name).alias("found")))).alias(f"new_{name}")
+
+    def last(name):
+        return F.max(F.when((kind == "page") & F.col(name).isNotNull(), F.struct("at", F.col(name).alias("n"))))["n"]
+
+    return (
+        parts.where(F.col("doc_id").isNotNull() & (F.unix_micros("at") > late * 1000))
+        .groupBy("doc_id")
+        .agg(
+            F.collect_set(F.when(kind == "page", F.col("page"))).alias("new_pages"),
+            F.collect_set(F.when(kind == "web", F.col("page"))).alias("new_webs"),
+            last("pages").alias("new_total_pages"),
+            last("web_pages").alias("new_total_webs"),
+            F.bool_or("has_text").alias("new_has_text"),
+            *[found(F.min, "page", name) for name in ("email", "mobile")],
+            *[found(F.max, "web", name) for name in LINKS],
+            F.max(F.when(kind == "reply", F.struct("seq", "reply"))).alias("new_reply"),
+            F.min(F.unix_millis("at")).alias("new_at"),
+        )
+    )
+
+
+def step(held, parts, watermark, late=0, waits=K.RETRY_SECONDS):
+    """What is held (HELD) after a batch of parts, one join of both by document.
+
+    A complete document is handed on (``tried``) in the batch that brings its last part, and again if something new comes.
+    Any other is looked at when the first, second and last wait is over, that is when its timer is below the ``watermark``
+    and no part of it came with the batch: it is handed on if it is known to be incomplete, or if something has come since it
+    was last. After the last wait it is ``closed``, to be forgotten; a part that comes after that begins anew.
     """
-
-    def step(key, chunks, state):
-        import pandas as pd
-
-        held = json.loads(state.get[0]) if state.exists else _nothing()
-        tried, closed = False, False
-        if key[0] is None:
-            return
-        if state.hasTimedOut:
-            held["tries"] += 1
-            missing = _missing(held)
-            tried = bool(missing) or held["fresh"]
-            closed = held["tries"] == len(waits)
-            held["due"] += 1000 * waits[min(held["tries"], len(waits) - 1)]
-        else:
-            for chunk in chunks:
-                for row in chunk.itertuples(index=False):
-                    at = int(row.at.timestamp() * 1000)
-                    held["due"] = min(held["due"] or at + 1000 * waits[0], at + 1000 * waits[0]) if held["tries"] == 0 else held["due"]
-                    _taken(held, row)
-            tried = _missing(held) is False and held["fresh"]
-        if tried:
-            held["fresh"] = False
-        if closed:
-            state.remove()
-        else:
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(held["due"], state.getCurrentWatermarkMs() + 1))
-        if tried or closed:
-            row = {"doc_id": key[0], "seq": held["seq"], "reply": held["reply"], "has_text": held["has_text"]}
-            row |= {f"text_{name}": held["first"].get(name, [0, None])[1] for name in ("email", "mobile")}
-            row |= {name: held["last"].get(name, [0, None])[1] for name in LINKS} | {"tried": tried, "closed": closed}
-            yield pd.DataFrame([row]).astype({"seq": "Int64"})
-
-    return parts.withWatermark("at", lateness).groupBy("doc_id").applyInPandasWithState(step, GATHERED, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    none = F.array().cast("array<bigint>")
+    joined = held.drop("tried", "closed").join(_told(parts, late), "doc_id", "full")
+    c, first, arrived = F.col, F.col("fresh").isNull(), F.col("new_at").isNotNull()
+    newer = c("new_reply").isNotNull() & (c("seq").isNull() | (c("new_reply.seq") > c("seq")))
+    now = {k: F.array_union(F.coalesce(k, none), F.coalesce(f"new_{k}", none)) for k in ("pages", "webs")}
+    now |= {k: F.coalesce(f"new_{k}", k) for k in ("total_pages", "total_webs")}
+    now["has_text"] = F.coalesce("has_text", F.lit(False)) | F.coalesce("new_has_text", F.lit(False))
+    now |= {k: F.least(k, f"new_{k}") for k in ("email", "mobile")} | {k: F.greatest(k, f"new_{k}") for k in LINKS}
+    now |= {k: F.when(newer, c(f"new_reply.{k}")).otherwise(c(k)) for k in ("seq", "reply")}
+    same = [F.size(now[k]) == F.size(k) for k in ("pages", "webs")] + [now[k].eqNullSafe(c(k)) for k in now if k not in ("pages", "webs")]
+    now["fresh"] = F.coalesce("fresh", F.lit(True)) | ~both(*same)
+    now["due"] = F.when(arrived & (F.coalesce("tries", F.lit(0)) == 0), F.least("due", c("new_at") + 1000 * waits[0])).otherwise(c("due"))
+    over = ~arrived & (c("timer") < watermark)
+    now |= {"tries": F.coalesce("tries", F.lit(0)) + over.cast("int"), "arrived": arrived, "over": F.coalesce(over, F.lit(False))}
+    taken = joined.select("doc_id", *[v.alias(k) for k, v in now.items()], "timer")
+
+    totals = c("total_pages"), c("total_webs")
+    lacking = c("reply").isNull() | either(*[F.coalesce(F.size(k) < n, F.lit(False)) for k, n in zip(("pages", "webs"), totals)])
+    known = totals[0].isNotNull() & totals[1].isNotNull()  # somebody told how much there is
+    tried = F.when(c("arrived"), ~lacking & known & c("fresh")).otherwise(c("over") & (lacking | c("fresh")))
+    next_wait = F.element_at(F.array(*[F.lit(1000 * w) for w in waits]), F.least("tries", F.lit(len(waits) - 1)) + 1)
+    due = F.when(c("over"), c("due") + next_wait).otherwise(c("due"))
+    timer = F.when(c("arrived") | c("over"), F.greatest(due, F.lit(watermark + 1))).otherwise(c("timer"))
+    new = {"fresh": c("fresh") & ~tried, "due": due, "timer": timer, "tried": tried, "closed": c("over") & (c("tries") == len(waits))}
+    return taken.withColumns(new).select(*T._parse_datatype_string(HELD).names)
+
+
+def handed_on(held):
+    """The documents (GATHERED) that the last step tries, and those that it only closes."""
+    finds = [F.col(f"{name}.found").alias(f"text_{name}") for name in ("email", "mobile")] + [F.col(f"{name}.found").alias(name) for name in LINKS]
+    return held.where("tried OR closed").select("doc_id", "seq", "reply", "has_text", *finds, "tried", "closed")
 
 
 def apply_gathered(rows, number, store, tracking, folder, at=None, source="parts"):
@@ -144,7 +141,7 @@ def apply_gathered(rows, number, store, tracking, folder, at=None, source="parts
     if rows.isEmpty():
         return
     staged = f"{folder}/outcome/batch={number}"
-    write_outcome(process(rows.where("tried").drop("tried", "closed")), staged)
+    write_outcome(process(spread(rows.where("tried").drop("tried", "closed"))), staged)
     outcome = read_outcome(spark, staged)
     store.upsert(accepted(outcome), f"{source}-{number}")
     now = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
@@ -153,20 +150,71 @@ def apply_gathered(rows, number, store, tracking, folder, at=None, source="parts
     tracking.settle(log.unionByName(given_up, allowMissingColumns=True), source, number)
 
 
+class PartsState:
+    """What is held of the documents, as a table a step under ``folder``/state; a manifest names the last one.
+
+    A step reads the held documents, joins what a batch tells of them and writes the table of the next step; it is published
+    after all else that the step leaves, so a step that was lost is done again with the same number and the same parts.
+    Its watermark is the latest ``at`` of the steps before it less ``lateness``; parts not after that of the step before are
+    dropped. The table before the last one is kept for readers, older ones are removed.
+    """
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+        self.manifest = Manifest(spark, f"{folder}/state")
+
+    def last(self):
+        """The number of the last step and what it published."""
+        if self.manifest.version() < 0:
+            return -1, {"batch": -1, "late": 0, "watermark": 0}
+        return self.manifest.read()
+
+    def _path(self, number):
+        return f"{self.folder}/state/data/step-{number:012d}"
+
+    def read(self, number):
+        """The table of a step, with what it has closed."""
+        return self.spark.read.schema(HELD).parquet(self._path(number)) if number >= 0 else self.spark.createDataFrame([], HELD)
+
+    def advance(self, parts, batch, sink, lateness, waits):
+        """One step; ``sink`` gets what is handed on and the number of the step."""
+        number, known = self.last()
+        at = F.unix_millis(F.max("at") - F.expr(f"INTERVAL '{lateness}'"))
+        latest = parts.agg(at).first()[0]
+        moved = step(self.read(number).where("NOT closed"), parts, known["watermark"], known["late"], waits)
+        moved.write.mode("overwrite").parquet(self._path(number + 1))
+        sink(handed_on(self.read(number + 1)), number + 1)
+        ahead = max(known["watermark"], known["watermark"] if latest is None else latest)
+        self.manifest.publish(number + 1, {"batch": batch, "late": known["watermark"], "watermark": ahead})
+        if number >= 1:
+            self.manifest.remove(self._path(number - 1))
+
+
 def ingest_parts(spark, pages, web_pages, replies, store, tracking, folder, at=None, files_per_batch=1000, lateness="0 seconds", waits=K.RETRY_SECONDS):
     """Processes the files of three folders not yet seen, then stops; restart it to go on.
 
-    ``folder`` holds the checkpoint and what batches leave: ``gathered`` and ``outcome``.
+    ``folder`` holds the checkpoint, what is held (``PartsState``) and what steps leave: ``gathered`` and ``outcome``. A batch
+    of files is a step, and the clock of the last one is followed by a step without parts. ``lateness`` is how far ``at`` may
+    be out of order between files; what is later is dropped.
     """
 
     def read(path, shape):
         return spark.readStream.schema(shape).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
-    stream = gathered(parts_of(read(pages, PAGES), read(web_pages, WEB_PAGES), read(replies, REPLIES)), lateness, waits)
+    state = PartsState(spark, folder)
+
+    def sink(rows, number):
+        apply_gathered(rows, number, store, tracking, folder, at)
 
-    def sink(batch, number):
-        apply_gathered(batch, number, store, tracking, folder, at)
+    def take(batch, number):
+        if number > state.last()[1]["batch"]:
+            state.advance(batch, number, sink, lateness, waits)
 
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    stream = parts_of(read(pages, PAGES), read(web_pages, WEB_PAGES), read(replies, REPLIES))
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    known = state.last()[1]
+    if known["watermark"] > known["late"]:
+        nothing = parts_of(*[spark.createDataFrame([], shape) for shape in (PAGES, WEB_PAGES, REPLIES)])
+        state.advance(nothing, known["batch"], sink, lateness, waits)
     return query

@@ -84,3 +84,24 @@ def test_a_batch_that_comes_again_counts_once(drops, monkeypatch):
         P.apply_gathered(batch, 0, drops.store, drops.tracking, drops.folder)
         assert {r.file: (r.parsing_status, r.no_of_retries) for r in drops.tracking.read().collect()} == {"a": ("completed", 0), "b": ("in_progress", 1)}
         assert drops.store.read().count() == 1 and len(drops.store.segments()) == 1
+
+
+def test_a_step_is_one_join_without_python(spark):
+    at = F.timestamp_seconds(F.lit(1000))
+    n = F.col("id")
+    doc = F.concat(F.lit("d"), n).alias("doc_id")
+    pages = spark.range(3000).select(doc, F.lit(2).cast("bigint").alias("page"), F.lit("b@mail.com a@mail.com").alias("text"), F.lit(1).cast("bigint").alias("pages"), (n % 2).alias("web_pages"), at.alias("at"))
+    replies = spark.range(3000).where("id % 3 > 0").select(doc, n.alias("seq"), F.lit("{}").alias("reply"), at.alias("at"))
+    web = spark.createDataFrame([], P.WEB_PAGES)
+    first = P.step(spark.createDataFrame([], P.HELD), P.parts_of(pages, web, replies), 0).localCheckpoint()
+    # pages and replies are there; every other document waits for a web page, every third for its reply
+    assert first.where("tried").count() == 1000 and first.where("closed").count() == 0
+    assert {r.found for r in first.select("email.found").distinct().collect()} == {"b@mail.com"}
+    nothing = P.parts_of(spark.createDataFrame([], P.PAGES), web, spark.createDataFrame([], P.REPLIES))
+    held = first
+    for watermark, tried, closed in ((1_600_000, 0, 0), (1_600_001, 2000, 0), (2_900_000, 2000, 0), (9_000_000, 2000, 3000)):
+        moved = P.step(held.where("NOT closed"), nothing, watermark)
+        plan = moved._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+        held = moved.localCheckpoint()
+        assert (held.where("tried").count(), held.where("closed").count()) == (tried, closed), watermark
