@@ -32,3 +32,18 @@ def test_files_are_taken_in_once_and_removed_when_completed(spark, tmp_path):
     assert clean_up(spark, str(folder), tracking) == 1 and clean_up(spark, str(folder), tracking) == 0
     assert [p.name for p in folder.rglob("*.txt")] == ["e.txt"]
     assert {r.parsing_status for r in tracking.read().collect()} == {"completed", "in_progress"}
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / "in" / f"key={i}").mkdir(parents=True)
+        (tmp_path / "in" / f"key={i}" / "a.txt").write_text("x")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    files = listed(spark, str(tmp_path / "in"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = [s for j in told.getJobIdsForGroup("listing") for s in told.getJobInfo(j).stageIds]
+    assert sum(told.getStageInfo(s).numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert files.count() == 200
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
