@@ -1,6 +1,10 @@
 """The skills of the star profiles: ranks without a window, and without dealing the rows anew for it."""
 
-from dossier.workload.star import star_skills
+from pyspark.sql import functions as F
+
+from dossier.operators.hotkeys import tasks_for
+from dossier.workload import star
+from dossier.workload.star import star_jobs, star_skills
 
 
 def test_skills_by_quantity_in_few_shuffles(spark, tmp_path):
@@ -20,3 +24,25 @@ def test_skills_by_quantity_in_few_shuffles(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("Initial Plan")[-1]
     assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_tasks_follow_the_rows_and_a_hot_customer_is_spread(spark, tmp_path, monkeypatch):
+    orders = [(k, 1 if k % 3 else k, "FOP"[k % 3], float(k), f"{1995 + k % 4}-03-0{1 + k % 9} 00:00:00", f"{1 + k % 5}-X") for k in range(900)]
+    orders += [(900 + k, None, "F", 1.0, "1995-01-01 00:00:00", "1-X") for k in range(300)]
+    made = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string")
+    made.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1200).selectExpr("id AS l_orderkey", "id % 6 AS l_partkey", "cast(id % 50 AS double) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(6).selectExpr("id AS p_partkey", "'n' || id % 4 AS p_name", "'b' || id % 3 AS p_brand", "'t' AS p_type").write.parquet(str(tmp_path / "part.parquet"))
+    assert tasks_for(made, 100) == 12 and tasks_for(made, 10_000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(star, "tasks_for", lambda df: 37)
+    skills, jobs = star_skills(spark, str(tmp_path)), star_jobs(spark, str(tmp_path))
+    assert skills.rdd.getNumPartitions() == jobs.rdd.getNumPartitions() == 37
+    want = {}
+    for k, customer, *_ in orders:
+        brands = want.setdefault(customer, {})
+        brands[f"b{k % 6 % 3}"] = brands.get(f"b{k % 6 % 3}", 0) + k % 50
+    assert {r.o_custkey: {b.skill: b.qty for b in r.brands} for r in skills.collect()} == want
+    got = {r.o_custkey: r for r in jobs.collect()}
+    assert {k: r.n for k, r in got.items()} == {c: sum(o[1] == c for o in orders) for c in want}
+    groups = {(int(o[4][:4]), o[2], o[5]) for o in orders if o[1] == 1}
+    assert len(got[1].experience) == len(groups) and got[1].ft == sum(o[3] for o in orders if o[1] == 1) / 100000
