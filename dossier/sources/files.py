@@ -10,9 +10,12 @@ def read_documents(spark, path):
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
-def write_csv(df, path, mode="errorifexists"):
-    """Flat columns as CSV with a header per file, quotes doubled, nothing written for ''."""
-    df.write.mode(mode).csv(path, header=True, escape='"', emptyValue="", nullValue="")
+def write_csv(df, path, mode="errorifexists", rows=5_000):
+    """Flat columns as CSV with a header per file, quotes doubled, nothing written for ''.
+
+    A value may hold line feeds, so a file is read by one task: files have at most ``rows`` rows.
+    """
+    df.write.mode(mode).option("maxRecordsPerFile", rows).csv(path, header=True, escape='"', emptyValue="", nullValue="")
 
 
 def read_csv(spark, path):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from dossier.operators.hotkeys import tasks_for
+from dossier.sources.files import read_csv, write_csv
 from dossier.workload import star
 from dossier.workload.star import star_jobs, star_skills
 
@@ -46,3 +47,10 @@ def test_tasks_follow_the_rows_and_a_hot_customer_is_spread(spark, tmp_path, mon
     assert {k: r.n for k, r in got.items()} == {c: sum(o[1] == c for o in orders) for c in want}
     groups = {(int(o[4][:4]), o[2], o[5]) for o in orders if o[1] == 1}
     assert len(got[1].experience) == len(groups) and got[1].ft == sum(o[3] for o in orders if o[1] == 1) / 100000
+
+
+def test_csv_files_are_of_bounded_rows(spark, tmp_path):
+    write_csv(spark.range(0, 25, 1, 1).selectExpr("cast(id AS string) AS a", "'x\ny' AS b"), str(tmp_path / "csv"), rows=10)
+    back = read_csv(spark, str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").glob("part-*"))) == 3
+    assert sorted(int(r.a) for r in back.collect()) == list(range(25)) and {r.b for r in back.collect()} == {"x\ny"}
