@@ -13,16 +13,18 @@ leave out most grams that no join would find; joins decide. The logarithm of a t
 sum over contexts: the rest of a state's mass if the word is no entry of it, the gain of the entry if it is. So each gram
 has one value, and a text's score is the sum of the values of its grams. Words with a share of at least ``HEAVY`` and
 values with a share of at least ``NEAR`` of the tokens go with the tasks (at most 1/HEAVY, and 1/NEAR for each size of
-gram); the many rare ones are found by joins.
+gram); the many rare ones are found by joins, in ``PASSES`` of which each holds its share of the grams. A job's shuffle files and
+the tables of a finished depth are removed as soon as nothing reads them.
 """
 
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import stored
-from .textops import Words, slices, windows
+from .shared import dropped, freed
+from .textops import Words, slices
 
 DEPTH, HEAVY, NEAR = 3, 2.0**-21, 2.0**-20
 LEAST_CONTEXT, LEAST_JOINT = 5, 2  # counts below which nothing is learned
@@ -30,6 +32,7 @@ DISCOUNT, DIVERGENCE, GAIN = 0.75, 0.01, 10.0  # of counts; nats a token and nat
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
 FLUSH = 1_000_000  # distinct keys that a task counts before it sends them on
 SIEVE = 27  # a sieve has 2**SIEVE bits
+PASSES = 4  # in which values are joined to the texts, so that a part of the pairs is shuffled at a time; a power of two
 
 
 def score(docs, held_out, id="doc_id", text="text"):
@@ -43,18 +46,22 @@ def score(docs, held_out, id="doc_id", text="text"):
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("text"))
     training = rows.filter(~F.col("held_out")).select("text")
-    words = stored(training.mapInArrow(_counted(_words, ["k"]), "k long, n long").groupBy("k").agg(F.sum("n").alias("c")))
+    words = freed(training.mapInArrow(_counted(_words, ["k"]), "k long, n long").groupBy("k").agg(F.sum("n").alias("c")))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     mass = total + 0.5 * (distinct + 1)
     values = tree(training, words, mass)
     heavy, near = (_sorted(df, v) for df, v in ((words.filter(F.col("c") >= HEAVY * total), "c"), (values.filter(F.col("c") >= NEAR * total), "value")))
     sent = spark.sparkContext.broadcast((mass, heavy, near, sieve(values)))
-    held = "row long, id {0}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, far array<long>, far_times array<int>"
-    scored = stored(rows.mapInArrow(_scored(sent), held.format(docs.schema[id].dataType.simpleString())))
+    held = "row long, id {0}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>" + "".join(f", far{i} array<long>, far_times{i} array<int>" for i in range(PASSES))
+    scored = freed(rows.mapInArrow(_scored(sent), held.format(docs.schema[id].dataType.simpleString())))
     pairs = lambda keys, n: scored.select("row", F.explode(F.arrays_zip(keys, n)).alias("x")).select("row", F.col(f"x.{keys}").alias("k"), F.col(f"x.{n}").alias("n"))
     chance = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(mass))
-    found = pairs("rare", "times").join(words, "k", "left").groupBy("row").agg(F.sum(F.col("n") * chance).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    gained = pairs("far", "far_times").join(values.select("k", "value"), "k").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("gained"))
+    found = freed(pairs("rare", "times").join(words, "k", "left").groupBy("row").agg(F.sum(F.col("n") * chance).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known")))
+    parts = []
+    for i in range(PASSES):
+        some = values.filter(F.pmod("k", F.lit(PASSES)) == i).select("k", "value")
+        parts.append(freed(pairs(f"far{i}", f"far_times{i}").join(some, "k").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("gained"))))
+    gained = union(parts).groupBy("row").agg(F.sum("gained").alias("gained"))
     more = F.coalesce("more", F.lit(0.0))
     return scored.join(found, "row", "left").join(gained, "row", "left").select(
         F.col("id").alias(id), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
@@ -64,39 +71,65 @@ def score(docs, held_out, id="doc_id", text="text"):
 
 def tree(training, words, mass):
     """The stored values (``k``, ``c``, ``value``) of the grams of one to ``DEPTH`` + 1 words that have one; ``c`` is how often they occur."""
-    grams, parts = words.select("k", "c", ((F.col("c") + 0.5) / F.lit(mass)).alias("p")), []
+    grams, tables, parts = words.select("k", "c", ((F.col("c") + 0.5) / F.lit(mass)).alias("p")), [], []
+    of_context = Window.partitionBy("context")
     for n in range(1, DEPTH + 1):
         contexts = grams.filter(F.col("c") >= LEAST_CONTEXT).select(F.col("k").alias("context"), F.col("c").alias("seen"))
         sent = training.sparkSession.sparkContext.broadcast((sieve(contexts, "context"), sieve(grams.filter(F.col("c") >= LEAST_JOINT))))
-        made = training.mapInArrow(_counted(_grams(n, sent), ["k", "context", "suffix"]), "k long, context long, suffix long, n long")
-        counted = made.groupBy("k", "context", "suffix").agg(F.sum("n").alias("c")).filter(F.col("c") >= LEAST_JOINT)
-        found = counted.join(contexts, "context").join(grams.select(F.col("k").alias("suffix"), F.col("p").alias("shorter")), "suffix")
-        entries = stored(found.select("k", "context", "c", "seen", "shorter", ((F.col("c") - DISCOUNT) / F.col("seen")).alias("kept")))
-        rest = entries.groupBy("context").agg((1.0 - F.sum("kept")).alias("rest"))
-        gain = F.sum(F.col("c") * F.log((F.col("kept") + F.col("rest") * F.col("shorter")) / F.col("shorter"))) + (F.col("seen") - F.sum("c")) * F.log(F.greatest("rest", F.lit(1e-12)))
-        judged = entries.join(rest, "context").groupBy("context", "rest", "seen").agg(gain.alias("gain"))
-        states = stored(judged.filter((F.col("gain") >= GAIN) & (F.col("gain") >= DIVERGENCE * F.col("seen"))).select("context", "rest", "seen"))
-        chance = F.when(F.col("rest").isNull(), F.col("shorter")).otherwise(F.col("kept") + F.col("rest") * F.col("shorter"))
-        live = entries.join(states.select("context", "rest"), "context", "left").withColumn("p", chance)
-        grams = stored(live.select("k", "c", "p", (F.log10(F.col("p") / F.col("shorter")) - F.log10("rest")).alias("value")))
-        parts += [states.select(F.col("context").alias("k"), F.col("seen").alias("c"), F.log10("rest").alias("value")), grams.filter(F.col("value").isNotNull()).select("k", "c", "value")]
+        made = training.mapInArrow(_counted(_grams(n, sent), ["context", "suffix"]), "context long, suffix long, n long")
+        # what a task sends is counted and in order of the contexts: neither counted again before it is sent, nor a context written out for each of its rows
+        dealt = made.withColumn("part", F.shiftrightunsigned("suffix", 61)).repartition("context", "part")
+        counted = dealt.groupBy("context", "part", "suffix").agg(F.sum("n").alias("c")).filter(F.col("c") >= LEAST_JOINT)
+        counted = freed(counted.select(F.xxhash64("context", "suffix").alias("k"), "context", "suffix", "c"))
+        found = counted.join(grams.select(F.col("k").alias("suffix"), F.col("p").alias("shorter")), "suffix").drop("suffix").join(contexts, "context")
+        entries = found.withColumn("kept", (F.col("c") - DISCOUNT) / F.col("seen")).withColumn("rest", 1.0 - F.sum("kept").over(of_context))
+        chance = F.col("kept") + F.col("rest") * F.col("shorter")
+        told = F.sum(F.col("c") * F.log(chance / F.col("shorter"))).over(of_context) + (F.col("seen") - F.sum("c").over(of_context)) * F.log(F.greatest("rest", F.lit(1e-12)))
+        state = (F.col("gain") >= GAIN) & (F.col("gain") >= DIVERGENCE * F.col("seen"))
+        judged = entries.withColumn("gain", told).withColumn("state", state).withColumn("p", F.when(F.col("state"), chance).otherwise(F.col("shorter")))
+        value = F.when(F.col("state"), F.log10(F.col("p") / F.col("shorter")) - F.log10("rest"))
+        held = freed(judged.select("k", "context", "c", "p", value.alias("value"), *(F.when(F.col("state"), F.col(x)).alias(x) for x in ("seen", "rest"))))
+        grams = held.select("k", "c", "p")
+        states = held.filter("seen IS NOT NULL").groupBy("context").agg(F.first("seen").alias("c"), F.log10(F.first("rest")).alias("value"))
+        parts += [states.withColumnRenamed("context", "k"), held.filter("seen IS NOT NULL").select("k", "c", "value")]
+        tables.append(held)
+        dropped(counted)
         sent.unpersist()
+    values = freed(union(parts).groupBy("k").agg(F.max("c").alias("c"), F.sum("value").alias("value")))
+    dropped(*tables)
+    return values
+
+
+def union(parts):
+    """All rows of some tables."""
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
-    return stored(out.groupBy("k").agg(F.max("c").alias("c"), F.sum("value").alias("value")))
+    return out
 
 
 def sieve(df, key="k"):
     """A bitmap of the first ``SIEVE`` bits of the keys."""
-    slot = F.shiftrightunsigned(key, 64 - SIEVE)
-    table = df.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(2**15 - 1))).alias("bits")).toArrow()
+    table = df.select(F.col(key).alias("k")).mapInArrow(_bits, "part int, bits binary").repartition("part").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
     out = np.zeros((2 ** (SIEVE - 15), 2**12), np.uint8)
     for part, bits in zip(table["part"], table["bits"], strict=True):
         out[part.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out.ravel()
 
 
+def _bits(batches):
+    """The bitmap of the keys of a task, in parts of 2**15 bits."""
+    import pyarrow as pa
+
+    bits = np.zeros((2 ** (SIEVE - 15), 2**12), np.uint8)
+    for batch in batches:
+        slot = np.asarray(batch["k"]).view(np.uint64) >> np.uint64(64 - SIEVE)
+        np.bitwise_or.at(bits.reshape(-1), slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+    used = np.flatnonzero(bits.any(axis=1))
+    for at in np.array_split(used, -(-len(used) // 512) or 1):
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array([bits[i].tobytes() for i in at], pa.binary())], names=["part", "bits"])
+
+
 def passes(bits, keys):
     """Whether the sieve lets the keys pass."""
     slot = keys >> np.uint64(64 - SIEVE)
@@ -122,20 +155,41 @@ class Tokens:
         inner = np.ones(len(self.hashes), bool)
         inner[self.last] = False
         self.hashes[inner] = words.hashes()
+        self.known = [self.hashes]
         self.text = np.repeat(np.arange(len(self.count)), self.count)
         self.place = np.arange(len(self.hashes)) - (self.last - self.count + 1)[self.text]
 
     def grams(self, n):
-        """A hash for each ``n`` consecutive tokens, across ends too."""
-        return self.hashes if n == 1 else windows(self.hashes, n)
+        """A hash for each ``n`` consecutive tokens, across ends too: that of a word, or of what a gram starts and ends with."""
+        while len(self.known) < n:
+            last = self.known[-1]
+            self.known.append(paired(last[:-1], last[1:]))
+        return self.known[n - 1]
 
     def within(self, n):
         """Places at which ``n`` tokens of one text start."""
         return np.flatnonzero(self.text[: max(0, len(self.text) - n + 1)] == self.text[n - 1 :])
 
 
+def paired(first, second):
+    """``xxhash64`` of two columns of longs, as Spark computes it."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, by):
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    out = np.full(len(first), 42, np.uint64)
+    for value in (first, second):
+        out = out + (p5 + np.uint64(8)) ^ turned(value * p2, 31) * p1
+        out = turned(out, 27) * p1 + p4
+        out = (out ^ (out >> np.uint64(33))) * p2
+        out = (out ^ (out >> np.uint64(29))) * p3
+        out ^= out >> np.uint64(32)
+    return out
+
+
 def _words(tokens):
-    return [tokens.hashes]
+    return [tokens.hashes, tokens.hashes]
 
 
 def _grams(n, sent):
@@ -152,18 +206,27 @@ def _grams(n, sent):
 
 
 def _counted(columns_of, names):
-    """Counts the keys of all texts of a task, in parts of bounded size; further columns are functions of the key."""
+    """Counts the keys of all texts of a task, in parts of bounded size; further columns are functions of the key.
+
+    Of each part the keys stay here; the further columns are sent, in the order of the first of them.
+    """
     import pyarrow as pa
 
     def reduced(columns, n=None):
-        keys, first, group = np.unique(columns[0], return_index=True, return_inverse=True)
-        return [keys, *(c[first] for c in columns[1:])], np.bincount(group, n, len(keys)).astype(np.int64)
+        order = np.argsort(columns[0])
+        keys = columns[0][order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n[order], first) if len(keys) else n
+        return [c[order[first]] for c in columns], times.astype(np.int64)
 
     def merged(held):
         return reduced([np.concatenate(c) for c in zip(*(c for c, _ in held), strict=True)], np.concatenate([n for _, n in held]))
 
     def batch_of(columns, n):
-        return pa.record_batch([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n)], names=[*names, "n"])
+        order = np.argsort(columns[1])
+        return pa.record_batch([*(pa.array(c[order].view(np.int64)) for c in columns[1:]), pa.array(n[order])], names=[*names, "n"])
 
     def run(batches):
         held, size = [], 0
@@ -183,12 +246,25 @@ def _counted(columns_of, names):
     return run
 
 
-def _find(keys, values):
+def _index(keys):
+    """Where in the sorted keys those with the same first bits begin; there are about as many slots as keys."""
+    bits = max(1, len(keys).bit_length())
+    return keys, np.append(np.searchsorted(keys, np.arange(2**bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys)), np.uint64(64 - bits)
+
+
+def _find(index, values):
     """Places of the values in the sorted keys, -1 for those that are not there."""
-    if not len(keys):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return np.where(keys[at] == values, at, -1)
+    keys, begin, shift = index
+    slot = (values >> shift).astype(np.int64)
+    at, end, out = begin[slot], begin[slot + 1], np.full(len(values), -1)
+    left = np.flatnonzero(at < end)
+    at = at[left]
+    while len(left):
+        hit = keys[at] == values[left]
+        out[left[hit]] = at[hit]
+        on = ~hit & (at + 1 < end[left])
+        left, at = left[on], at[on] + 1
+    return out
 
 
 def _scored(sent):
@@ -208,6 +284,7 @@ def _scored(sent):
     def run(batches):
         mass, (words, counts), (near, values), known = sent.value
         chances, values = np.append(np.log10((counts + 0.5) / mass), 0.0), np.append(values, 0.0)  # -1: the appended 0
+        words, near = _index(words), _index(near)
         for batch in batches:
             for part in slices(batch):
                 tokens = Tokens(part["text"])
@@ -225,7 +302,12 @@ def _scored(sent):
                     far.append((text[place < 0], keys[place < 0]))
                 n_known = pa.array(np.bincount(tokens.text, ~rare, n).astype(np.int64))
                 own = lists(tokens.text[rare], tokens.hashes[rare], n)
-                columns = [part["row"], part["id"], part["held_out"], pa.array(tokens.count), n_known, pa.array(base), pa.array(score), *own, *lists(*map(np.concatenate, zip(*far, strict=True)), n)]
-                yield pa.record_batch(columns, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "far", "far_times"])
+                columns, names = [part["row"], part["id"], part["held_out"], pa.array(tokens.count), n_known, pa.array(base), pa.array(score), *own], ["rare", "times"]
+                text, keys = map(np.concatenate, zip(*far, strict=True))
+                turn = keys % np.uint64(PASSES)
+                for i in range(PASSES):
+                    columns += lists(text[turn == i], keys[turn == i], n)
+                    names += [f"far{i}", f"far_times{i}"]
+                yield pa.record_batch(columns, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score", *names])
 
     return run

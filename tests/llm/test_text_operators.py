@@ -6,13 +6,14 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 
 from pyspark.sql import functions as F
 
-from dossier.llm import license_scan, lm_scoring
+from dossier.llm import license_scan, lm_scoring, shared
 from dossier.llm.decontamination import contamination
 from dossier.llm.packing import best_fit, pack
 from dossier.llm.simhash_dedup import components, deduplicated, linked, near_duplicates
@@ -356,3 +357,23 @@ def test_what_is_learned_does_not_depend_on_the_size_of_the_corpus(spark, make_d
         rows = {r.doc_id: r for r in lm_scoring.score(make_docs(texts), out).collect()}
         assert [rows[i].score for i in range(len(texts))] == pytest.approx(wanted)
         assert rows[310].score > 0.5 * rows[310].base_score
+
+
+def test_scoring_leaves_no_tables_behind_that_nothing_reads(spark, make_docs, prose, tmp_path, monkeypatch):
+    """Words, values, texts and the sums joined to them stay; what the tree was made of is gone."""
+    from dossier.llm.queries import held_out
+
+    monkeypatch.setattr(shared, "folder", lambda spark: str(tmp_path))
+    docs = make_docs([prose(60, i % 7) for i in range(60)])
+    rows = lm_scoring.score(docs, held_out("doc_id", 5, 1))
+    assert len(list(tmp_path.iterdir())) <= 4 + lm_scoring.PASSES
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert sum(r.score - r.base_score for r in rows.collect()) > 0
+
+
+def test_hashes_of_grams_are_those_of_the_joins(spark):
+    values = np.array([0, 1, 2**63, 2**64 - 1, 12345678901234567], np.uint64)
+    pairs = [(int(a), int(b)) for a in values.view(np.int64) for b in values.view(np.int64)]
+    want = [r[0] for r in spark.createDataFrame(pairs, "i long, j long").select(F.xxhash64("i", "j")).collect()]
+    first, second = (np.array(x, np.int64).view(np.uint64) for x in zip(*pairs, strict=True))
+    assert lm_scoring.paired(first, second).view(np.int64).tolist() == want
